@@ -285,19 +285,8 @@ def anderson_darling(stats: DataFrame) -> DataFrame:
 
 
 def coded_categories(counts: DataFrame) -> DataFrame:
-    """Category value counts with numbers in sorted order, so rank statistics apply to them.
-
-    Only distinct values are ranked, in parts that share their first three characters.
-    """
-    cells = counts.withColumn("_prefix", F.substring("value", 1, 3))
-    sizes = cells.groupBy("feature", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off", F.sum("_n").over(Window.partitionBy("feature").orderBy("_prefix")) - F.col("_n")
-    ).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("feature", "_prefix").orderBy("value"))
-    return cells.join(offsets, ["feature", "_prefix"]).select(
-        "feature", (F.col("_off") + inside - 1).cast("double").alias("value"), "c_ref", "c_cur"
-    )
+    """Category value counts with numbers in sorted order, so rank statistics apply to them."""
+    return S.ordered_codes(counts).select("feature", F.col("code").cast("double").alias("value"), "c_ref", "c_cur")
 
 
 def ecdf(counts: DataFrame, limits: DataFrame | None = None) -> DataFrame:

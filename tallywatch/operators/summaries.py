@@ -14,7 +14,7 @@ retry of a lost task see the same cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,10 +157,12 @@ def exact_quantiles(
     keys: Sequence[str] = ("feature",),
     limits: DataFrame | None = None,
     weight: str | None = None,
+    position: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (keys, share, quantile, n).
 
-    ``weight`` names a count column when the rows are already value counts.
+    ``weight`` names a count column when the rows are already value counts. ``position`` maps
+    (share, n) to a 0-based position, ``share * (n - 1)`` unless given.
 
     Two narrow passes: count rows per slot, then look only into the few slots that hold
     a wanted position. Nothing is sorted as a whole and no group is collected.
@@ -180,7 +182,7 @@ def exact_quantiles(
     )
     wanted = (
         located.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-        .withColumn("_pos", F.col("share") * (F.col("n") - 1))
+        .withColumn("_pos", position(F.col("share"), F.col("n")) if position else F.col("share") * (F.col("n") - 1))
         .withColumn("_low", F.floor("_pos"))
         .withColumn("_high", F.ceil("_pos"))
         .where(
@@ -203,7 +205,7 @@ def exact_quantiles(
     high = F.max(F.when((F.col("_high") >= F.col("_start")) & (F.col("_high") < F.col("_end")), F.col("value")))
     return (
         hit.groupBy(*keys, "share", "n", "_pos", "_low")
-        .agg(low.alias("_vl"), high.alias("_vh"))
+        .agg(low.alias("_vl"), high.alias("_vh"))  # a position between two slots has a row from each
         .select(
             *keys,
             "share",
@@ -224,6 +226,21 @@ def quantiles_wide(
     )
 
 
+def ordered_codes(values: DataFrame) -> DataFrame:
+    """Add ``code``, the 0-based position of a text among its feature's distinct values.
+
+    ``values`` holds each (feature, value) once. Ranking runs in parts that share their first
+    three characters.
+    """
+    cells = values.withColumn("_prefix", F.substring("value", 1, 3))
+    sizes = cells.groupBy("feature", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.withColumn(
+        "_off", F.sum("_n").over(Window.partitionBy("feature").orderBy("_prefix")) - F.col("_n")
+    ).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("feature", "_prefix").orderBy("value"))
+    return cells.join(offsets, ["feature", "_prefix"]).withColumn("code", F.col("_off") + inside - 1).drop("_prefix", "_off")
+
+
 def hash_unit(seed: str, *parts: Column) -> Column:
     """A repeatable number in [0, 1) from a seed and key columns (same in any SQL engine with md5)."""
     text = F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts])
@@ -273,3 +290,34 @@ def hash_rank(df: DataFrame, seed: str, key: Sequence[str], within: Sequence[str
         .withColumn(rank, F.col("_off") + F.row_number().over(inside))
         .drop("_h", "_prefix", "_off")
     )
+
+
+def hash_text(seed: str, key: Sequence[str]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+
+
+def hash_cuts(df: DataFrame, seed: str, key: Sequence[str], shares: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
+    """(within, share, cut): the hash of row number ``floor(n * share)`` in hash order.
+
+    Comparing a row's own hash with the cut splits a table at exact sizes without moving rows.
+    """
+    within = list(within)
+    hashed = df.select(*within, hash_text(seed, key).alias("_h")).withColumn("_prefix", F.substring("_h", 1, 3))
+    by_prefix = Window.partitionBy(*within).orderBy("_prefix")
+    sizes = (
+        hashed.groupBy(*within, "_prefix")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(by_prefix))
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*within)))
+        .withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+        .withColumn("_at", F.floor(F.col("_total") * F.col("share") + 1e-9))
+        .where((F.col("_at") > F.col("_end") - F.col("_n")) & (F.col("_at") <= F.col("_end")))
+        .select(*within, "_prefix", "share", (F.col("_at") - F.col("_end") + F.col("_n")).alias("_nth"))
+    )
+    inside = Window.partitionBy(*within, "_prefix").orderBy("_h")
+    # Without groups the wanted prefixes are as few as the shares.
+    wanted = sizes.select(*within, "_prefix").distinct()
+    ranked = hashed.join(wanted if within else F.broadcast(wanted), [*within, "_prefix"], "left_semi").withColumn(
+        "_r", F.row_number().over(inside)
+    )
+    return ranked.join(sizes, [*within, "_prefix"]).where("_r = _nth").select(*within, "share", F.col("_h").alias("cut"))
