@@ -123,7 +123,7 @@ def _validate(spark, sf_dir):
    UNION ALL SELECT 'balance in range', 'range', 'c_acctbal', count(*) FILTER (c_acctbal NOT BETWEEN 0 AND 9000), count(*), 80.0 FROM dirty
    UNION ALL SELECT 'segment format', 'format', 'c_mktsegment', count(*) FILTER (NOT regexp_matches(c_mktsegment, '^[A-M]')), count(*), 95.0 FROM dirty
    UNION ALL SELECT 'key unique', 'uniqueness', 'c_custkey', count(c_custkey) - count(DISTINCT c_custkey), count(c_custkey), 99.0 FROM dirty)
-   SELECT name, type, column, violations, round((1 - violations / n::DOUBLE) * 100, 6) AS pass_rate, threshold, (1 - violations / n::DOUBLE) * 100 >= threshold AS passed FROM r""")
+   SELECT name, type, "column", violations, round((1 - violations / n::DOUBLE) * 100, 6) AS pass_rate, threshold, (1 - violations / n::DOUBLE) * 100 >= threshold AS passed FROM r""")
 def _quality_rules(spark, sf_dir):
     return rounded(
         Q.quality_rules(
@@ -153,7 +153,7 @@ DEGRADED_SQL = f"""WITH cur AS (SELECT value, CASE WHEN event_id % 6 = 0 THEN NU
    o AS ({_fence_sql("value", "cur")} UNION ALL {_fence_sql("user_id", "cur")}),
    m AS (SELECT 'value' AS column, 0.0::DOUBLE AS c, 0.0::DOUBLE AS r, count(*) AS n FROM cur UNION ALL
          SELECT 'user_id', (count(*) - count(user_id)) / count(*)::DOUBLE, 0.0, count(*) FROM cur UNION ALL SELECT 'event_type', 0.0, 0.0, count(*) FROM cur),
-   x AS (SELECT m.column, c AS missing_rate, c - r AS missing_delta, coalesce(outliers, 0) / n::DOUBLE AS outlier_rate FROM m LEFT JOIN o ON o.feature = m.column),
+   x AS (SELECT m."column", c AS missing_rate, c - r AS missing_delta, coalesce(outliers, 0) / n::DOUBLE AS outlier_rate FROM m LEFT JOIN o ON o.feature = m."column"),
    deg AS (SELECT *, concat_ws(';', CASE WHEN missing_delta > 0.05 THEN 'missing_values' END, CASE WHEN outlier_rate > 0.1 THEN 'outliers' END) AS affected_by FROM x)
 """
 
@@ -165,7 +165,7 @@ def degraded(spark, sf_dir):
     return Q.quality_degradation(cur, events.where(~new), ["value", "user_id", "event_type"])
 
 
-@query("qua_quality_degradation", DEGRADED_SQL + """SELECT column, round(missing_rate, 6) AS missing_rate, round(missing_delta, 6) AS missing_delta,
+@query("qua_quality_degradation", DEGRADED_SQL + """SELECT "column", round(missing_rate, 6) AS missing_rate, round(missing_delta, 6) AS missing_delta,
    round(outlier_rate, 6) AS outlier_rate, affected_by FROM deg WHERE affected_by <> ''""")
 def _degradation(spark, sf_dir):
     return rounded(degraded(spark, sf_dir))
@@ -198,6 +198,7 @@ def _one_hot(spark, sf_dir):
 
 
 @query("pre_one_hot_drop_first", """SELECT p_partkey, (p_type = 'LARGE')::INTEGER AS p_type_LARGE, (p_type = 'MEDIUM')::INTEGER AS p_type_MEDIUM,
+   (p_type = 'PROMO')::INTEGER AS p_type_PROMO,
    (p_type = 'SMALL')::INTEGER AS p_type_SMALL, (p_type = 'STANDARD')::INTEGER AS p_type_STANDARD FROM part""")
 def _one_hot_drop_first(spark, sf_dir):
     return P.one_hot(read(spark, sf_dir, "part").select("p_partkey", "p_type"), ["p_type"], drop_first=True)
