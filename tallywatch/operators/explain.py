@@ -360,15 +360,18 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
 # ---------------------------------------------------------------- response curves
 
 
+def _grid(feature: str, low: float, high: float, n: int) -> Column:
+    """Array of (feature, point, grid_value)."""
+    return F.transform(
+        linspace(F.lit(low), F.lit(high), n),
+        lambda v, i: F.struct(F.lit(feature).alias("feature"), i.alias("point"), v.alias("grid_value")),
+    )
+
+
 def partial_dependence(df: DataFrame, features: Sequence[str], scorer: Scorer, n: int = 100) -> DataFrame:
     """(feature, point, grid_value, mean_prediction) over n points from the smallest to the largest value."""
     ends = df.agg(*[F.struct(F.min(S.clean(f)).alias("lo"), F.max(S.clean(f)).alias("hi")).alias(f) for f in features]).first()
-    grids = F.concat(
-        *[
-            F.transform(linspace(F.lit(ends[f]["lo"]), F.lit(ends[f]["hi"]), n), lambda v, i, f=f: F.struct(F.lit(f).alias("feature"), i.alias("point"), v.alias("grid_value")))
-            for f in features
-        ]
-    )
+    grids = F.concat(*[_grid(f, ends[f]["lo"], ends[f]["hi"], n) for f in features])
     rows = df.select(*[S.clean(f).alias(f) for f in features], F.inline(grids))
     inputs = {f: F.when(F.col("feature") == f, F.col("grid_value")).otherwise(F.col(f)) for f in features}
     return scorer.add(rows, inputs, "_f").groupBy("feature", "point", "grid_value").agg(F.avg("_f").alias("mean_prediction"))
@@ -412,12 +415,7 @@ def ice_curves(
         df.select(F.lit(1).alias("_all"), key, *[S.clean(f).alias(f) for f in features]).withColumn("_h", _hash(seed, key)),
         ["_all"], [F.col("_h")], sample,
     )
-    grids = F.concat(
-        *[
-            F.transform(linspace(F.lit(ends[f][0]), F.lit(ends[f][1]), points), lambda v, i, f=f: F.struct(F.lit(f).alias("feature"), i.alias("point"), v.alias("grid_value")))
-            for f in features
-        ]
-    )
+    grids = F.concat(*[_grid(f, *ends[f], points) for f in features])
     rows = picked.select(key, *features, F.inline(grids))
     inputs = {f: F.when(F.col("feature") == f, F.col("grid_value")).otherwise(F.col(f)) for f in features}
     curves = scorer.add(rows, inputs, "prediction")
@@ -542,7 +540,7 @@ def tree_nodes(model, features: Sequence[str]) -> list[dict]:
     node is its parent's 'left' (<=) or 'right' (>) child.
     """
     nodes: list[dict] = []
-    stack: list[tuple[int, int]] = []  # (indent, node id) of open splits
+    stack: list[tuple[int, int, str]] = []  # (indent, node id, open side) of splits above
     for line in model.toDebugString.splitlines()[1:]:
         text, indent = line.strip(), len(line) - len(line.lstrip())
         if text.startswith("If"):

@@ -241,6 +241,14 @@ def ordered_codes(values: DataFrame) -> DataFrame:
     return cells.join(offsets, ["feature", "_prefix"]).withColumn("code", F.col("_off") + inside - 1).drop("_prefix", "_off")
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a definition table for broadcast when it has at most ``limit`` rows; larger ones join by shuffle."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def hash_unit(seed: str, *parts: Column) -> Column:
     """A repeatable number in [0, 1) from a seed and key columns (same in any SQL engine with md5)."""
     text = F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts])
