@@ -34,7 +34,7 @@ def split_by_position(df: DataFrame, key: str, ratio: float = 0.7) -> DataFrame:
     Only the key at the cut is searched for; rows stay where they are.
     """
     keys = df.select(F.lit(key).alias("feature"), F.col(key).cast("double").alias("value"))
-    cut = S.exact_quantiles(keys, [ratio], position=lambda share, n: F.floor(n * share) - 1)
+    cut = S.exact_quantiles(keys, [ratio], position=lambda share, n: int(n * share) - 1)
     value = cut.select("quantile").scalar()
     return df.withColumn("side", F.when(F.col(key) <= value, "ref").otherwise("cur"))
 

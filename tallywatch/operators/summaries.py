@@ -14,6 +14,7 @@ retry of a lost task see the same cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,7 +87,8 @@ def with_slot(long_df: DataFrame, limits: DataFrame, value: str = "value") -> Da
     high = F.get(F.col("limits"), F.col("_cut") + F.lit(1))
     inside = F.greatest(F.lit(0.0), F.least(F.lit(FINE - 1.0), F.try_divide(v - low, high - low) * FINE))
     fine = F.when(high > low, F.floor(inside).cast("int")).otherwise(F.lit(0))
-    return out.withColumn("slot", F.col("_cut") * FINE + fine).drop("_cut", "limits")
+    # The coalesce makes the slot non-null, which spares joins on it a repeated null check.
+    return out.withColumn("slot", F.coalesce(F.col("_cut") * FINE + fine, F.lit(0))).drop("_cut", "limits")
 
 
 def as_counts(long_df: DataFrame, *keep: str) -> DataFrame:
@@ -151,18 +153,59 @@ def cumulative(
     return running
 
 
+TARGETS = "array<struct<share:double,n:bigint,_pos:double,_low:bigint,_high:bigint>>"
+
+
+def _few_targets(sizes: DataFrame, shares: Sequence[float], position: Callable[[float, int], float] | None) -> DataFrame:
+    """Slots that hold a wanted position, per column name: at most 1024 counts per column are looked at here."""
+    by_feature: dict[str, list[tuple[int, int]]] = {}
+    for r in sizes.collect():
+        by_feature.setdefault(r["feature"], []).append((r["slot"], r["_n"]))
+    rows = []
+    for feature, counts in by_feature.items():
+        n, before = sum(c for _, c in counts), 0
+        wanted = []
+        for s in shares:
+            at = float(position(s, n) if position else s * (n - 1))
+            wanted.append((float(s), n, at, math.floor(at), math.ceil(at)))
+        for slot, count in sorted(counts):
+            here = [w for w in wanted if before <= w[3] < before + count or before <= w[4] < before + count]
+            if here:
+                rows.append((feature, slot, before, here))
+            before += count
+    return sizes.sparkSession.createDataFrame(rows, f"feature string, slot int, _before bigint, _t {TARGETS}")
+
+
+def _many_targets(sizes: DataFrame, shares: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """The same for any number of groups, as a table."""
+    by_slot = Window.partitionBy(*keys).orderBy("slot")
+    located = sizes.withColumn("_before", F.sum("_n").over(by_slot) - F.col("_n")).withColumn(
+        "n", F.sum("_n").over(Window.partitionBy(*keys))
+    )
+    inside = lambda c: F.col(c).between(F.col("_before"), F.col("_before") + F.col("_n") - 1)
+    targets = (
+        located.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+        .withColumn("_pos", F.col("share") * (F.col("n") - 1))
+        .withColumns({"_low": F.floor("_pos"), "_high": F.ceil("_pos")})
+        .where(inside("_low") | inside("_high"))
+    )
+    return targets.groupBy(*keys, "slot", "_before").agg(
+        F.collect_list(F.struct("share", "n", "_pos", "_low", "_high")).alias("_t")
+    )
+
+
 def exact_quantiles(
     long_df: DataFrame,
     shares: Sequence[float],
     keys: Sequence[str] = ("feature",),
     limits: DataFrame | None = None,
     weight: str | None = None,
-    position: Callable[[Column, Column], Column] | None = None,
+    position: Callable[[float, int], float] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (keys, share, quantile, n).
 
     ``weight`` names a count column when the rows are already value counts. ``position`` maps
-    (share, n) to a 0-based position, ``share * (n - 1)`` unless given.
+    (share, n) to a 0-based position, ``share * (n - 1)`` unless given (plain columns only).
 
     Two narrow passes: count rows per slot, then look only into the few slots that hold
     a wanted position. Nothing is sorted as a whole and no group is collected.
@@ -172,40 +215,24 @@ def exact_quantiles(
     limits = limits if limits is not None else slot_limits(long_df)
     counted = F.lit(1) if weight is None else F.col(weight)
     slotted = with_slot(long_df.select(*keys, "value", counted.cast("bigint").alias("_w")).where("_w > 0"), limits)
-    by_slot = Window.partitionBy(*keys).orderBy("slot")
-    whole = Window.partitionBy(*keys)
-    located = (
-        slotted.groupBy(*keys, "slot")
-        .agg(F.sum("_w").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(by_slot) - F.col("_n"))
-        .withColumn("n", F.sum("_n").over(whole))
-    )
-    wanted = (
-        located.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
-        .withColumn("_pos", position(F.col("share"), F.col("n")) if position else F.col("share") * (F.col("n") - 1))
-        .withColumn("_low", F.floor("_pos"))
-        .withColumn("_high", F.ceil("_pos"))
-        .where(
-            F.col("_low").between(F.col("_before"), F.col("_before") + F.col("_n") - 1)
-            | F.col("_high").between(F.col("_before"), F.col("_before") + F.col("_n") - 1)
-        )
-    )
-    slots = wanted.select(*keys, "slot", "_before").distinct()
+    sizes = slotted.groupBy(*keys, "slot").agg(F.sum("_w").alias("_n"))
+    packed = _few_targets(sizes, shares, position) if few_keys else _many_targets(sizes, shares, keys)
     inside = Window.partitionBy(*keys, "slot").orderBy("value")
     dense = (
-        slotted.join(F.broadcast(slots) if few_keys else slots, [*keys, "slot"])
-        .groupBy(*keys, "slot", "_before", "value")
+        slotted.join(F.broadcast(packed.select(*keys, "slot")) if few_keys else packed.select(*keys, "slot"), [*keys, "slot"])
+        .groupBy(*keys, "slot", "value")
         .agg(F.sum("_w").alias("_c"))
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
+        .withColumn("_end", F.sum("_c").over(inside))
+    )
+    hit = dense.join(F.broadcast(packed) if few_keys else packed, [*keys, "slot"]).select(
+        *keys, "value", (F.col("_before") + F.col("_end") - F.col("_c")).alias("_start"), (F.col("_before") + F.col("_end")).alias("_end"), F.inline("_t")
     )
-    targets = wanted.select(*keys, "slot", "share", "n", "_pos", "_low", "_high")
-    hit = dense.join(F.broadcast(targets) if few_keys else targets, [*keys, "slot"])
     low = F.max(F.when((F.col("_low") >= F.col("_start")) & (F.col("_low") < F.col("_end")), F.col("value")))
     high = F.max(F.when((F.col("_high") >= F.col("_start")) & (F.col("_high") < F.col("_end")), F.col("value")))
+    # A position between two slots gets one row from each, hence the final aggregate.
     return (
         hit.groupBy(*keys, "share", "n", "_pos", "_low")
-        .agg(low.alias("_vl"), high.alias("_vh"))  # a position between two slots has a row from each
+        .agg(low.alias("_vl"), high.alias("_vh"))
         .select(
             *keys,
             "share",

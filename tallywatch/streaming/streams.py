@@ -51,12 +51,18 @@ def rejected_records(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("error").isNotNull())
 
 
+def _event_time(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """Event time as a zoned timestamp, which watermarks need; a watermark only on a stream."""
+    stamped = rows.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stamped.withWatermark(ts, late) if rows.isStreaming else stamped
+
+
 def stream_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", failed=None, received: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Records, rate, last record, error rate and mean latency per window."""
     failed = failed if failed is not None else F.lit(False)
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _event_time(events, ts, late)
     delay = (
-        F.avg(F.timestamp_diff("MICROSECOND", F.col(ts), F.col(received)) / 1e6) if received else F.lit(None).cast("double")
+        F.avg(F.timestamp_diff("MICROSECOND", F.col(ts), F.col(received).cast("timestamp")) / 1e6) if received else F.lit(None).cast("double")
     )
     span = F.window(ts, width)
     out = rows.groupBy(span.alias("w")).agg(
@@ -64,10 +70,10 @@ def stream_metrics(events: DataFrame, ts: str = "ts", width: str = "1 hour", fai
     )
     seconds = F.timestamp_diff("SECOND", F.col("w.start"), F.col("w.end"))
     return out.select(
-        F.col("w.start").alias("window_start"),
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         "records",
         (F.col("records") / seconds).alias("records_per_second"),
-        "last_received",
+        F.col("last_received").cast("timestamp_ntz").alias("last_received"),
         (F.col("errors") / F.col("records")).alias("error_rate"),
         "mean_latency",
     )
@@ -126,13 +132,13 @@ def _binned(long_df: DataFrame, ranges: DataFrame, bins: int) -> DataFrame:
 def windowed_counts(rows: DataFrame, reference: DataFrame, columns: Sequence[str], ts: str = "ts", width: str = "24 hours",
                     bins: int = D.HISTOGRAM_BINS, late: str = "1 hour") -> DataFrame:
     """(window_start, feature, bucket, c_cur): the only state a drifting stream needs."""
-    stamped = rows.withWatermark(ts, late) if rows.isStreaming else rows
+    stamped = _event_time(rows, ts, late)
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), S.clean(c).alias("value")) for c in columns])
     long_df = stamped.select(ts, F.inline(cells)).where(F.col("value").isNotNull())
     ranges = reference.groupBy("feature").agg(F.max("low").alias("low"), F.max("high").alias("high"))
     binned = _binned(long_df, ranges, bins)
     counts = binned.groupBy(F.window(ts, width).alias("w"), "feature", "bucket").agg(F.count(F.lit(1)).alias("c_cur"))
-    return counts.select(F.col("w.start").alias("window_start"), "feature", "bucket", "c_cur")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "feature", "bucket", "c_cur")
 
 
 def windowed_drift(counts: DataFrame, reference: DataFrame, threshold: float = 0.1) -> DataFrame:
