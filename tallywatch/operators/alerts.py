@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywatch.functions.bands import meets
 from tallywatch.functions.text import alert_message, seconds_between
 from tallywatch.operators import summaries as S
+from tallywatch.session import local_table
 
 RULE_SCHEMA = (
     "rule_id string, name string, metric_name string, condition string, threshold double, severity string, "
@@ -25,7 +26,7 @@ DEFAULT_RULES = (
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple] = DEFAULT_RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), RULE_SCHEMA)
+    return local_table(spark, list(rules), RULE_SCHEMA)
 
 
 def match_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:

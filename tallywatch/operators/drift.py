@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from tallywatch.functions import pvalues
 from tallywatch.functions.bands import equal_width_bin, interval_bin, normalised_score, share
 from tallywatch.operators import summaries as S
-from tallywatch.session import materialise
+from tallywatch.session import local_table, materialise
 
 # Default decision thresholds per method.
 THRESHOLDS = {
@@ -502,7 +502,7 @@ def register_method(name: str, builder: Callable[[Inputs], DataFrame], threshold
 
 def evaluate_thresholds(rows: DataFrame, custom: dict[str, float] | None = None) -> DataFrame:
     """Add ``threshold`` and ``drift_detected``: p below it for tests, statistic above it otherwise."""
-    table = rows.sparkSession.createDataFrame(
+    table = local_table(rows.sparkSession,
         list({**THRESHOLDS, **(custom or {})}.items()), "method string, threshold double"
     )
     flagged = F.when(F.col("p_value").isNotNull(), F.col("p_value") < F.col("threshold")).otherwise(
@@ -806,6 +806,6 @@ def adversarial_accuracy(sided: DataFrame, columns: Sequence[str]) -> DataFrame:
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
     model = LogisticRegression(maxIter=20).fit(scaled)
     auc = BinaryClassificationEvaluator().evaluate(model.transform(scaled))
-    return sided.sparkSession.createDataFrame(
+    return local_table(sided.sparkSession,
         [("adversarial_accuracy", float(auc), float(abs(auc - 0.5) * 2))], "method string, auc double, score double"
     )

@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tallywatch.functions.bands import linspace
 from tallywatch.operators import summaries as S
 from tallywatch.operators.scoring import Scorer, own_inputs, score
+from tallywatch.session import local_table
 
 ROWS_PER_PART = 100_000
 
@@ -573,7 +574,7 @@ NODE_SCHEMA = "node_id int, parent_id int, depth int, feature string, threshold
 
 
 def node_table(spark, nodes: Sequence[dict]) -> DataFrame:
-    return spark.createDataFrame([tuple(n[c.split()[0]] for c in NODE_SCHEMA.split(", ")) for n in nodes], NODE_SCHEMA)
+    return local_table(spark, [tuple(n[c.split()[0]] for c in NODE_SCHEMA.split(", ")) for n in nodes], NODE_SCHEMA)
 
 
 def _paths(nodes: Sequence[dict]) -> dict[int, list[tuple[str, str, float]]]:
@@ -648,7 +649,7 @@ def decision_rules(df: DataFrame, nodes: Sequence[dict], label: str, min_confide
         for n in nodes
         if n["feature"] is None
     ]
-    texts = df.sparkSession.createDataFrame(rows, "node_id int, rule string")
+    texts = local_table(df.sparkSession, rows, "node_id int, rule string")
     impurity = F.col("impurity")
     return (
         node_stats(df, nodes, label)

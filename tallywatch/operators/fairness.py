@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallywatch.functions.bands import band, share
 from tallywatch.operators import summaries as S
 from tallywatch.operators.performance import LOG_CLIP, roc_auc
-from tallywatch.session import materialise
+from tallywatch.session import local_table, materialise
 
 RATES = (
     "base_rate", "selection_rate", "accuracy", "precision", "recall", "specificity", "f1_score", "true_positive_rate",
@@ -110,7 +110,7 @@ def calibration_fit(df: DataFrame, attributes: Sequence[str], penalty: float = 1
     groups = [(r["attribute"], r["grp"]) for r in table.select("attribute", "grp").distinct().collect()]
     at = {g: (0.0, 0.0) for g in groups}
     for _ in range(steps):
-        now = spark.createDataFrame(
+        now = local_table(spark,
             [(a, g, s, i) for (a, g), (s, i) in at.items()], "attribute string, grp string, slope double, intercept double"
         )
         q = F.lit(1.0) / (1.0 + F.exp(-(F.col("slope") * F.col("p") + F.col("intercept"))))
@@ -138,7 +138,7 @@ def calibration_fit(df: DataFrame, attributes: Sequence[str], penalty: float = 1
             moved = max(moved, abs(ds), abs(di))
         if moved < 1e-10:
             break
-    return spark.createDataFrame(
+    return local_table(spark,
         [(a, g, s, i) for (a, g), (s, i) in at.items()],
         "attribute string, grp string, calibration_slope double, calibration_intercept double",
     )
@@ -250,7 +250,7 @@ def compliance_measures(differences: DataFrame, probabilities: DataFrame | None
 
 def compliance(measures: DataFrame, frameworks: Sequence[str] | None = None) -> DataFrame:
     """(framework, attribute, measure, value, threshold, violated)."""
-    table = measures.sparkSession.createDataFrame(
+    table = local_table(measures.sparkSession,
         [r for r in REQUIREMENTS if frameworks is None or r[0] in frameworks],
         "framework string, measure string, threshold double, kind string",
     )
@@ -338,18 +338,21 @@ def fairness_dashboard(score: DataFrame, attributes: DataFrame, advice: DataFram
     return left.join(middle, "_k").join(right, "_k").drop("_k")
 
 
+NOTE_SCHEMA = "level string, check string, subject string"
+
+
 def validate_fairness(df: DataFrame, target: str, attributes: Sequence[str], frameworks: Sequence[str] = ()) -> DataFrame:
     """(level, check, subject) for wide fairness data: columns, size, group counts."""
     absent = [c for c in [target, *attributes] if c not in df.columns]
     present = [a for a in attributes if a in df.columns]
     spark = df.sparkSession
-    out = spark.createDataFrame([("error", "missing_column", c) for c in absent], "level string, check string, subject string")
+    out = local_table(spark, [("error", "missing_column", c) for c in absent], NOTE_SCHEMA)
     rows = df.agg(F.count(F.lit(1)).alias("n"))
     notes = [F.when(F.col("n") < 1000, F.struct(F.lit("warning").alias("level"), F.lit("small_dataset").alias("check"), F.lit("all").alias("subject")))]
     if "EU_AI_Act" in frameworks:
         notes.append(F.when(F.col("n") < 5000, F.struct(F.lit("recommendation").alias("level"), F.lit("larger_dataset").alias("check"), F.lit("EU_AI_Act").alias("subject"))))
     if "FDA" in frameworks and "medical" not in df.columns:
-        out = out.unionByName(spark.createDataFrame([("recommendation", "medical_data", "FDA")], out.schema))
+        out = out.unionByName(local_table(spark, [("recommendation", "medical_data", "FDA")], NOTE_SCHEMA))
     out = out.unionByName(rows.select(F.inline(F.array_compact(F.array(*notes)))))
     if present:
         groups = by_attribute(df, present, []).groupBy("attribute", "grp").agg(F.count(F.lit(1)).alias("n"))
@@ -569,4 +572,4 @@ def exponentiated_gradient(
         history.append((i, float(multiplier), float(row["accuracy"]), float(row["difference"])))
         weights[0] += step * row["signed_gap"]
         weights[1] -= step * row["signed_gap"]
-    return df.sparkSession.createDataFrame(history, "round int, multiplier double, accuracy double, difference double")
+    return local_table(df.sparkSession, history, "round int, multiplier double, accuracy double, difference double")

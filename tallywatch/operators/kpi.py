@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallywatch.operators import summaries as S
 from tallywatch.operators.aggregates import AGGREGATIONS, metric_aggregation
 from tallywatch.operators.windows import latest_two, trend_label
+from tallywatch.session import local_table
 
 DEFINITION_SCHEMA = "metric_id string, metric_name string, aggregation string, warning double, critical double, direction string"
 # The metrics every installation starts with; ``direction`` says which side is bad.
@@ -25,7 +26,7 @@ DEFAULT_DEFINITIONS = (
 
 
 def definition_table(spark: SparkSession, definitions: Sequence[tuple] = DEFAULT_DEFINITIONS) -> DataFrame:
-    return spark.createDataFrame(list(definitions), DEFINITION_SCHEMA)
+    return local_table(spark, list(definitions), DEFINITION_SCHEMA)
 
 
 def threshold_status(value: Column, warning: Column, critical: Column, direction: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywatch.functions.bands import share
 from tallywatch.operators import summaries as S
 from tallywatch.operators.windows import latest_two, metric_trend
+from tallywatch.session import local_table
 
 LOG_CLIP = 2.220446049250313e-16
 
@@ -187,7 +188,7 @@ DRIFT_THRESHOLD = 0.1
 
 def threshold_alerts(metrics: DataFrame, thresholds: Sequence[tuple[str, float, str]] = ALERT_THRESHOLDS) -> DataFrame:
     """Alert rows for long metrics (model_id, ts, metric, value) beyond their threshold."""
-    table = metrics.sparkSession.createDataFrame(list(thresholds), "metric string, threshold double, bad string")
+    table = local_table(metrics.sparkSession, list(thresholds), "metric string, threshold double, bad string")
     hit = F.when(F.col("bad") == "low", F.col("value") < F.col("threshold")).otherwise(F.col("value") > F.col("threshold"))
     far = F.abs(F.col("value") - F.col("threshold")) > F.col("threshold") * 0.1
     return (

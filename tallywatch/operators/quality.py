@@ -11,6 +11,7 @@ from tallywatch.functions.bands import share
 from tallywatch.operators import aggregates as A
 from tallywatch.operators import ranking, setops
 from tallywatch.operators import summaries as S
+from tallywatch.session import local_table
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -125,7 +126,7 @@ def validate_rules(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
                 fixed.append((kind, column, f"{types[column]}, expected {wanted}"))
         else:
             raise ValueError(f"unknown rule type: {kind}")
-    out = spark.createDataFrame(fixed, "rule string, column string, detail string")
+    out = local_table(spark, fixed, "rule string, column string, detail string")
     if watched:
         gaps = missing_counts(df.select(*watched)).where("missing > 0")
         out = out.unionByName(
@@ -152,7 +153,7 @@ def validate_dataframe(
 ) -> DataFrame:
     """(level, check, detail): errors for shape and types, warnings for nulls, copies and infinities."""
     types, numbers = dict(df.dtypes), S.numeric_columns(df)
-    out = df.sparkSession.createDataFrame(
+    out = local_table(df.sparkSession,
         [("error", "required_columns", c) for c in required if c not in types]
         + [("error", "numeric_columns", c) for c in numeric if c in types and c not in numbers],
         "level string, check string, detail string",
@@ -207,7 +208,7 @@ def quality_rules(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
             F.coalesce(F.sum("_n"), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("violations")
         ).withColumn("name", F.lit(r["name"]))
         out = rows.select("_rows", "name", "violations") if out is None else out.unionByName(rows)
-    table = df.sparkSession.createDataFrame(
+    table = local_table(df.sparkSession,
         [(r["name"], r["type"], r["column"], float(r["threshold"])) for r in rules],
         "name string, type string, column string, threshold double",
     )

@@ -12,6 +12,7 @@ from tallywatch.operators import drift as D
 from tallywatch.operators import quality as Q
 from tallywatch.operators import summaries as S
 from tallywatch.operators.aggregates import correlation
+from tallywatch.session import local_table
 
 # Weight of a severity, and the actions each kind of cause calls for.
 SEVERITY_WEIGHTS = {"critical": 1.0, "high": 0.8, "medium": 0.6, "low": 0.4}
@@ -83,7 +84,7 @@ def analysis_confidence(hypotheses: DataFrame, cur: DataFrame | None = None) ->
 def recommendations(ranked: DataFrame) -> DataFrame:
     """(priority, action): for the primary cause at once, for the contributing ones soon, and strategic ones."""
     spark = ranked.sparkSession
-    table = F.broadcast(spark.createDataFrame(list(ACTIONS), "category string, action string"))
+    table = F.broadcast(local_table(spark, list(ACTIONS), "category string, action string"))
     when = F.when(F.col("role") == "primary", "immediate").otherwise("short_term")
     found = ranked.where("role <> 'other'").join(table, "category").select(when.alias("priority"), "action").distinct()
     any_found = ranked.limit(1).select(F.lit("strategic").alias("priority"))
@@ -105,7 +106,7 @@ LOW_CONFIDENCE_STEPS = ("Collect more data", "Confirm with domain experts", "Try
 
 def next_steps(ranked: DataFrame, confidence: DataFrame) -> DataFrame:
     """(reason, step) rows."""
-    table = F.broadcast(ranked.sparkSession.createDataFrame(list(NEXT_STEPS), "category string, step string"))
+    table = F.broadcast(local_table(ranked.sparkSession, list(NEXT_STEPS), "category string, step string"))
     by_cause = ranked.where("rank = 1").join(table, "category").select(F.lit("primary_cause").alias("reason"), "step")
     low = confidence.where("confidence_level = 'low'").select(
         F.lit("low_confidence").alias("reason"), F.explode(F.array(*[F.lit(s) for s in LOW_CONFIDENCE_STEPS])).alias("step")

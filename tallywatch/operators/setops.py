@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywatch.session import local_table
+
 
 def schema_diff(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """(column, presence, ref_type, cur_type, same_type) for every column of either table."""
@@ -16,7 +18,7 @@ def schema_diff(ref: DataFrame, cur: DataFrame) -> DataFrame:
     for name in names:
         where = "both" if name in left and name in right else "ref_only" if name in left else "cur_only"
         rows.append((name, where, left.get(name), right.get(name), left.get(name) == right.get(name)))
-    return ref.sparkSession.createDataFrame(
+    return local_table(ref.sparkSession,
         rows, "column string, presence string, ref_type string, cur_type string, same_type boolean"
     )
 

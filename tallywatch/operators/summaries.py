@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywatch.session import local_table
+
 COARSE = 32
 FINE = 32
 
@@ -68,7 +70,7 @@ def slot_limits(long_df: DataFrame, value: str = "value") -> DataFrame:
         .collect()
     )
     data = [(r["feature"], [float(x) for x in r["limits"]]) for r in rows]
-    return long_df.sparkSession.createDataFrame(data, "feature string, limits array<double>")
+    return local_table(long_df.sparkSession, data, "feature string, limits array<double>")
 
 
 def with_slot(long_df: DataFrame, limits: DataFrame, value: str = "value") -> DataFrame:
@@ -173,7 +175,7 @@ def _few_targets(sizes: DataFrame, shares: Sequence[float], position: Callable[[
             if here:
                 rows.append((feature, slot, before, here))
             before += count
-    return sizes.sparkSession.createDataFrame(rows, f"feature string, slot int, _before bigint, _t {TARGETS}")
+    return local_table(sizes.sparkSession, rows, f"feature string, slot int, _before bigint, _t {TARGETS}")
 
 
 def _many_targets(sizes: DataFrame, shares: Sequence[float], keys: Sequence[str]) -> DataFrame:

@@ -231,12 +231,13 @@ def _validate(spark, sf_dir):
     return X.validate_fairness(document_decisions(spark, sf_dir), "y", ["lang", "source", "income"], ["EU_AI_Act", "FDA"])
 
 
-@query("fai_validate_binary", """WITH t AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), g AS (SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+@query("fai_validate_binary", """WITH t AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), g AS (SELECT source, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
    SELECT * FROM (SELECT 'warning' AS level, 'small_dataset' AS check FROM t HAVING sum(n) < 100 UNION ALL SELECT 'issue', 'target_not_binary' FROM t HAVING count(*) <> 2
    UNION ALL SELECT 'warning', 'class_imbalance' FROM t HAVING count(*) = 2 AND min(n) / max(n)::DOUBLE < 0.1 UNION ALL SELECT 'issue', 'fewer_than_two_groups' FROM g HAVING count(*) < 2
    UNION ALL SELECT 'warning', 'small_groups' FROM g HAVING count(*) >= 2 AND min(n) < 10)""")
 def _validate_binary(spark, sf_dir):
-    return X.validate_fairness_binary(document_decisions(spark, sf_dir), "y", "source")
+    rows = document_decisions(spark, sf_dir).withColumn("group", F.concat_ws("_", "source", "lang"))
+    return X.validate_fairness_binary(rows, "y", "group")
 
 
 FRAME = f"""WITH {DEC}, {_rates('dec', 'status')}, {_rates("(SELECT 'overall' AS status, y, yhat FROM dec)", 'status', 'ov')}, fr AS (SELECT * FROM rt UNION ALL SELECT * FROM ov)"""

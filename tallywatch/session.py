@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructType
 
 
 def local_session(app: str = "tallywatch", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -40,3 +43,23 @@ def materialise(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywatch-"))
     return df.checkpoint(eager=True)
+
+
+def _plain(value, kind: DataType):
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return {f.name: _plain(v, f.dataType) for f, v in zip(kind.fields, value)}
+    if isinstance(kind, ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    return float(value) if isinstance(kind, DoubleType) else value
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows known to the driver as a table held in the plan itself (no Python workers, no job)."""
+    import pyarrow as pa
+
+    kind = StructType.fromDDL(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    return spark.createDataFrame(pa.Table.from_pylist([_plain(r, kind) for r in rows]), kind)

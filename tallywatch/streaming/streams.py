@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from tallywatch.operators import alerts as A
 from tallywatch.operators import drift as D
 from tallywatch.operators import summaries as S
+from tallywatch.session import local_table
 
 # Named monitoring frequencies, and hours between checks of each kind.
 FREQUENCIES = {"hourly": "1 hour", "daily": "24 hours", "weekly": "168 hours"}
@@ -174,7 +175,7 @@ def run_rules(metrics: DataFrame, rules: DataFrame, folder: str, checkpoint: str
         known = (
             spark.read.schema(state_schema).parquet(f"{folder}/state/batch_id={batch_id - 1}")
             if batch_id > 0
-            else spark.createDataFrame([], state_schema)
+            else local_table(spark, [], state_schema)
         )
         fired = A.cooldown(A.match_rules(batch, rules), known).persist()
         try:
