@@ -119,7 +119,7 @@ def decile_counts(counts: DataFrame, parts: int = 10, limits: DataFrame | None =
     edges = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
     binned = counts.join(F.broadcast(edges), "feature").select(
         "feature",
-        interval_bin(F.col("value"), F.col("edges")).alias("bucket"),
+        interval_bin(F.col("value"), F.col("edges"), parts - 1).alias("bucket"),
         (F.size("edges") + 1).alias("n_bins"),
         "c_ref",
         "c_cur",
@@ -417,12 +417,13 @@ def adaptive_windowing(long_df: DataFrame, recent_first: Sequence[Column], sizes
 class Inputs:
     """Lazily built shared summaries of one report.
 
-    The source is read once: its value counts are written to the checkpoint folder and
-    everything else is derived from them.
+    ``counts`` are the value counts of the columns; everything but the kernel method is derived
+    from them.
     """
 
-    def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, order: Sequence[str]):
+    def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, order: Sequence[str], counts: DataFrame):
         self.categorical = categorical
+        self.counts = counts
         self.order = list(order)
         self.sided = sided
         self.columns = list(columns)
@@ -437,10 +438,6 @@ class Inputs:
         maker = S.long_categorical if self.categorical else S.long_numeric
         return maker(self.sided, self.columns, ["side", *keep])
 
-    @property
-    def counts(self) -> DataFrame:
-        return self._once("counts", lambda: materialise(S.value_counts_by_side(self.long())))
-
     @property
     def limits(self) -> DataFrame:
         return self._once("limits", lambda: S.slot_limits(self.counts))
@@ -554,6 +551,27 @@ def method_rows(inputs: Inputs, methods: Sequence[str]) -> DataFrame:
     return scored.select("feature", F.lit(inputs.categorical).alias("is_categorical"), "method", "statistic", "p_value", "score")
 
 
+def column_counts(sided: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Value counts of numeric and of categorical columns from one pass over the source.
+
+    They are written to the checkpoint folder, because every method reads them.
+    """
+    none, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("feature"), S.clean(c).alias("number"), blank.alias("text")) for c in numeric],
+        *[F.struct(F.lit(c).alias("feature"), none.alias("number"), F.col(c).cast("string").alias("text")) for c in categorical],
+    )
+    rows = sided.select("side", F.inline(cells)).where("number IS NOT NULL OR text IS NOT NULL")
+    counts = materialise(
+        rows.groupBy("feature", "number", "text").agg(
+            F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur")
+        )
+    )
+    numbers = counts.where("number IS NOT NULL").select("feature", F.col("number").alias("value"), "c_ref", "c_cur")
+    texts = counts.where("text IS NOT NULL").select("feature", F.col("text").alias("value"), "c_ref", "c_cur")
+    return numbers, texts
+
+
 def detect_drift(
     sided: DataFrame,
     numeric: Sequence[str] = (),
@@ -570,11 +588,12 @@ def detect_drift(
     wanted = list(methods) if methods is not None else [*METHODS, "drift_ensemble"]
     if not order:
         wanted = [m for m in wanted if m != "maximum_mean_discrepancy"]
+    numbers, texts = column_counts(sided, numeric, categorical)
     parts = []
     if numeric:
-        parts.append(method_rows(Inputs(sided, numeric, False, order), wanted))
+        parts.append(method_rows(Inputs(sided, numeric, False, order, numbers), wanted))
     if categorical:
-        parts.append(method_rows(Inputs(sided, categorical, True, order), wanted))
+        parts.append(method_rows(Inputs(sided, categorical, True, order, texts), wanted))
     rows = parts[0]
     for extra in parts[1:]:
         rows = rows.unionByName(extra)
@@ -709,6 +728,22 @@ def dataset_drift(report: DataFrame, drift_share: float = 0.5) -> DataFrame:
     ).withColumn("dataset_drift", F.col("drifted_share") >= drift_share)
 
 
+def validate_compatibility(ref: DataFrame, cur: DataFrame, min_rows: int = 10) -> DataFrame:
+    """(level, check, detail): no shared column is an issue; one-sided columns, types and small sides are warnings."""
+    left, right = dict(ref.dtypes), dict(cur.dtypes)
+    shared = [c for c in left if c in right]
+    notes = [] if shared else [("issue", "no_common_columns", "")]
+    notes += [("warning", "only_in_reference", c) for c in left if c not in right]
+    notes += [("warning", "only_in_current", c) for c in right if c not in left]
+    notes += [("warning", "different_types", f"{c}: {left[c]} vs {right[c]}") for c in shared if left[c] != right[c]]
+    out = local_table(ref.sparkSession, notes, "level string, check string, detail string")
+    for name, df in (("small_reference", ref), ("small_current", cur)):
+        # Counting past the limit is not needed, so at most ``min_rows`` rows are read.
+        size = df.limit(min_rows).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_rows)
+        out = out.unionByName(size.select(F.lit("warning").alias("level"), F.lit(name).alias("check"), F.col("n").cast("string").alias("detail")))
+    return out
+
+
 def prediction_change(sided: DataFrame, column: str) -> DataFrame:
     """Level and spread of a prediction per side, their change, KS, and a reading of it."""
     long_df = S.long_numeric(sided, [column])

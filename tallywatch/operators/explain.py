@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tallywatch.functions.bands import linspace
+from tallywatch.functions.bands import interval_bin, linspace
 from tallywatch.operators import summaries as S
 from tallywatch.operators.scoring import Scorer, own_inputs, score
 from tallywatch.session import local_table
@@ -390,7 +390,7 @@ def accumulated_local_effects(df: DataFrame, features: Sequence[str], scorer: Sc
         ]
     )
     rows = df.select(*[S.clean(f).alias(f) for f in features], F.inline(cells)).where(F.col("value").isNotNull())
-    below = F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col("value") > e, 1).otherwise(0))
+    below = interval_bin(F.col("value"), F.col("edges"), bins + 1)
     rows = rows.withColumn("bin", F.least(F.greatest(below, F.lit(1)), F.greatest(F.size("edges") - 1, F.lit(1))))
     rows = rows.withColumns({"low": F.get("edges", F.col("bin") - 1), "high": F.coalesce(F.get("edges", F.col("bin")), F.get("edges", F.col("bin") - 1))})
     for end in ("low", "high"):

@@ -468,7 +468,7 @@ def optimal_thresholds(df: DataFrame, attribute: str, constraint: str = "demogra
 def apply_thresholds(df: DataFrame, attribute: str, thresholds: DataFrame, name: str = "mitigated") -> DataFrame:
     """Decide with each group's own threshold."""
     table = thresholds.select(F.col("grp").alias("_grp"), F.col("threshold").alias("_t"))
-    joined = df.join(table, df[attribute].cast("string") == F.col("_grp"), "left")
+    joined = df.join(S.broadcast_if_small(table), df[attribute].cast("string") == F.col("_grp"), "left")
     return joined.withColumn(name, F.when(F.col("p") >= F.col("_t"), 1).otherwise(0)).drop("_grp", "_t")
 
 
@@ -481,7 +481,7 @@ def reweighing(df: DataFrame, attribute: str, target: str = "y") -> DataFrame:
     weights = cells.join(by_a, attribute).join(by_y, target).select(
         attribute, target, (F.col("_a").cast("double") * F.col("_y") / (total * F.col("_n"))).alias("weight")
     )
-    return df.join(weights, [attribute, target])
+    return df.join(S.broadcast_if_small(weights), [attribute, target])
 
 
 def baseline_model(df: DataFrame, features: Sequence[str], key: Sequence[str], kind: str = "logistic_regression", seed: int = 42):

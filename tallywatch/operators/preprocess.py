@@ -79,6 +79,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for c in columns:
         distinct = df.select(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")).where("value IS NOT NULL").distinct()
         codes = S.ordered_codes(distinct).select(F.col("value").alias(f"_{c}"), F.col("code").cast("int").alias(f"_{c}_code"))
+        codes = S.broadcast_if_small(codes)
         out = out.join(codes, out[c].cast("string") == codes[f"_{c}"], "left").drop(f"_{c}")
     return out.select(*[F.col(f"_{c}_code").alias(c) if c in columns else F.col(c) for c in df.columns])
 
@@ -132,7 +133,7 @@ def train_validation_test_split(
 def stratified_split(df: DataFrame, key: Sequence[str], stratum: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Tag rows with ``split`` so that every stratum gives the same share to the test set."""
     cuts = S.hash_cuts(df, str(seed), key, [1.0 - test_size], [stratum]).select(stratum, "cut")
-    joined = df.join(cuts, stratum, "left")
+    joined = df.join(S.broadcast_if_small(cuts), stratum, "left")
     return joined.withColumn(
         "split", F.when(S.hash_text(str(seed), key) <= F.col("cut"), "train").otherwise("test")
     ).select(*df.columns, "split")
@@ -162,7 +163,7 @@ def robust_scale(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame
         width = F.col(f"_i_{c}")
         return ((S.clean(c) - F.col(f"_m_{c}")) / F.when(width != 0, width).otherwise(1.0)).alias(c)
 
-    return df.join(wide, group, "left").select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
+    return df.join(S.broadcast_if_small(wide), group, "left").select(*[scaled(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def engineer(

@@ -119,7 +119,7 @@ def protected_correlation(df: DataFrame, features: Sequence[str], attribute: str
     """Features whose correlation with the (sorted-coded) protected attribute exceeds ``limit``."""
     values = df.select(F.lit(attribute).alias("feature"), F.col(attribute).cast("string").alias("value")).where("value IS NOT NULL").distinct()
     codes = S.ordered_codes(values).select(F.col("value").alias("_v"), F.col("code").cast("double").alias("_code"))
-    rows = df.join(codes, df[attribute].cast("string") == F.col("_v"))
+    rows = df.join(S.broadcast_if_small(codes), df[attribute].cast("string") == F.col("_v"))
     wide = rows.agg(*[correlation(S.clean(f), F.col("_code")).alias(f) for f in features])
     return wide.unpivot([], list(features), "feature", "correlation").withColumn("flagged", F.abs("correlation") > limit)
 

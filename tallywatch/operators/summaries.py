@@ -270,12 +270,20 @@ def ordered_codes(values: DataFrame) -> DataFrame:
     return cells.join(offsets, ["feature", "_prefix"]).withColumn("code", F.col("_off") + inside - 1).drop("_prefix", "_off")
 
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 20_000
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a definition table for broadcast when it has at most ``limit`` rows; larger ones join by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A lookup table of at most ``limit`` rows as a broadcast local table; a larger one joins by shuffle.
+
+    The rows are fetched once, so the table is neither computed again nor broadcast unseen.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    if any(t.startswith(("timestamp", "date", "decimal", "map", "struct")) for _, t in df.dtypes):
+        return F.broadcast(df)
+    return F.broadcast(local_table(df.sparkSession, [tuple(r) for r in rows], df.schema))
 
 
 def hash_unit(seed: str, *parts: Column) -> Column:

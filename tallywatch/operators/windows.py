@@ -14,9 +14,24 @@ ERROR_METRICS = ("mse", "mae", "rmse", "log_loss", "brier")
 
 
 def rank_by(df: DataFrame, keys: Sequence[str], value: str, tie: str, absolute: bool = False) -> DataFrame:
-    """1-based rank of each row within its key, largest (absolute) value first."""
-    order = F.abs(F.col(value)) if absolute else F.col(value)
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc(), F.col(tie))))
+    """1-based rank of each row within its key, largest (absolute) value first, missing values last.
+
+    A key's rows are cut into ordered slots of the value, ranked per slot, and shifted by the sizes of
+    the slots before, so a key may hold most of the table.
+    """
+    size = S.clean(value)
+    falling = -(F.abs(size) if absolute else size)
+    rows = df.withColumns({"feature": F.lit(value), "_v": falling})
+    limits = S.slot_limits(rows.where(F.col("_v").isNotNull()), "_v")
+    slotted = S.with_slot(rows, limits, "_v").withColumn(
+        "slot", F.when(F.col("_v").isNull(), S.COARSE * S.FINE).otherwise(F.col("slot"))
+    )
+    sizes = slotted.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("slot")) - F.col("_n")
+    offsets = sizes.select(*keys, "slot", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(F.col("_v").asc_nulls_last(), tie))
+    ranked = slotted.join(offsets, [*keys, "slot"]).withColumn("rank", (F.col("_before") + inside).cast("int"))
+    return ranked.select(*df.columns, "rank")
 
 
 def latest_two(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:

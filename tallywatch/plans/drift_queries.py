@@ -606,3 +606,12 @@ def _adaptive(spark, sf_dir):
 @query("drf_adversarial_accuracy")
 def _adversarial(spark, sf_dir):
     return rounded(D.adversarial_accuracy(sided_lineitem(spark, sf_dir), NUMERIC), 4)
+
+
+@query("drf_validate_compatibility", """SELECT 'warning' AS level, 'only_in_reference' AS check, 'o_orderdate' AS detail UNION ALL SELECT 'warning', 'only_in_current', 'extra'
+   UNION ALL SELECT 'warning', 'different_types', 'o_custkey: bigint vs string'
+   UNION ALL SELECT 'warning', 'small_reference', count(*)::VARCHAR FROM orders HAVING count(*) < 10 UNION ALL SELECT 'warning', 'small_current', count(*)::VARCHAR FROM orders WHERE o_orderkey < 5 HAVING count(*) < 10""")
+def _compatibility(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    cur = orders.where("o_orderkey < 5").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("extra"))
+    return D.validate_compatibility(orders.select("o_orderkey", "o_custkey", "o_orderdate"), cur)

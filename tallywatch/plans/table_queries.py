@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallywatch.functions import bands, text
@@ -9,6 +11,7 @@ from tallywatch.operators import aggregates as A
 from tallywatch.operators import drift, filters, preprocess, ranking, setops, windows
 from tallywatch.operators import summaries as S
 from tallywatch.plans.bindings import query, read, rounded
+from tallywatch.session import shared_folder
 from tallywatch.sources import tables
 
 # ------------------------------------------------------------------ sources
@@ -83,6 +86,43 @@ def _upsert(spark, sf_dir):
     return tables.upsert_latest(base, changed.unionByName(added), ["s_suppkey"], "version")
 
 
+def _written(spark, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src_write_split", """WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY md5('42|' || o_orderkey)) AS rn, count(*) OVER () AS n FROM orders)
+   SELECT CASE WHEN rn <= floor(n * 0.8 + 1e-9) THEN 'train' WHEN rn <= floor(n * 0.9 + 1e-9) THEN 'validation' ELSE 'test' END AS split, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM r GROUP BY 1""")
+def _write_split(spark, sf_dir):
+    path = _written(spark, "splits")
+    rows = preprocess.train_validation_test_split(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    tables.write_table(rows, path, ["split"])
+    back = tables.load_table(spark, path, "parquet")
+    return rounded(back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 1)
+
+
+@query("src_export_csv", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def _export_csv(spark, sf_dir):
+    path = _written(spark, "customers")
+    tables.export_csv(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
+    return tables.load_table(spark, path, "csv", "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@query("src_export_json", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _export_json(spark, sf_dir):
+    path = _written(spark, "suppliers")
+    tables.export_json(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    return tables.load_table(spark, path, "json").select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("src_load_csv_flexible", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def _csv_flexible(spark, sf_dir):
+    path = _written(spark, "parts")
+    read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice").write.csv(path, sep=";", header=True)
+    back = tables.load_csv_flexible(spark, path)
+    return back.select(F.col("p_partkey").cast("bigint"), "p_name", F.col("p_retailprice").cast("double"))
+
+
 # ------------------------------------------------------------------ filters
 
 
@@ -498,7 +538,7 @@ def _linspace(spark, sf_dir):
         rows.select(
             "c_custkey",
             bands.equal_width_bin(F.col("c_acctbal"), lo, hi, 20).alias("bin"),
-            bands.interval_bin(F.col("c_acctbal"), edges).alias("interval"),
+            bands.interval_bin(F.col("c_acctbal"), edges, 3).alias("interval"),
             F.get(bands.linspace(lo, hi, 5), (F.col("c_custkey") % 5).cast("int")).alias("grid_point"),
         )
     )

@@ -18,6 +18,8 @@ def local_session(app: str = "tallywatch", cores: str = "*", partitions: int = 8
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # One machine: a few small tasks cost nothing, idle cores do.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -27,21 +29,27 @@ def local_session(app: str = "tallywatch", cores: str = "*", partitions: int = 8
     )
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that names
-    none and runs on one machine (tests) gets a folder of its own.
+    Only a session that names none and runs on one machine (tests) gets a folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallywatch-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallywatch-"))
     return df.checkpoint(eager=True)
 
 
@@ -55,11 +63,11 @@ def _plain(value, kind: DataType):
     return float(value) if isinstance(kind, DoubleType) else value
 
 
-def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str | StructType) -> DataFrame:
     """A few rows known to the driver as a table held in the plan itself (no Python workers, no job)."""
     import pyarrow as pa
 
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
     return spark.createDataFrame(pa.Table.from_pylist([_plain(r, kind) for r in rows]), kind)
