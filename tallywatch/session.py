@@ -21,6 +21,9 @@ def local_session(app: str = "tallywatch", cores: str = "*", partitions: int = 8
         # One machine: a few small tasks cost nothing, idle cores do.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the Python call site of every column costs more than building the plan.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
