@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallywatch.operators import alerts as A
@@ -10,7 +12,7 @@ from tallywatch.plans.bindings import CATEGORICAL, NUMERIC, SIDED_SQL, query, re
 from tallywatch.plans.drift_queries import CAT_SQL, DECILE_SQL, HIST_SQL, JS_EXPR, SHARES_SQL, drift_history
 from tallywatch.plans.quality_queries import DEGRADED_SQL
 from tallywatch.plans.table_queries import SERIES_SQL, daily_series
-from tallywatch.session import materialise
+from tallywatch.session import materialise, shared_folder
 from tallywatch.streaming import streams
 
 # ------------------------------------------------------------------ alerts
@@ -442,7 +444,9 @@ def _stream_metrics(spark, sf_dir):
 def _stream_metrics_live(spark, sf_dir):
     """The same windows from a real stream over the file; the sink holds one row per hour."""
     rows = streams.open_stream(spark, "parquet", EVENT_SCHEMA, sf_dir, pathGlobFilter="events.parquet")
-    started = _hourly(rows).writeStream.outputMode("complete").format("memory").queryName("hourly_events").trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    writer = _hourly(rows).writeStream.outputMode("complete").format("memory").queryName("hourly_events")
+    started = writer.option("checkpointLocation", folder).trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.table("hourly_events")
 
