@@ -83,6 +83,11 @@ def _both(spark, sf_dir):
     return num, cat
 
 
+def _counted(spark, sf_dir):
+    """The same as value counts written once: for methods that pass over the data several times."""
+    return D.column_counts(sided_lineitem(spark, sf_dir), NUMERIC, CATEGORICAL)
+
+
 def _named(df, method, column):
     return df.select("feature", F.lit(method).alias("method"), F.col(column).alias("statistic"))
 
@@ -139,7 +144,7 @@ def _align(spark, sf_dir):
 @query("drf_psi", _sql(CAT_SQL, DECILE_SQL, body=""" SELECT feature, 'population_stability_index' AS method,
    round(statistic, 6) AS statistic FROM psi"""))
 def _psi(spark, sf_dir):
-    num, cat = _both(spark, sf_dir)
+    num, cat = _counted(spark, sf_dir)
     both = D.psi(D.decile_counts(num)).unionByName(D.psi(D.category_counts(cat)))
     return rounded(_named(both, "population_stability_index", "psi"))
 
@@ -177,20 +182,20 @@ csi AS (SELECT p.feature, statistic + 0.1::DOUBLE * CASE WHEN a = 0 THEN 0 ELSE
 @query("drf_csi", _sql(CAT_SQL, DECILE_SQL, CSI_CTE, body=""" SELECT feature, 'characteristic_stability_index' AS method,
    round(statistic, 6) AS statistic FROM csi"""))
 def _csi(spark, sf_dir):
-    num, cat = _both(spark, sf_dir)
+    num, cat = _counted(spark, sf_dir)
     numeric = D.csi(D.psi(D.decile_counts(num)), D.relative_shift(num))
     both = numeric.unionByName(D.csi(D.psi(D.category_counts(cat)), D.relative_shift(cat, categorical=True)))
     return rounded(_named(both, "characteristic_stability_index", "csi"))
 
 
 def _rank_rows(spark, sf_dir):
-    _, cat = _both(spark, sf_dir)
-    return _numeric_ranks(spark, sf_dir).unionByName(D.rank_statistics(D.ecdf(D.coded_categories(cat))))
+    num, cat = _counted(spark, sf_dir)
+    return D.rank_statistics(D.ecdf(num)).unionByName(D.rank_statistics(D.ecdf(D.coded_categories(cat))))
 
 
 def _numeric_ranks(spark, sf_dir):
-    long_df = S.long_numeric(sided_lineitem(spark, sf_dir), NUMERIC)
-    return D.rank_statistics(D.ecdf(S.value_counts_by_side(long_df)))
+    num, _ = D.column_counts(sided_lineitem(spark, sf_dir), NUMERIC, ())
+    return D.rank_statistics(D.ecdf(num))
 
 
 @query("drf_ks", _sql(ECDF_SQL, body=f""" SELECT feature, 'kolmogorov_smirnov' AS method, round(ks, 6) AS statistic,
