@@ -68,3 +68,27 @@ def slices(texts: list[str], size: int) -> list[tuple[int, int]]:
     if begin < len(texts):
         out.append((begin, len(texts)))
     return out
+
+
+def runs(batches, keys: int):
+    """Rows of Arrow batches sorted by their first ``keys`` columns, as one table per key."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.nonzero(new)[0].tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
