@@ -129,9 +129,9 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.pieces = PieceEncoder(self.encode_pieces)
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece: its matches of the pattern, each looked up whole, else merged."""
-        found = [self.pattern.findall(p) for p in pieces]
+    def encode_pieces(self, pieces: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has: the matches of the pattern are looked up whole, else merged."""
+        found = [self.pattern.findall(lead + p) for p in pieces]
         distinct = {m: None for matches in found for m in matches}
         raw = [m.encode() for m in distinct]
         places = self.table(raw).tolist()
@@ -139,7 +139,8 @@ class ByteBpe:
         known = {
             m: [ids[p]] if p >= 0 and names[p] == b else merge(b, ranks) for m, b, p in zip(distinct, raw, places)
         }
-        return [[i for m in matches for i in known[m]] for matches in found]
+        sizes = np.fromiter((sum(len(known[m]) for m in matches) for matches in found), np.int64, len(found))
+        return np.fromiter((i for matches in found for m in matches for i in known[m]), np.uint32), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.pieces(texts)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import slices, text_or_empty
-from tallywatch.llm.words import ended, library_encoder
+from tallywatch.llm.words import library_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -82,7 +82,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def pack(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary)
+        encode = library_encoder(vocabulary, end_id)
         sequence = TaskContext.get().partitionId() << 40
         rest, held = [], 0
 
@@ -109,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
-                tokens, counts = ended(*encode(texts[a:b]), end_id)
+                tokens, counts = encode(texts[a:b])
                 tokens = tokens.astype("<u4")
                 full, end = [], 0
                 for key, count in zip(keys[a:b], counts.tolist()):

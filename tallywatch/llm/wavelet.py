@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import slices, stored, text_or_empty
-from tallywatch.llm.words import ended, library_encoder
+from tallywatch.llm.words import library_encoder
 
 MAGIC = b"TWM1"
 BLOCK = 512
@@ -180,7 +180,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
     def build(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary)
+        encode = library_encoder(vocabulary, end_id)
         part, before = TaskContext.get().partitionId(), 0
         keys, sizes, parts, held = [], [], [], 0
 
@@ -194,7 +194,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
-                tokens, counts = ended(*encode(texts[a:b]), end_id)
+                tokens, counts = encode(texts[a:b])
                 keys += ids[a:b]
                 sizes.append(counts)
                 parts.append(tokens)

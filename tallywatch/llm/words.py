@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 
@@ -20,13 +20,14 @@ SOLID = r"!-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-﻾＀-\U0010ffff"
 
 
 class PieceEncoder:
-    """Encodes batches of texts; ``encode`` gives the ids of a list of pieces.
+    """Encodes batches of texts; ``encode`` gives the ids of a list of pieces, whether they begin a text or not.
 
     The table of known pieces is emptied when it holds ``limit`` pieces or ``limit`` * 16 characters.
+    With ``end_id``, every text ends in that id.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = 250_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 400_000):
+        self.encode, self.end_id, self.limit = encode, end_id, limit
         self.cut = re.compile(f"(?<=[{SOLID}]) ")
         self.odd = re.compile(f"(?:^|[^{SOLID}]) ")
         self._forget()
@@ -35,31 +36,33 @@ class PieceEncoder:
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
-        self.chars = 0
+        # Code 0 is the end of a text.
+        self.known = 1
+        if self.end_id is not None:
+            self.flat[0], self.lengths[0] = self.end_id, 1
+        self.used, self.chars = 1, 0
 
     def _learn(self, pieces: list[str], codes: dict[str, int], lead: str) -> None:
-        known = len(self.first) + len(self.later)
-        rows = self.encode([lead + p for p in pieces])
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        total = int(sizes.sum())
+        ids, sizes = self.encode(pieces, lead)
+        known, total = self.known, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while known + len(rows) > len(self.starts):
+        while known + len(pieces) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for row in rows for i in row), np.uint32, total)
-        self.starts[known : known + len(rows)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[known : known + len(rows)] = sizes
+        self.flat[self.used : self.used + total] = ids
+        self.starts[known : known + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[known : known + len(pieces)] = sizes
+        codes.update(zip(pieces, range(known, known + len(pieces))))
         self.used += total
+        self.known += len(pieces)
         self.chars += sum(map(len, pieces))
-        codes.update(zip(pieces, range(known, known + len(rows))))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        if len(self.first) + len(self.later) >= self.limit or self.chars >= 16 * self.limit:
+        if self.known >= self.limit or self.chars >= 16 * self.limit:
             self._forget()
         heads: list[str] = []
         words: list[str] = []
@@ -70,34 +73,65 @@ class PieceEncoder:
             del pieces[0]
             counts[i] = len(pieces)
             words += pieces
-        if new := [p for p in dict.fromkeys(heads) if p not in self.first]:
+        if new := list(set(heads).difference(self.first)):
             self._learn(new, self.first, "")
         if new := list(set(words).difference(self.later)):
             self._learn(new, self.later, " ")
-        codes = np.empty(len(words) + len(texts), np.int64)
-        at = np.cumsum(counts) - counts + np.arange(len(texts))
+        # Per text: its head, its other pieces, its end.
+        codes = np.zeros(len(words) + 2 * len(texts), np.int32)
+        ends = np.cumsum(counts + 2)
+        heads_at = ends - counts - 2
         rest = np.ones(len(codes), bool)
-        rest[at] = False
-        codes[at] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        codes[rest] = np.fromiter(map(self.later.__getitem__, words), np.int64, len(words))
+        rest[heads_at] = rest[ends - 1] = False
+        codes[heads_at] = np.fromiter(map(self.first.__getitem__, heads), np.int32, len(heads))
+        codes[rest] = np.fromiter(map(self.later.__getitem__, words), np.int32, len(words))
         lengths = self.lengths[codes]
         ids = self.flat[spans_of(self.starts[codes], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = np.append(at, len(codes))
-        return ids, np.diff(ends[bounds])
+        return ids, np.add.reduceat(lengths, heads_at) if len(texts) else counts
 
 
-def library_encoder(json_text: str) -> PieceEncoder:
-    """Pieces encoded by the tokenizers library; strings of special tokens in a text are ordinary text."""
+def library_encoder(json_text: str, end_id: int | None = None) -> PieceEncoder:
+    """Pieces encoded by the tokenizers library; strings of special tokens in a text are ordinary text.
+
+    Runs of new pieces are encoded as one string, as they would stand in a text, and the ids dealt
+    out by the number of bytes they stand for. A run in which an id crosses from a piece into the
+    next, or bytes got lost, is encoded piece by piece.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(json_text)
     tokenizer.encode_special_tokens = True
-    return PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-
-
-def ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with ``end_id`` behind every text."""
-    ends = np.cumsum(counts)
-    return np.insert(ids, ends, end_id), counts + 1
+    suffix = tokenizer.model.end_of_word_suffix or ""
+    # A byte is one character of a token here; where words have an end mark, white space has no ids.
+    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+    size_of = np.array([len(n.removesuffix(suffix)) if suffix else len(n) for n in names], np.int64)
+    solid = re.compile(f"[{SOLID}]$")
+
+    def apart(pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(pieces: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        if not lead:
+            rows = apart(pieces)
+            return np.fromiter((i for r in rows for i in r), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows))
+        parts: list[np.ndarray] = []
+        sizes = np.zeros(len(pieces), np.int64)
+        step = 256
+        runs = [pieces[i : i + step] for i in range(0, len(pieces), step)]
+        whole = apart(["".join([lead + p for p in run]) for run in runs])
+        for k, (run, row) in enumerate(zip(runs, whole)):
+            ids = np.array(row, np.uint32)
+            bytes_in = np.fromiter((len(p.encode()) for p in run), np.int64, len(run)) + (0 if suffix else len(lead))
+            ends, marks = np.cumsum(size_of[ids]), np.cumsum(bytes_in)
+            at = np.searchsorted(ends, marks, "left")
+            if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == marks).all() and bytes_in.all() and all(map(solid.search, run)):
+                sizes[k * step : k * step + len(run)] = np.diff(at, prepend=-1)
+                parts.append(ids)
+            else:
+                rows = apart([lead + p for p in run])
+                sizes[k * step : k * step + len(run)] = [len(r) for r in rows]
+                parts.append(np.fromiter((i for r in rows for i in r), np.uint32))
+        return np.concatenate(parts), sizes
+
+    return PieceEncoder(encode, end_id)
