@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable
 
@@ -51,6 +53,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make: Callable):
+    """What ``make`` gives, made once per Python worker: workers outlive tasks, what tasks unpickle does not.
+
+    One object is kept; asking for another key lets go of it.
+    """
+    held = sys.modules.setdefault("tallywatch_kept", types.ModuleType("tallywatch_kept")).__dict__
+    if held.get("key") != key:
+        held["key"], held["value"] = None, None
+        held["value"] = make()
+        held["key"] = key
+    return held["value"]
+
+
 def spans_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every span, one after another."""
     ends = np.cumsum(lengths)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tallywatch.llm.common import spans_of
+from tallywatch.llm.common import kept, spans_of
 
 #: Characters that no library takes for white space; a cut before a space is made only behind one of them.
 SOLID = r"!-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-﻾＀-\U0010ffff"
@@ -22,14 +22,15 @@ SOLID = r"!-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-﻾＀-\U0010ffff"
 class PieceEncoder:
     """Encodes batches of texts; ``encode`` gives the ids of a list of pieces, whether they begin a text or not.
 
-    The table of known pieces is emptied when it holds ``limit`` pieces or ``limit`` * 16 characters.
+    When the table of known pieces holds ``limit`` pieces or ``limit`` * 16 characters, those used once are
+    forgotten, or all if too many remain.
     With ``end_id``, every text ends in that id.
     """
 
-    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 600_000):
         self.encode, self.end_id, self.limit = encode, end_id, limit
         self.cut = re.compile(f"(?<=[{SOLID}]) ")
-        self.odd = re.compile(f"(?:^|[^{SOLID}]) ")
+        self.odd = re.compile(f"[^{SOLID}] ")
         self._forget()
 
     def _forget(self) -> None:
@@ -43,9 +44,23 @@ class PieceEncoder:
         if self.end_id is not None:
             self.flat[0], self.lengths[0] = self.end_id, 1
         self.used, self.chars = 1, 0
+        self.uses = np.zeros(1, np.int64)
+
+    def _thin(self) -> None:
+        first, later, flat, starts, lengths = self.first, self.later, self.flat, self.starts, self.lengths
+        often = self.uses > 1
+        self._forget()
+        for old, new in ((first, self.first), (later, self.later)):
+            old = {w: c for w, c in old.items() if often[c] and len(w) < 64}
+            if len(old) > self.limit // 2:
+                continue
+            codes = np.fromiter(old.values(), np.int64, len(old))
+            self._add(list(old), new, flat[spans_of(starts[codes], lengths[codes])], lengths[codes])
 
     def _learn(self, pieces: list[str], codes: dict[str, int], lead: str) -> None:
-        ids, sizes = self.encode(pieces, lead)
+        self._add(pieces, codes, *self.encode(pieces, lead))
+
+    def _add(self, pieces: list[str], codes: dict[str, int], ids: np.ndarray, sizes: np.ndarray) -> None:
         known, total = self.known, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -63,12 +78,12 @@ class PieceEncoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if self.known >= self.limit or self.chars >= 16 * self.limit:
-            self._forget()
+            self._thin()
         heads: list[str] = []
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            pieces = self.cut.split(text) if self.odd.search(text) else text.split(" ")
+            pieces = self.cut.split(text) if text[:1] == " " or self.odd.search(text) else text.split(" ")
             heads.append(pieces[0])
             del pieces[0]
             counts[i] = len(pieces)
@@ -85,6 +100,9 @@ class PieceEncoder:
         rest[heads_at] = rest[ends - 1] = False
         codes[heads_at] = np.fromiter(map(self.first.__getitem__, heads), np.int32, len(heads))
         codes[rest] = np.fromiter(map(self.later.__getitem__, words), np.int32, len(words))
+        uses = np.bincount(codes, minlength=self.known)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         lengths = self.lengths[codes]
         ids = self.flat[spans_of(self.starts[codes], lengths)]
         return ids, np.add.reduceat(lengths, heads_at) if len(texts) else counts
@@ -97,6 +115,10 @@ def library_encoder(json_text: str, end_id: int | None = None) -> PieceEncoder:
     out by the number of bytes they stand for. A run in which an id crosses from a piece into the
     next, or bytes got lost, is encoded piece by piece.
     """
+    return kept(("library", json_text, end_id), lambda: _library_encoder(json_text, end_id))
+
+
+def _library_encoder(json_text: str, end_id: int | None) -> PieceEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -107,6 +129,7 @@ def library_encoder(json_text: str, end_id: int | None = None) -> PieceEncoder:
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
     size_of = np.array([len(n.removesuffix(suffix)) if suffix else len(n) for n in names], np.int64)
     solid = re.compile(f"[{SOLID}]$")
+    odd = re.compile(f"[^{SOLID}] ")
 
     def apart(pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -119,13 +142,13 @@ def library_encoder(json_text: str, end_id: int | None = None) -> PieceEncoder:
         sizes = np.zeros(len(pieces), np.int64)
         step = 256
         runs = [pieces[i : i + step] for i in range(0, len(pieces), step)]
-        whole = apart(["".join([lead + p for p in run]) for run in runs])
-        for k, (run, row) in enumerate(zip(runs, whole)):
+        joined = [lead + lead.join(run) for run in runs]
+        for k, (run, text, row) in enumerate(zip(runs, joined, apart(joined))):
             ids = np.array(row, np.uint32)
-            bytes_in = np.fromiter((len(p.encode()) for p in run), np.int64, len(run)) + (0 if suffix else len(lead))
+            bytes_in = np.fromiter(map(len, run if text.isascii() else map(str.encode, run)), np.int64, len(run)) + (0 if suffix else len(lead))
             ends, marks = np.cumsum(size_of[ids]), np.cumsum(bytes_in)
             at = np.searchsorted(ends, marks, "left")
-            if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == marks).all() and bytes_in.all() and all(map(solid.search, run)):
+            if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == marks).all() and bytes_in.all() and solid.search(text) and not odd.search(text):
                 sizes[k * step : k * step + len(run)] = np.diff(at, prepend=-1)
                 parts.append(ids)
             else:
