@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywatch.llm import secrets
+from tallywatch.llm import quality, secrets, toxicity
 from tallywatch.llm.common import query, read
 
 
 @query("op1_secret_scan", secrets.oracle_sql())
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op7_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
