@@ -111,3 +111,32 @@ def runs(batches, keys: int):
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches, keys: int):
+    """Rows of Arrow batches sorted by their first ``keys`` columns, as tables of many rows that never cut a key's rows apart.
+
+    Yields (table, group number of every row).
+    """
+    import pyarrow as pa
+
+    def numbered(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for k in range(keys):
+            c = table.column(k).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return table, np.cumsum(new)
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table, group = numbered(held)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield table.slice(0, cut).combine_chunks(), group[:cut]
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield numbered(held)

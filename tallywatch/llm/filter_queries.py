@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywatch.llm import quality, secrets, toxicity
+from tallywatch.llm import quality, secret_scan, toxicity
 from tallywatch.llm.common import query, read
 
 
-@query("op1_secret_scan", secrets.oracle_sql())
-def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+@query("op1_secret_scan", secret_scan.oracle_sql())
+def scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
 
 
 @query("op6_toxicity")
