@@ -145,7 +145,8 @@ def _library_encoder(json_text: str, end_id: int | None) -> PieceEncoder:
         joined = [lead + lead.join(run) for run in runs]
         for k, (run, text, row) in enumerate(zip(runs, joined, apart(joined))):
             ids = np.array(row, np.uint32)
-            bytes_in = np.fromiter(map(len, run if text.isascii() else map(str.encode, run)), np.int64, len(run)) + (0 if suffix else len(lead))
+            kept_text = ["".join(p.split()) for p in run] if suffix else run
+            bytes_in = np.fromiter(map(len, kept_text if text.isascii() else map(str.encode, kept_text)), np.int64, len(run)) + (0 if suffix else len(lead))
             ends, marks = np.cumsum(size_of[ids]), np.cumsum(bytes_in)
             at = np.searchsorted(ends, marks, "left")
             if len(ends) and at[-1] == len(ends) - 1 and (ends[at] == marks).all() and bytes_in.all() and solid.search(text) and not odd.search(text):
