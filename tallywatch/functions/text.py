@@ -14,10 +14,11 @@ DANGEROUS = "<>&\"'/\\"
 
 
 def sanitize_string(
-    text: Column, max_length: int = 1000, allow_html: bool = False, allow_special_chars: bool = True
+    text: Column, max_length: int | None = None, allow_html: bool = False, allow_special_chars: bool = True
 ) -> Column:
-    """Drop NULs, cut to ``max_length``, strip tags, drop special characters, trim: in that order."""
-    out = F.substring(F.replace(F.coalesce(text, F.lit("")), F.lit("\x00"), F.lit("")), 1, max_length)
+    """Drop NULs, cut to ``max_length`` if given, strip tags, drop special characters, trim: in that order."""
+    out = F.replace(F.coalesce(text, F.lit("")), F.lit("\x00"), F.lit(""))
+    out = out if max_length is None else F.substring(out, 1, max_length)
     if not allow_html:
         out = F.regexp_replace(out, HTML_TAG, "")
     if not allow_special_chars:
@@ -25,8 +26,9 @@ def sanitize_string(
     return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
 
 
-def sanitize_input(text: Column, max_length: int = 1000) -> Column:
-    return F.substring(F.translate(F.coalesce(text, F.lit("")), DANGEROUS, ""), 1, max_length)
+def sanitize_input(text: Column, max_length: int | None = None) -> Column:
+    out = F.translate(F.coalesce(text, F.lit("")), DANGEROUS, "")
+    return out if max_length is None else F.substring(out, 1, max_length)
 
 
 def is_semver(text: Column) -> Column:

@@ -59,11 +59,12 @@ def audit_statistics(events: DataFrame) -> DataFrame:
     return counts.unionByName(users.select(F.lit("users").alias("kind"), F.lit("distinct").alias("name"), "value"))
 
 
-def security_events(events: DataFrame, limit: int = 100) -> DataFrame:
+def security_events(events: DataFrame, limit: int | None = None) -> DataFrame:
     """Risky, login and role events, newest first."""
     t = F.col("event_type")
     rows = events.where(F.col("risk_level").isin("high", "critical") | t.like("%login%") | t.like("%role%"))
-    return rows.orderBy(F.col("ts").desc(), "event_id").limit(limit)
+    rows = rows.orderBy(F.col("ts").desc(), "event_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def events_by_hour(events: DataFrame) -> DataFrame:

@@ -297,56 +297,77 @@ def ecdf(counts: DataFrame, limits: DataFrame | None = None) -> DataFrame:
 # ---------------------------------------------------------------- kernel, ensemble, windows
 
 
-@F.pandas_udf(DoubleType())
-def _kernel_gap(ref, cur, gamma):  # pragma: no cover - runs in the worker
-    import numpy as np
-    import pandas as pd
+#: Terms of the expansion below; with cells of half a kernel width the rest is under 1e-8 of a kernel value.
+MMD_TERMS = 18
+#: Kernel widths beyond which exp(-gamma d^2) is below 1e-16.
+MMD_REACH = 6.1
 
-    def mean_kernel(x, y, g):
-        return float(np.exp(-g * np.square(np.subtract.outer(x, y))).mean())
 
-    out = []
-    for x, y, g in zip(ref, cur, gamma):
-        x, y = np.asarray(x, dtype=float), np.asarray(y, dtype=float)
-        size = min(len(x), len(y))
-        x, y = x[:size], y[:size]
-        out.append(mean_kernel(x, x, g) + mean_kernel(y, y, g) - 2 * mean_kernel(x, y, g) if size else None)
-    return pd.Series(out, dtype="float64")
-
-
-MMD_ROWS = 1000
+@F.pandas_udf(DoubleType())
+def _cell_kernel(distance, one, two, gamma):  # pragma: no cover - runs in the worker
+    """Sum of exp(-gamma (x - y)^2) over all x of a cell and y of another, from their moments.
 
+    With x - y = distance + u the kernel is a series in u whose coefficients are Hermite polynomials of the
+    distance; powers of u = a - b split into moments of either cell.
+    """
+    import math
 
-def mmd(long_df: DataFrame, order: Sequence[str], gamma: float = 1.0) -> DataFrame:
-    """Kernel discrepancy of the first min(1000, n, m) rows per side in ``order``.
+    import numpy as np
+    import pandas as pd
 
-    The row limit is part of the operator. The first rows of each side are found by a
-    two-step top-k and travel as one bounded array per feature and side.
+    a, b = np.array(one.tolist(), dtype=float), np.array(two.tolist(), dtype=float)
+    g = math.sqrt(float(gamma.iloc[0])) if len(gamma) else 1.0
+    z = g * distance.to_numpy(dtype=float)
+    base = np.exp(-z * z)
+    total = np.zeros(len(z))
+    before, now = np.zeros(len(z)), np.ones(len(z))
+    for k in range(a.shape[1] if len(z) else 0):
+        u = sum(math.comb(k, i) * (-1) ** (k - i) * a[:, i] * b[:, k - i] for i in range(k + 1))
+        total += (-1) ** k * now * base * u / math.factorial(k)
+        before, now = now, 2 * z * now - 2 * k * before
+    return pd.Series(total, dtype="float64")
+
+
+def mmd(long_df: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """Kernel discrepancy of all rows of both sides: mean k(r, r') + mean k(c, c') - 2 mean k(r, c), k = exp(-gamma d^2).
+
+    Values fall into cells of half a kernel width. One aggregate leaves a few moments per feature, side
+    and cell; a cell then meets only the cells within reach of the kernel, at most 26 of them. Work grows with the rows
+    and the cells, never with pairs of rows.
     """
-    first = S.top_rows(long_df, ["feature", "side"], [F.col(c) for c in order], MMD_ROWS)
-    arrays = first.groupBy("feature").agg(
-        *[
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("rank", "value")))), lambda r: r["value"]
-            ).alias(s)
-            for s in ("ref", "cur")
-        ]
+    width = 0.5 / gamma**0.5
+    cell = F.floor(F.col("value") / width)
+    u = (F.col("value") - (F.col("_cell") + 0.5) * width) * gamma**0.5
+    rows = long_df.select("feature", "side", "value", cell.alias("_cell")).withColumn("_u", u)
+    moments = materialise(
+        rows.groupBy("feature", "side", "_cell").agg(
+            F.array(F.count(F.lit(1)).cast("double"), *[F.sum(F.pow("_u", F.lit(float(k)))) for k in range(1, MMD_TERMS)]).alias("_m")
+        )
+    )
+    sizes = moments.groupBy("feature").agg(*[F.sum(F.when(F.col("side") == s, F.get("_m", 0))).alias(f"_{s}") for s in ("ref", "cur")])
+    reach = int(MMD_REACH / 0.5) + 1
+    near = moments.withColumn("_near", F.explode(F.sequence(F.col("_cell") - reach, F.col("_cell") + reach)))
+    other = moments.select("feature", F.col("side").alias("_side"), F.col("_cell").alias("_near"), F.col("_m").alias("_o"))
+    distance = (F.col("_cell") - F.col("_near")) * width * gamma**0.5
+    met = near.join(other, ["feature", "_near"]).select(
+        "feature", "side", "_side", _cell_kernel(distance, F.col("_m"), F.col("_o"), F.lit(1.0)).alias("_k")
+    )
+    sums = met.groupBy("feature").agg(
+        *[F.sum(F.when((F.col("side") == s) & (F.col("_side") == t), F.col("_k"))).alias(f"_{s}_{t}") for s, t in (("ref", "ref"), ("cur", "cur"), ("ref", "cur"))]
     )
-    rows = arrays.where((F.size("ref") > 0) & (F.size("cur") > 0))
-    return rows.select("feature", _kernel_gap(F.col("ref"), F.col("cur"), F.lit(float(gamma))).alias("mmd"))
+    value = (
+        F.col("_ref_ref") / (F.col("_ref") * F.col("_ref"))
+        + F.col("_cur_cur") / (F.col("_cur") * F.col("_cur"))
+        - 2 * F.coalesce("_ref_cur", F.lit(0.0)) / (F.col("_ref") * F.col("_cur"))
+    )
+    return sizes.where("_ref > 0 AND _cur > 0").join(sums, "feature").select("feature", value.alias("mmd"))
 
 
-def mmd_categorical(long_cat: DataFrame, order: Sequence[str], gamma: float = 1.0) -> DataFrame:
-    """The same for categories: kernel 1 when equal, exp(-2 gamma) otherwise, so shares suffice."""
-    first = S.top_rows(long_cat, ["feature", "side"], [F.col(c) for c in order], MMD_ROWS)
-    sizes = first.groupBy("feature").agg(
-        F.least(F.count_if(F.col("side") == "ref"), F.count_if(F.col("side") == "cur")).alias("_size")
-    )
-    kept = first.join(sizes, "feature").where(F.col("rank") <= F.col("_size"))
+def mmd_categorical(counts: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """The same for categories from value counts: kernel 1 when equal, exp(-2 gamma) otherwise, so shares suffice."""
     p, q = _plain_shares()
     factor = 1.0 - F.exp(F.lit(-2.0 * gamma))
-    h = category_counts(S.value_counts_by_side(kept))
-    return h.groupBy("feature").agg((factor * F.sum((p - q) * (p - q))).alias("mmd"))
+    return category_counts(counts).groupBy("feature").agg((factor * F.sum((p - q) * (p - q))).alias("mmd"))
 
 
 ENSEMBLE_NUMERIC = (
@@ -421,10 +442,9 @@ class Inputs:
     from them.
     """
 
-    def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, order: Sequence[str], counts: DataFrame):
+    def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, counts: DataFrame):
         self.categorical = categorical
         self.counts = counts
-        self.order = list(order)
         self.sided = sided
         self.columns = list(columns)
         self._kept: dict[str, DataFrame] = {}
@@ -468,7 +488,7 @@ class Inputs:
 
     @property
     def kernel(self) -> DataFrame:
-        return (mmd_categorical if self.categorical else mmd)(self.long(*self.order), self.order)
+        return mmd_categorical(self.counts) if self.categorical else mmd(self.long())
 
 
 # method -> (summary, statistic column, p-value column)
@@ -578,22 +598,25 @@ def detect_drift(
     categorical: Sequence[str] = (),
     methods: Sequence[str] | None = None,
     thresholds: dict[str, float] | None = None,
-    order: Sequence[str] = (),
 ) -> DataFrame:
     """Long report: every feature x every method that applies, with score and flag.
 
-    ``order`` names the row order that MMD's "first rows" are taken by. Methods that need
-    a row order are left out when it is not given.
+    A name that is no method is an error; no method that applies to the columns gives an empty report.
     """
     wanted = list(methods) if methods is not None else [*METHODS, "drift_ensemble"]
-    if not order:
-        wanted = [m for m in wanted if m != "maximum_mean_discrepancy"]
+    if unknown := [m for m in wanted if m not in METHODS and m != "drift_ensemble"]:
+        raise ValueError(f"no such method: {', '.join(unknown)}")
     numbers, texts = column_counts(sided, numeric, categorical)
     parts = []
-    if numeric:
-        parts.append(method_rows(Inputs(sided, numeric, False, order, numbers), wanted))
-    if categorical:
-        parts.append(method_rows(Inputs(sided, categorical, True, order, texts), wanted))
+    for columns, is_text, counts in ((numeric, False, numbers), (categorical, True, texts)):
+        skipped = NUMERIC_ONLY if is_text else CATEGORICAL_ONLY
+        if columns and any(m not in skipped for m in wanted):
+            parts.append(method_rows(Inputs(sided, columns, is_text, counts), wanted))
+    if not parts:
+        return local_table(
+            sided.sparkSession, [],
+            "feature string, is_categorical boolean, method string, statistic double, p_value double, score double, threshold double, drift_detected boolean",
+        )
     rows = parts[0]
     for extra in parts[1:]:
         rows = rows.unionByName(extra)
@@ -678,7 +701,7 @@ def portfolio_metrics(report: DataFrame, quality: DataFrame) -> DataFrame:
 
 
 def drift_recommendations(report: DataFrame, portfolio: DataFrame) -> DataFrame:
-    """(priority, category, action, feature) rows that the report calls for."""
+    """(priority, category, action, feature) rows that the report calls for; actions are codes."""
     overall = overall_drift(report).select("overall_drift_score")
     none = F.lit(None).cast("string")
 
@@ -690,14 +713,14 @@ def drift_recommendations(report: DataFrame, portfolio: DataFrame) -> DataFrame:
     per_feature = feature_scores(report)
     score = F.col("overall_drift_score")
     parts = [
-        rule(overall, score > 0.7, "critical", "model_intervention", F.lit("Retrain or replace the model")),
-        rule(portfolio, F.col("volume_drift_detected"), "high", "data_collection", F.lit("Check why the data volume changed")),
+        rule(overall, score > 0.7, "critical", "model_intervention", F.lit("retrain")),
+        rule(portfolio, F.col("volume_drift_detected"), "high", "data_collection", F.lit("check_volume")),
         rule(
             per_feature,
             F.col("drift_detected") & (F.col("drift_score") > 0.5),
             "high",
             "feature_monitoring",
-            F.concat(F.lit("Watch feature "), F.col("feature")),
+            F.lit("watch"),
             F.col("feature"),
         ),
         rule(
@@ -705,9 +728,9 @@ def drift_recommendations(report: DataFrame, portfolio: DataFrame) -> DataFrame:
             F.col("features_with_quality_degradation") > 0,
             "medium",
             "data_quality",
-            F.lit("Repair the falling data quality"),
+            F.lit("repair"),
         ),
-        rule(overall, score > 0.3, "medium", "monitoring", F.lit("Monitor more often")),
+        rule(overall, score > 0.3, "medium", "monitoring", F.lit("monitor")),
     ]
     out = parts[0]
     for extra in parts[1:]:
@@ -804,12 +827,16 @@ def performance_drift(ref_metrics: DataFrame, cur_metrics: DataFrame, threshold:
 
 
 def drift_trend(history: DataFrame) -> DataFrame:
-    """Per model, from rows (model_id, ts, drift_score, drift_detected): latest state and how often it drifted."""
+    """Per model, from rows (model_id, ts, drift_score, drift_detected): latest state and how often it drifted.
+
+    Of rows at one time the one with the higher score counts as the latest.
+    """
+    latest = F.max(F.struct("ts", "drift_score", "drift_detected"))
     return history.groupBy("model_id").agg(
-        F.when(F.max_by("drift_detected", "ts"), "drift_detected").otherwise("stable").alias("current_status"),
+        F.when(latest["drift_detected"], "drift_detected").otherwise("stable").alias("current_status"),
         F.count_if("drift_detected").alias("drift_events"),
         (F.count_if("drift_detected") / F.count(F.lit(1))).alias("drift_frequency"),
-        F.max_by("drift_score", "ts").alias("latest_score"),
+        latest["drift_score"].alias("latest_score"),
     )
 
 
@@ -829,18 +856,27 @@ def dashboard_stats(alerts: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def adversarial_accuracy(sided: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How well a logistic model tells the sides apart: AUC 0.5 means no drift, 1 complete drift."""
+    """How well a logistic model tells the sides apart on rows it was not fitted on: AUC 0.5 means no drift, 1 complete drift.
+
+    A missing value takes its column's mean and sets a flag of its own; three tenths of the rows, by hash, are held out.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
+    means = sided.agg(*[F.coalesce(F.avg(S.clean(c)), F.lit(0.0)).alias(c) for c in columns]).first()
     rows = sided.select(
-        F.when(F.col("side") == "cur", 1.0).otherwise(0.0).alias("label"), *[S.clean(c).alias(c) for c in columns]
-    ).dropna()
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="raw").transform(rows)
-    scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors).transform(vectors)
-    model = LogisticRegression(maxIter=20).fit(scaled)
-    auc = BinaryClassificationEvaluator().evaluate(model.transform(scaled))
+        F.when(F.col("side") == "cur", 1.0).otherwise(0.0).alias("label"),
+        F.pmod(F.xxhash64(*columns), F.lit(10)).alias("_part"),
+        *[F.coalesce(S.clean(c), F.lit(means[c])).alias(c) for c in columns],
+        *[F.when(S.clean(c).isNull(), 1.0).otherwise(0.0).alias(f"_missing_{c}") for c in columns],
+    )
+    inputs = [*columns, *[f"_missing_{c}" for c in columns]]
+    vectors = VectorAssembler(inputCols=inputs, outputCol="raw").transform(rows)
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(vectors.where("_part < 7"))
+    scaled = scaler.transform(vectors)
+    model = LogisticRegression(maxIter=20).fit(scaled.where("_part < 7"))
+    auc = BinaryClassificationEvaluator().evaluate(model.transform(scaled.where("_part >= 7")))
     return local_table(sided.sparkSession,
         [("adversarial_accuracy", float(auc), float(abs(auc - 0.5) * 2))], "method string, auc double, score double"
     )

@@ -150,10 +150,10 @@ def shap_linear(df: DataFrame, key: str, weights: dict[str, float]) -> DataFrame
 
 
 def background_rows(df: DataFrame, key: str, features: Sequence[str], n: int = 20, seed: int = 42) -> list[tuple]:
-    """At most 100 rows picked by hash: the small reference set attributions compare with."""
+    """``n`` rows picked by hash: the reference set attributions compare with, held in the plan."""
     picked = S.top_rows(
         df.select(F.lit(1).alias("_all"), key, *[S.clean(f).alias(f) for f in features]).withColumn("_h", _hash(seed, key)),
-        ["_all"], [F.col("_h")], min(n, 100),
+        ["_all"], [F.col("_h")], n,
     )
     return [tuple(r[f] for f in features) for r in picked.orderBy("_h").collect()]
 
@@ -167,21 +167,20 @@ def _bit(mask: Column, j: int) -> Column:
     return F.getbit(mask, F.lit(j)) == 1
 
 
-EXACT_FEATURES = 10
-
-
 def shap_kernel(
     df: DataFrame, key: str, features: Sequence[str], scorer: Scorer, background: Sequence[tuple], permutations: int = 64,
-    seed: int = 42,
+    seed: int = 42, method: str = "exact",
 ) -> DataFrame:
     """(key, feature, attribution, base, prediction): Shapley values against a background.
 
-    Up to ten features every coalition is scored; above that, coalitions along seeded feature
-    orders are. Coalitions and background rows are generated per row and summed before the shuffle.
+    ``method`` "exact" scores every coalition, 2^features per row; "permutation" those along ``permutations`` seeded
+    feature orders. Coalitions and background rows are generated per row and summed before the shuffle.
     """
     m, b = len(features), len(background)
     rows = df.select(key, *[S.clean(f).alias(f) for f in features])
-    if m <= EXACT_FEATURES:
+    if method not in ("exact", "permutation"):
+        raise ValueError(f"no such method: {method}")
+    if method == "exact":
         rows = rows.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit(2**m - 1))))
         inside = [_bit(F.col("_mask"), j) for j in range(m)]
         size = F.bit_count("_mask")
@@ -215,10 +214,8 @@ def shap_kernel(
 
 
 def shap_interactions(df: DataFrame, key: str, features: Sequence[str], scorer: Scorer, background: Sequence[tuple]) -> DataFrame:
-    """(feature_i, feature_j, strength): mean absolute pairwise Shapley interaction, up to ten features."""
+    """(feature_i, feature_j, strength): mean absolute pairwise Shapley interaction over all 2^features coalitions."""
     m, b = len(features), len(background)
-    if m > EXACT_FEATURES:
-        raise ValueError(f"at most {EXACT_FEATURES} features")
     rows = df.select(key, *[S.clean(f).alias(f) for f in features]).withColumn(
         "_mask", F.explode(F.sequence(F.lit(0), F.lit(2**m - 1)))
     )
@@ -308,7 +305,7 @@ def global_importance(attributions: DataFrame) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
 
 
-def importance_details(importances: DataFrame, top_k: int = 20) -> DataFrame:
+def importance_details(importances: DataFrame, top_k: int | None = None) -> DataFrame:
     """Rank, ratio to the mean and an interval of a tenth of the spread, beside the summary figures."""
     everything = Window.partitionBy(F.lit(1))
     order = Window.orderBy(F.col("importance").desc(), "feature")
@@ -322,7 +319,7 @@ def importance_details(importances: DataFrame, top_k: int = 20) -> DataFrame:
                 "min_importance": F.min("importance").over(everything),
             }
         )
-        .where(F.col("rank") <= top_k)
+        .where(F.lit(True) if top_k is None else F.col("rank") <= top_k)
         .withColumns(
             {
                 "relative_importance": F.try_divide(F.col("importance"), F.col("mean_importance")),
@@ -407,21 +404,24 @@ def accumulated_local_effects(df: DataFrame, features: Sequence[str], scorer: Sc
 
 
 def ice_curves(
-    df: DataFrame, key: str, features: Sequence[str], scorer: Scorer, sample: int = 100, points: int = 50, seed: int = 42
+    df: DataFrame, key: str, features: Sequence[str], scorer: Scorer, sample: int | None = None, points: int = 50, seed: int = 42
 ) -> DataFrame:
-    """(feature, key, point, grid_value, prediction, average): curves of hash-picked rows over the 5th to 95th percentile."""
+    """(feature, key, point, grid_value, prediction, average): curves over the 5th to 95th percentile.
+
+    Curves of all rows, or of ``sample`` rows picked by hash; the average is that of the rows shown.
+    """
     cuts = S.quantiles_wide(S.long_numeric(df, features, keep=()), {"lo": 0.05, "hi": 0.95}).collect()
     ends = {r["feature"]: (r["lo"], r["hi"]) for r in cuts}
-    picked = S.top_rows(
-        df.select(F.lit(1).alias("_all"), key, *[S.clean(f).alias(f) for f in features]).withColumn("_h", _hash(seed, key)),
-        ["_all"], [F.col("_h")], sample,
-    )
+    picked = df.select(key, *[S.clean(f).alias(f) for f in features])
+    if sample is not None:
+        picked = S.top_rows(picked.withColumns({"_all": F.lit(1), "_h": _hash(seed, key)}), ["_all"], [F.col("_h")], sample)
     grids = F.concat(*[_grid(f, *ends[f], points) for f in features])
     rows = picked.select(key, *features, F.inline(grids))
     inputs = {f: F.when(F.col("feature") == f, F.col("grid_value")).otherwise(F.col(f)) for f in features}
     curves = scorer.add(rows, inputs, "prediction")
-    average = F.avg("prediction").over(Window.partitionBy("feature", "point"))
-    return curves.select("feature", key, "point", "grid_value", "prediction", average.alias("average"))
+    # Averages are combined before they move: one row per feature and point.
+    averages = curves.groupBy("feature", "point").agg(F.avg("prediction").alias("average"))
+    return curves.join(F.broadcast(averages), ["feature", "point"]).select("feature", key, "point", "grid_value", "prediction", "average")
 
 
 # ---------------------------------------------------------------- what if
@@ -490,11 +490,11 @@ def counterfactuals(
 
 
 def sensitivity(
-    df: DataFrame, key: str, features: Sequence[str], scorer: Scorer, n: int | None = 100, noise: float = 0.1, seed: int = 42
+    df: DataFrame, key: str, features: Sequence[str], scorer: Scorer, n: int | None = None, noise: float = 0.1, seed: int = 42
 ) -> DataFrame:
     """(feature, sensitivity): mean absolute change of the score under noise of ``noise`` deviations.
 
-    ``n`` rows are picked by hash, or all rows with None.
+    All rows, or ``n`` rows picked by hash.
     """
     spread = df.agg(*[F.coalesce(F.stddev_pop(S.clean(f)), F.lit(0.0)).alias(f) for f in features]).first()
     rows = df.select(key, *[S.clean(f).alias(f) for f in features])

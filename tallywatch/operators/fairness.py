@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.functions.bands import band, share
@@ -473,15 +473,14 @@ def apply_thresholds(df: DataFrame, attribute: str, thresholds: DataFrame, name:
 
 
 def reweighing(df: DataFrame, attribute: str, target: str = "y") -> DataFrame:
-    """Rows with ``weight`` = P(a) P(y) / P(a, y), which makes label rates equal over groups."""
+    """Rows with ``weight`` = P(a) P(y) / P(a, y), which makes label rates equal over groups.
+
+    Rows without a group, or without a label, are a group, or a label, of their own.
+    """
     cells = df.groupBy(attribute, target).agg(F.count(F.lit(1)).alias("_n"))
-    by_a = cells.groupBy(attribute).agg(F.sum("_n").alias("_a"))
-    by_y = cells.groupBy(target).agg(F.sum("_n").alias("_y"))
-    total = cells.agg(F.sum("_n").alias("t")).select("t").scalar()
-    weights = cells.join(by_a, attribute).join(by_y, target).select(
-        attribute, target, (F.col("_a").cast("double") * F.col("_y") / (total * F.col("_n"))).alias("weight")
-    )
-    return df.join(S.broadcast_if_small(weights), [attribute, target])
+    of = lambda *keys: F.sum("_n").over(Window.partitionBy(*(keys or [F.lit(0)])))
+    weight = of(attribute).cast("double") * of(target) / (of() * F.col("_n"))
+    return S.null_safe_join(df, cells.select(attribute, target, weight.alias("weight")), [attribute, target], "left")
 
 
 def baseline_model(df: DataFrame, features: Sequence[str], key: Sequence[str], kind: str = "logistic_regression", seed: int = 42):

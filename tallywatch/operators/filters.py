@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.operators import summaries as S
@@ -29,14 +29,28 @@ def split_by_time(df: DataFrame, ts: str, ref: tuple[str, str], cur: tuple[str,
 
 
 def split_by_position(df: DataFrame, key: str, ratio: float = 0.7) -> DataFrame:
-    """The first ``int(n * ratio)`` rows by a unique numeric key as 'ref', the rest as 'cur'.
+    """The first ``int(n * ratio)`` rows by a unique key of any ordered type as 'ref', the rest as 'cur'.
 
-    Only the key at the cut is searched for; rows stay where they are.
+    Only the key at the cut is searched for, in the key's own type; rows stay where they are. Null keys come last.
     """
-    keys = df.select(F.lit(key).alias("feature"), F.col(key).cast("double").alias("value"))
-    cut = S.exact_quantiles(keys, [ratio], position=lambda share, n: int(n * share) - 1)
-    value = cut.select("quantile").scalar()
-    return df.withColumn("side", F.when(F.col(key) <= value, "ref").otherwise("cur"))
+    position = int(df.count() * ratio)
+    keys = S.in_order(df.select(F.col(key).alias("key")).where("key IS NOT NULL"), "key")
+    # One row per part of the stored keys.
+    before, found = 0, None
+    for row in keys.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).orderBy("slot").collect():
+        if before < position <= before + row["n"]:
+            rank = F.row_number().over(Window.orderBy("key"))
+            found = keys.where(F.col("slot") == row["slot"]).withColumn("r", rank).where(F.col("r") == position - before).select("key").scalar()
+        before += row["n"]
+    if found is None:
+        return df.withColumn("side", F.lit("ref") if position and position >= before else F.lit("cur"))
+    return df.withColumn("side", F.when(F.col(key) <= found, "ref").otherwise("cur"))
+
+
+def attach_labels(predictions: DataFrame, labels: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """Predictions with the label of their key, null where there is none; a key labelled more than once has its largest label."""
+    known = labels.groupBy(key).agg(F.max(label).alias(label))
+    return predictions.join(known, key, "left")
 
 
 def drop_and_dropna(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
@@ -70,11 +84,12 @@ def audit_trail(
     return rows
 
 
-def trail_page(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page, newest first, with the total count and whether more follow."""
+def trail_page(rows: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """One page of ``limit`` rows (all without one), newest first, with the total count and whether more follow."""
     total = rows.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    page = rows.orderBy(F.col("ts").desc(), F.col("event_id")).offset(offset).limit(limit)
-    return page.withColumn("total_count", total).withColumn("has_more", F.lit(offset + limit) < F.col("total_count"))
+    page = rows.orderBy(F.col("ts").desc(), F.col("event_id")).offset(offset)
+    more = F.lit(False) if limit is None else F.lit(offset + limit) < F.col("total_count")
+    return (page if limit is None else page.limit(limit)).withColumn("total_count", total).withColumn("has_more", more)
 
 
 def active_alerts(
@@ -87,7 +102,7 @@ def active_alerts(
 
 
 def model_alerts(
-    alerts: DataFrame, model_id: str | None = None, severities: Sequence[str] | None = None, limit: int | None = 50
+    alerts: DataFrame, model_id: str | None = None, severities: Sequence[str] | None = None, limit: int | None = None
 ) -> DataFrame:
     rows = alerts
     if model_id is not None:

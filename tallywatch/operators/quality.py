@@ -147,7 +147,7 @@ def validation_summary(violations: DataFrame, total_rules: int) -> DataFrame:
 def validate_dataframe(
     df: DataFrame,
     min_rows: int = 1,
-    max_rows: int = 1_000_000,
+    max_rows: int | None = None,
     required: Sequence[str] = (),
     numeric: Sequence[str] = (),
 ) -> DataFrame:
@@ -161,7 +161,7 @@ def validate_dataframe(
     sizes = setops.duplicate_count(df).select("rows", "duplicate_rows")
     shape = F.array(
         F.when(F.col("rows") < min_rows, F.struct(F.lit("error").alias("level"), F.lit("min_rows").alias("check"), F.col("rows").cast("string").alias("detail"))),
-        F.when(F.col("rows") > max_rows, F.struct(F.lit("error").alias("level"), F.lit("max_rows").alias("check"), F.col("rows").cast("string").alias("detail"))),
+        F.when(F.lit(False) if max_rows is None else F.col("rows") > max_rows, F.struct(F.lit("error").alias("level"), F.lit("max_rows").alias("check"), F.col("rows").cast("string").alias("detail"))),
         F.when(F.col("duplicate_rows") > 0, F.struct(F.lit("warning").alias("level"), F.lit("duplicate_rows").alias("check"), F.col("duplicate_rows").cast("string").alias("detail"))),
     )
     out = out.unionByName(sizes.select(F.inline(F.array_compact(shape))))

@@ -12,20 +12,9 @@ from tallywatch.operators import drift as D
 from tallywatch.operators import quality as Q
 from tallywatch.operators import summaries as S
 from tallywatch.operators.aggregates import correlation
-from tallywatch.session import local_table
 
-# Weight of a severity, and the actions each kind of cause calls for.
+# Weight of a severity.
 SEVERITY_WEIGHTS = {"critical": 1.0, "high": 0.8, "medium": 0.6, "low": 0.4}
-ACTIONS = (
-    ("data_drift", "Retrain on recent data"),
-    ("data_drift", "Watch the drifted features"),
-    ("data_drift", "Review how the data is collected"),
-    ("feature_importance_shift", "Check the feature engineering"),
-    ("feature_importance_shift", "Review the feature selection"),
-    ("data_quality", "Validate incoming data"),
-    ("data_quality", "Review the preprocessing"),
-)
-STRATEGIC = ("Monitor and alert on every model", "Manage the model lifecycle", "Write incident playbooks", "Validate models automatically")
 
 
 def _hypothesis(found: DataFrame, name: str, category: str, severity: str, step: float) -> DataFrame:
@@ -81,38 +70,28 @@ def analysis_confidence(hypotheses: DataFrame, cur: DataFrame | None = None) ->
     )
 
 
-def recommendations(ranked: DataFrame) -> DataFrame:
-    """(priority, action): for the primary cause at once, for the contributing ones soon, and strategic ones."""
-    spark = ranked.sparkSession
-    table = F.broadcast(local_table(spark, list(ACTIONS), "category string, action string"))
-    when = F.when(F.col("role") == "primary", "immediate").otherwise("short_term")
-    found = ranked.where("role <> 'other'").join(table, "category").select(when.alias("priority"), "action").distinct()
-    any_found = ranked.limit(1).select(F.lit("strategic").alias("priority"))
-    strategic = any_found.withColumn("action", F.explode(F.array(*[F.lit(a) for a in STRATEGIC])))
-    return found.unionByName(strategic)
-
-
-# What to do next per primary category, when confidence is low, and always.
-NEXT_STEPS = (
-    ("data_drift", "Monitor drift continuously"),
-    ("data_drift", "Schedule retraining"),
-    ("data_quality", "Validate data on arrival"),
-    ("data_quality", "Monitor data quality"),
-    ("bias_detection", "Apply bias mitigation"),
-    ("bias_detection", "Monitor fairness"),
-)
-LOW_CONFIDENCE_STEPS = ("Collect more data", "Confirm with domain experts", "Try other analyses")
-
-
-def next_steps(ranked: DataFrame, confidence: DataFrame) -> DataFrame:
-    """(reason, step) rows."""
-    table = F.broadcast(local_table(ranked.sparkSession, list(NEXT_STEPS), "category string, step string"))
-    by_cause = ranked.where("rank = 1").join(table, "category").select(F.lit("primary_cause").alias("reason"), "step")
-    low = confidence.where("confidence_level = 'low'").select(
-        F.lit("low_confidence").alias("reason"), F.explode(F.array(*[F.lit(s) for s in LOW_CONFIDENCE_STEPS])).alias("step")
-    )
-    always = confidence.select(F.lit("follow_up").alias("reason"), F.lit("Repeat the analysis after the fix").alias("step"))
-    return by_cause.unionByName(low).unionByName(always)
+def recommendations(ranked: DataFrame, rules: DataFrame) -> DataFrame:
+    """(priority, code): what the caller's ``rules`` (category, role, priority, code) call for.
+
+    A rule holds for hypotheses of its category and role; a null category or role stands for any,
+    hypotheses of role 'other' aside.
+    """
+    found = ranked.where("role <> 'other'").select(F.col("category").alias("_category"), F.col("role").alias("_role"))
+    fits = (F.col("category").isNull() | (F.col("category") == F.col("_category"))) & (F.col("role").isNull() | (F.col("role") == F.col("_role")))
+    # A handful of hypotheses meets a handful of rules.
+    return rules.join(found, fits).select("priority", "code").distinct()
+
+
+def next_steps(ranked: DataFrame, confidence: DataFrame, rules: DataFrame) -> DataFrame:
+    """(reason, code) from ``rules`` (reason, category, code).
+
+    Reason 'primary_cause' holds for the category of the first hypothesis, 'low_confidence' where confidence is low, and any other always.
+    """
+    primary = ranked.where("rank = 1").select("category")
+    by_cause = rules.where("reason = 'primary_cause'").join(primary, "category").select("reason", "code")
+    low = confidence.where("confidence_level = 'low'").select(F.lit("low_confidence").alias("reason"))
+    by_confidence = rules.where("reason = 'low_confidence'").join(low, "reason").select("reason", "code")
+    return by_cause.unionByName(by_confidence).unionByName(rules.where("reason NOT IN ('primary_cause', 'low_confidence')").select("reason", "code"))
 
 
 def protected_correlation(df: DataFrame, features: Sequence[str], attribute: str, limit: float = 0.7) -> DataFrame:

@@ -7,9 +7,9 @@
   whole column in one task.
 
 Slot limits are estimates and steer only the balance of the work: every result is
-exact whatever the limits are. They are fetched once as plain numbers (33 per
-feature, like the bounds of a range shuffle), so both halves of a plan and every
-retry of a lost task see the same cut.
+exact whatever the limits are. They are fetched once as plain numbers (like the
+bounds of a range shuffle), so both halves of a plan and every retry of a lost task
+see the same cut.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywatch.session import local_table
+from tallywatch.session import local_table, materialise
 
-COARSE = 32
-FINE = 32
+SLOTS = 1024
 
 
 def clean(name: str) -> Column:
@@ -62,11 +61,11 @@ def pair_sides(ref: DataFrame, cur: DataFrame) -> DataFrame:
 
 
 def slot_limits(long_df: DataFrame, value: str = "value") -> DataFrame:
-    """(feature, limits): estimated 1/32 quantiles of every feature, as a local table."""
-    shares = [i / COARSE for i in range(COARSE + 1)]
+    """(feature, limits): estimated quantiles of every feature, ``SLOTS`` even parts, as a local table."""
+    shares = [i / SLOTS for i in range(SLOTS + 1)]
     rows = (
         long_df.groupBy("feature")
-        .agg(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), 1000).alias("limits"))
+        .agg(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), 10 * SLOTS).alias("limits"))
         .collect()
     )
     data = [(r["feature"], [float(x) for x in r["limits"]]) for r in rows]
@@ -74,23 +73,38 @@ def slot_limits(long_df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def with_slot(long_df: DataFrame, limits: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``slot``: order-preserving in ``value``; 32 coarse cuts x 32 even sub-cuts.
+    """Add ``slot``: order-preserving in ``value``, about the same number of rows in each.
 
-    The coarse cut is found by five halving steps, all plain column arithmetic.
+    The limits are quantiles, so a far value has no say in the others' slots. The slot is found by
+    ten halving steps, all plain column arithmetic.
     """
     v = F.col(value)
-    out = long_df.join(F.broadcast(limits), "feature").withColumn("_cut", F.lit(0))
-    step = COARSE // 2
+    out = long_df.join(F.broadcast(limits), "feature").withColumn("slot", F.lit(0))
+    step = SLOTS // 2
     while step:
-        ahead = F.get(F.col("limits"), F.col("_cut") + F.lit(step))
-        out = out.withColumn("_cut", F.col("_cut") + F.when(v >= ahead, F.lit(step)).otherwise(F.lit(0)))
+        ahead = F.get(F.col("limits"), F.col("slot") + F.lit(step))
+        # The otherwise makes the slot non-null, which spares joins on it a repeated null check.
+        out = out.withColumn("slot", F.col("slot") + F.when(v >= ahead, F.lit(step)).otherwise(F.lit(0)))
         step //= 2
-    low = F.get(F.col("limits"), F.col("_cut"))
-    high = F.get(F.col("limits"), F.col("_cut") + F.lit(1))
-    inside = F.greatest(F.lit(0.0), F.least(F.lit(FINE - 1.0), F.try_divide(v - low, high - low) * FINE))
-    fine = F.when(high > low, F.floor(inside).cast("int")).otherwise(F.lit(0))
-    # The coalesce makes the slot non-null, which spares joins on it a repeated null check.
-    return out.withColumn("slot", F.coalesce(F.col("_cut") * FINE + fine, F.lit(0))).drop("_cut", "limits")
+    return out.drop("limits")
+
+
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` stored in range parts of ``order``, with the number of its part as ``slot``.
+
+    Parts are even unless rows are equal in all of ``order``, and follow the amount of data. They are
+    written, so that every later reader and every retry sees the same cut.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn("slot", F.spark_partition_id()))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join by ``on`` in which null meets null; the left table's keys are kept."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    test = F.lit(True)
+    for c in on:
+        test = test & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, test, how).drop(*[f"_r_{c}" for c in on])
 
 
 def as_counts(long_df: DataFrame, *keep: str) -> DataFrame:
@@ -258,16 +272,15 @@ def quantiles_wide(
 def ordered_codes(values: DataFrame) -> DataFrame:
     """Add ``code``, the 0-based position of a text among its feature's distinct values.
 
-    ``values`` holds each (feature, value) once. Ranking runs in parts that share their first
-    three characters.
+    ``values`` holds each (feature, value) once. Positions are counted within range parts of the
+    whole text, so a prefix that many texts share is no hot spot.
     """
-    cells = values.withColumn("_prefix", F.substring("value", 1, 3))
-    sizes = cells.groupBy("feature", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn(
-        "_off", F.sum("_n").over(Window.partitionBy("feature").orderBy("_prefix")) - F.col("_n")
-    ).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("feature", "_prefix").orderBy("value"))
-    return cells.join(offsets, ["feature", "_prefix"]).withColumn("code", F.col("_off") + inside - 1).drop("_prefix", "_off")
+    cells = in_order(values, "feature", "value")
+    sizes = cells.groupBy("feature", "slot").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("feature").orderBy("slot")) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy("feature", "slot").orderBy("value"))
+    joined = cells.join(sizes.select("feature", "slot", before.alias("_off")), ["feature", "slot"])
+    return joined.withColumn("code", F.col("_off") + inside - 1).drop("slot", "_off")
 
 
 BROADCAST_ROWS = 20_000
@@ -362,7 +375,7 @@ def hash_cuts(df: DataFrame, seed: str, key: Sequence[str], shares: Sequence[flo
     inside = Window.partitionBy(*within, "_prefix").orderBy("_h")
     # Without groups the wanted prefixes are as few as the shares.
     wanted = sizes.select(*within, "_prefix").distinct()
-    ranked = hashed.join(wanted if within else F.broadcast(wanted), [*within, "_prefix"], "left_semi").withColumn(
+    ranked = null_safe_join(hashed, wanted if within else F.broadcast(wanted), [*within, "_prefix"], "left_semi").withColumn(
         "_r", F.row_number().over(inside)
     )
-    return ranked.join(sizes, [*within, "_prefix"]).where("_r = _nth").select(*within, "share", F.col("_h").alias("cut"))
+    return null_safe_join(ranked, sizes, [*within, "_prefix"]).where("_r = _nth").select(*within, "share", F.col("_h").alias("cut"))

@@ -16,27 +16,26 @@ ERROR_METRICS = ("mse", "mae", "rmse", "log_loss", "brier")
 def rank_by(df: DataFrame, keys: Sequence[str], value: str, tie: str, absolute: bool = False) -> DataFrame:
     """1-based rank of each row within its key, largest (absolute) value first, missing values last.
 
-    A key's rows are cut into ordered slots of the value, ranked per slot, and shifted by the sizes of
-    the slots before, so a key may hold most of the table.
+    Rows are counted within range parts of (key, value, tie) and shifted by the sizes of the key's
+    earlier parts, so a key, or one value of it, may hold most of the table.
     """
     size = S.clean(value)
-    falling = -(F.abs(size) if absolute else size)
-    rows = df.withColumns({"feature": F.lit(value), "_v": falling})
-    limits = S.slot_limits(rows.where(F.col("_v").isNotNull()), "_v")
-    slotted = S.with_slot(rows, limits, "_v").withColumn(
-        "slot", F.when(F.col("_v").isNull(), S.COARSE * S.FINE).otherwise(F.col("slot"))
-    )
-    sizes = slotted.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"))
+    falling = F.col("_v").asc_nulls_last()
+    rows = S.in_order(df.withColumn("_v", -(F.abs(size) if absolute else size)), *keys, falling, tie)
+    sizes = rows.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("slot")) - F.col("_n")
-    offsets = sizes.select(*keys, "slot", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(F.col("_v").asc_nulls_last(), tie))
-    ranked = slotted.join(offsets, [*keys, "slot"]).withColumn("rank", (F.col("_before") + inside).cast("int"))
-    return ranked.select(*df.columns, "rank")
+    inside = F.row_number().over(Window.partitionBy(*keys, "slot").orderBy(falling, tie))
+    counted = rows.withColumn("_r", inside)
+    ranked = S.null_safe_join(counted, sizes.select(*keys, "slot", before.alias("_before")), [*keys, "slot"], "left")
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_r")).cast("int").alias("rank"))
+
 
+def latest_two(df: DataFrame, keys: Sequence[str], ts: str, value: str, tie: str | None = None) -> DataFrame:
+    """(keys, current, previous): the two newest values per key, by a bounded top-k.
 
-def latest_two(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    """(keys, current, previous): the two newest values per key, by a bounded top-k."""
-    newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
+    Of rows at one time the one with the larger ``tie`` (the value itself unless given) is the newer.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col(tie or value).desc())
     rows = df.withColumn("_r", F.row_number().over(newest)).where("_r <= 2")
     return rows.groupBy(*keys).agg(
         F.max(F.when(F.col("_r") == 1, F.col(value))).alias("current"),

@@ -278,15 +278,14 @@ def _chi_square(spark, sf_dir):
     )
 
 
+# All rows: values are rounded to the first, counted, and only values within reach of the kernel meet.
 MMD_CTE = """
-small AS (SELECT side, feature, value, row_number() OVER (PARTITION BY feature, side ORDER BY ordering, row_key) AS rn FROM (
-            SELECT side, 'l_quantity' AS feature, l_quantity AS value, md5('mmd|' || row_key) AS ordering, row_key FROM base
-            UNION ALL SELECT side, 'l_tax', l_tax, md5('mmd|' || row_key), row_key FROM base)),
-kept AS (SELECT * FROM small WHERE rn <= 1000),
-lim AS (SELECT feature, least(count(*) FILTER (side = 'ref'), count(*) FILTER (side = 'cur')) AS s FROM kept GROUP BY feature),
-pick AS (SELECT k.side, k.feature, k.value FROM kept k JOIN lim ON k.feature = lim.feature WHERE rn <= s),
-kern AS (SELECT a.feature, a.side AS s1, b.side AS s2, avg(exp(-((a.value - b.value) ** 2))) AS k
-         FROM pick a JOIN pick b ON a.feature = b.feature GROUP BY ALL)
+vc AS (SELECT side, feature, value, count(*)::DOUBLE AS n FROM num GROUP BY ALL),
+sz AS (SELECT feature, sum(n) FILTER (side = 'ref') AS nr, sum(n) FILTER (side = 'cur') AS nc FROM vc GROUP BY feature),
+bins AS (SELECT *, floor(value / 7.0) AS b FROM vc),
+near AS (SELECT side, feature, value, n, b + d AS b FROM bins, (SELECT unnest([-1, 0, 1]) AS d)),
+kern AS (SELECT x.feature, x.side AS s1, y.side AS s2, sum(x.n * y.n * exp(-((x.value - y.value) ** 2))) AS k
+         FROM bins x JOIN near y ON x.feature = y.feature AND x.b = y.b GROUP BY ALL)
 """
 
 
@@ -295,33 +294,28 @@ kern AS (SELECT a.feature, a.side AS s1, b.side AS s2, avg(exp(-((a.value - b.va
     _sql(
         MMD_CTE,
         body=""" SELECT feature, 'maximum_mean_discrepancy' AS method,
-          round(sum(CASE WHEN s1 = s2 THEN k ELSE -k END), 6) AS statistic FROM kern GROUP BY feature""",
+          round(sum(CASE WHEN s1 <> s2 THEN -k / (nr * nc) WHEN s1 = 'ref' THEN k / (nr * nr) ELSE k / (nc * nc) END), 6) + 0.0 AS statistic
+          FROM kern JOIN sz USING (feature) GROUP BY feature""",
     ),
 )
 def _mmd(spark, sf_dir):
-    sided = sided_lineitem(spark, sf_dir).withColumn("ordering", F.md5(F.concat(F.lit("mmd|"), "row_key")))
-    long_df = S.long_numeric(sided, ["l_quantity", "l_tax"], ["side", "ordering", "row_key"])
-    return rounded(_named(D.mmd(long_df, ["ordering", "row_key"]), "maximum_mean_discrepancy", "mmd"))
+    long_df = S.long_numeric(sided_lineitem(spark, sf_dir), list(NUMERIC))
+    return rounded(_named(D.mmd(long_df), "maximum_mean_discrepancy", "mmd"))
 
 
 @query(
     "drf_mmd_categorical",
     _sql(
         """
-small AS (SELECT side, feature, value, row_number() OVER (PARTITION BY feature, side ORDER BY ordering, row_key) AS rn FROM (
-            SELECT side, 'o_orderpriority' AS feature, o_orderpriority AS value, md5('mmd|' || row_key) AS ordering, row_key FROM base)),
-pick AS (SELECT * FROM small WHERE rn <= (SELECT least(1000, count(*) FILTER (side = 'ref'), count(*) FILTER (side = 'cur')) FROM small)),
-sh AS (SELECT feature, value, count(*) FILTER (side = 'ref')::DOUBLE AS r, count(*) FILTER (side = 'cur')::DOUBLE AS c FROM pick GROUP BY ALL),
-n AS (SELECT sum(r) AS nr, sum(c) AS nc FROM sh)
+sh AS (SELECT feature, value, count(*) FILTER (side = 'ref')::DOUBLE AS r, count(*) FILTER (side = 'cur')::DOUBLE AS c FROM cat GROUP BY ALL)
 """,
         body=""" SELECT feature, 'maximum_mean_discrepancy' AS method,
-          round((1 - exp(-2.0::DOUBLE)) * sum((r / nr - c / nc) ** 2), 6) AS statistic FROM sh, n GROUP BY feature""",
+          round((1 - exp(-2.0::DOUBLE)) * sum((r / n_ref - c / n_cur) ** 2), 6) AS statistic FROM sh JOIN totals USING (feature) GROUP BY feature""",
     ),
 )
 def _mmd_categorical(spark, sf_dir):
-    sided = sided_lineitem(spark, sf_dir).withColumn("ordering", F.md5(F.concat(F.lit("mmd|"), "row_key")))
-    long_df = S.long_categorical(sided, ["o_orderpriority"], ["side", "ordering", "row_key"])
-    return rounded(_named(D.mmd_categorical(long_df, ["ordering", "row_key"]), "maximum_mean_discrepancy", "mmd"))
+    _, counts = _both(spark, sf_dir)
+    return rounded(_named(D.mmd_categorical(counts), "maximum_mean_discrepancy", "mmd"))
 
 
 # ------------------------------------------------------------------ reports
@@ -379,8 +373,7 @@ def _detect(spark, sf_dir):
 
 @query("drf_detect_drift_all_methods")
 def _detect_all(spark, sf_dir):
-    sided = sided_lineitem(spark, sf_dir).withColumn("ordering", F.md5(F.concat(F.lit("mmd|"), "row_key")))
-    return rounded(D.detect_drift(sided, NUMERIC, CATEGORICAL, order=["ordering", "row_key"]), 4)
+    return rounded(D.detect_drift(sided_lineitem(spark, sf_dir), NUMERIC, CATEGORICAL), 4)
 
 
 @query(
@@ -479,11 +472,11 @@ def _portfolio(spark, sf_dir):
 
 @query("drf_recommendations", _sql(*REPORT_CTES, QUALITY_CTE, PORTFOLIO_CTE, body="""
    , o AS (SELECT avg(drift_score) AS s FROM feat)
-   SELECT 'critical' AS priority, 'model_intervention' AS category, 'Retrain or replace the model' AS action, NULL::VARCHAR AS feature FROM o WHERE s > 0.7
-   UNION ALL SELECT 'high', 'data_collection', 'Check why the data volume changed', NULL FROM port WHERE volume_drift_detected
-   UNION ALL SELECT 'high', 'feature_monitoring', 'Watch feature ' || feature, feature FROM feat WHERE drift_detected AND drift_score > 0.5
-   UNION ALL SELECT 'medium', 'data_quality', 'Repair the falling data quality', NULL FROM port WHERE features_with_quality_degradation > 0
-   UNION ALL SELECT 'medium', 'monitoring', 'Monitor more often', NULL FROM o WHERE s > 0.3"""))
+   SELECT 'critical' AS priority, 'model_intervention' AS category, 'retrain' AS action, NULL::VARCHAR AS feature FROM o WHERE s > 0.7
+   UNION ALL SELECT 'high', 'data_collection', 'check_volume', NULL FROM port WHERE volume_drift_detected
+   UNION ALL SELECT 'high', 'feature_monitoring', 'watch', feature FROM feat WHERE drift_detected AND drift_score > 0.5
+   UNION ALL SELECT 'medium', 'data_quality', 'repair', NULL FROM port WHERE features_with_quality_degradation > 0
+   UNION ALL SELECT 'medium', 'monitoring', 'monitor', NULL FROM o WHERE s > 0.3"""))
 def _recommendations(spark, sf_dir):
     saved = saved_report(spark, sf_dir)
     portfolio = materialise(D.portfolio_metrics(saved, _quality(spark, sf_dir)))

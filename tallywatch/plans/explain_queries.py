@@ -199,11 +199,15 @@ def _ale(spark, sf_dir):
     return rounded(E.accumulated_local_effects(customers(spark, sf_dir), ["bal", "nat", "seg"], LOGIT).where("feature = 'bal'"), 4)
 
 
-@query("exp_ice", f"""WITH {CUST}, s AS (SELECT * FROM cust ORDER BY md5('42|' || c_custkey) LIMIT 100), q AS (SELECT quantile_cont(bal, 0.05) AS lo, quantile_cont(bal, 0.95) AS hi FROM cust),
-   gr AS (SELECT i AS point, lo + i * (hi - lo) / 49.0::DOUBLE AS gv FROM q, (SELECT unnest(range(0, 50)) AS i)), c AS (SELECT c_custkey, point, gv, {f("gv")} AS p FROM s, gr)
-   SELECT 'bal' AS feature, c_custkey, point::INTEGER AS point, round(gv, 4) AS grid_value, round(p, 6) AS prediction, round(avg(p) OVER (PARTITION BY point), 6) AS average FROM c""")
+def _ice_sql(name: str, score: str) -> str:
+    return f"""SELECT '{name}' AS feature, c_custkey, i AS point, lo + i * (hi - lo) / 49.0::DOUBLE AS gv, {score.replace("GRID", "(lo + i * (hi - lo) / 49.0::DOUBLE)")} AS p
+      FROM cust, (SELECT quantile_cont({name}, 0.05) AS lo, quantile_cont({name}, 0.95) AS hi FROM cust), (SELECT unnest(range(0, 50)) AS i)"""
+
+
+@query("exp_ice", f"""WITH {CUST}, c AS ({_ice_sql("bal", f("GRID"))} UNION ALL {_ice_sql("nat", f(n="GRID"))} UNION ALL {_ice_sql("seg", f(s="GRID"))})
+   SELECT feature, c_custkey, point::INTEGER AS point, round(gv, 4) AS grid_value, round(p, 6) AS prediction, round(avg(p) OVER (PARTITION BY feature, point), 6) AS average FROM c""")
 def _ice(spark, sf_dir):
-    return rounded(E.ice_curves(customers(spark, sf_dir), "c_custkey", ["bal", "nat", "seg"], LOGIT).where("feature = 'bal'"), 6, grid_value=4)
+    return rounded(E.ice_curves(customers(spark, sf_dir), "c_custkey", FEATURES, LOGIT), 6, grid_value=4)
 
 
 WHAT_IF = f"""WITH {CUST}, sc AS (SELECT c_custkey, 'richer' AS scenario, bal + 1000 AS b2, NULL::DOUBLE AS n2, NULL::DOUBLE AS s2 FROM cust UNION ALL SELECT c_custkey, 'moved', NULL, 3.0, 9.0 FROM cust),
@@ -269,7 +273,7 @@ def _sensitivity(spark, sf_dir):
    a AS (SELECT avg(abs({f(f"bal + {_noise(42)} * sb")} - {f()})) AS bal, avg(abs({f(n=f"nat + {_noise(43)} * sn")} - {f()})) AS nat FROM s, sd)
    SELECT 'bal' AS feature, round(bal, 6) AS sensitivity FROM a UNION ALL SELECT 'nat', round(nat, 6) FROM a""")
 def _sensitivity_sample(spark, sf_dir):
-    rows = E.sensitivity(customers(spark, sf_dir), "c_custkey", FEATURES, LOGIT)
+    rows = E.sensitivity(customers(spark, sf_dir), "c_custkey", FEATURES, LOGIT, n=100)
     return rounded(rows.where("feature <> 'seg'"))
 
 

@@ -12,7 +12,7 @@ from tallywatch.plans.bindings import CATEGORICAL, NUMERIC, SIDED_SQL, query, re
 from tallywatch.plans.drift_queries import CAT_SQL, DECILE_SQL, HIST_SQL, JS_EXPR, SHARES_SQL, drift_history
 from tallywatch.plans.quality_queries import DEGRADED_SQL
 from tallywatch.plans.table_queries import SERIES_SQL, daily_series
-from tallywatch.session import materialise, shared_folder
+from tallywatch.session import local_table, materialise, shared_folder
 from tallywatch.streaming import streams
 
 # ------------------------------------------------------------------ alerts
@@ -120,7 +120,7 @@ def _active(spark, sf_dir):
 
 @query("fil_model_alerts", f"WITH {LOG_SQL} SELECT alert_id, severity FROM lc WHERE model_id = 3 AND severity = 'high' ORDER BY triggered_at DESC, alert_id LIMIT 50")
 def _model_alerts(spark, sf_dir):
-    return filters.model_alerts(tracked_alerts(spark, sf_dir), 3, ["high"]).select("alert_id", "severity")
+    return filters.model_alerts(tracked_alerts(spark, sf_dir), 3, ["high"], 50).select("alert_id", "severity")
 
 
 @query("top_triggered_rules", "SELECT event_type AS rule_id, count(*) AS n FROM events WHERE value > 60 GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 10")
@@ -179,7 +179,7 @@ def _audit_statistics(spark, sf_dir):
 
 @query("aud_security_events", f"WITH {AUDIT_SQL} SELECT event_id, event_type, risk_level FROM audit WHERE risk_level IN ('high', 'critical') OR event_type LIKE '%login%' OR event_type LIKE '%role%' ORDER BY ts DESC, event_id LIMIT 100")
 def _security(spark, sf_dir):
-    return audit.security_events(audit_log(spark, sf_dir)).select("event_id", "event_type", "risk_level")
+    return audit.security_events(audit_log(spark, sf_dir), 100).select("event_id", "event_type", "risk_level")
 
 
 @query("aud_events_by_hour", "SELECT hour(ts)::INTEGER AS hour, count(*) AS n FROM events GROUP BY 1")
@@ -364,22 +364,31 @@ def _analysis_confidence(spark, sf_dir):
     return rounded(_confidence(spark, sf_dir, hypotheses(spark, sf_dir)))
 
 
-ACTIONS_SQL = ", ".join(f"('{c}', '{a}')" for c, a in rca.ACTIONS)
-STEPS_SQL = ", ".join(f"('{c}', '{s}')" for c, s in rca.NEXT_STEPS)
+RULES = [
+    ("data_drift", "primary", "immediate", "D1"),
+    ("feature_importance_shift", "primary", "immediate", "F1"),
+    ("data_quality", "primary", "immediate", "Q1"),
+    ("feature_importance_shift", "contributing", "short_term", "F2"),
+    ("data_quality", "contributing", "short_term", "Q2"),
+    (None, None, "strategic", "S1"),
+]
+STEP_RULES = [("primary_cause", "data_quality", "Q9"), ("primary_cause", "feature_importance_shift", "F9"), ("low_confidence", None, "L9"), ("follow_up", None, "R9")]
 
 
-@query("rca_recommendations", HYPOTHESES_SQL + f""", ac AS (SELECT * FROM (VALUES {ACTIONS_SQL}) t(category, action))
-   SELECT DISTINCT CASE WHEN role = 'primary' THEN 'immediate' ELSE 'short_term' END AS priority, action FROM ro JOIN ac USING (category) WHERE role <> 'other'
-   UNION ALL SELECT 'strategic', a FROM (VALUES {", ".join(f"('{a}')" for a in rca.STRATEGIC)}) s(a)""")
+@query("rca_recommendations", HYPOTHESES_SQL + """ SELECT 'immediate' AS priority, CASE category WHEN 'data_drift' THEN 'D1' WHEN 'data_quality' THEN 'Q1' ELSE 'F1' END AS code FROM ro WHERE role = 'primary'
+   UNION ALL SELECT DISTINCT 'short_term', CASE category WHEN 'data_quality' THEN 'Q2' ELSE 'F2' END FROM ro WHERE role = 'contributing' AND category <> 'data_drift'
+   UNION ALL SELECT 'strategic', 'S1' WHERE EXISTS (SELECT * FROM ro)""")
 def _rca_recommendations(spark, sf_dir):
-    return rca.recommendations(rca.rank_hypotheses(hypotheses(spark, sf_dir)))
+    rules = local_table(spark, RULES, "category string, role string, priority string, code string")
+    return rca.recommendations(rca.rank_hypotheses(hypotheses(spark, sf_dir)), rules)
 
 
-@query("rca_next_steps", HYPOTHESES_SQL + CONFIDENCE_SQL + f""", ns AS (SELECT * FROM (VALUES {STEPS_SQL}) t(category, step)) SELECT 'primary_cause' AS reason, step FROM ro JOIN ns USING (category) WHERE rank = 1
-   UNION ALL SELECT 'low_confidence', s FROM (VALUES {", ".join(f"('{s}')" for s in rca.LOW_CONFIDENCE_STEPS)}) l(s), cg WHERE confidence_level = 'low' UNION ALL SELECT 'follow_up', 'Repeat the analysis after the fix'""")
+@query("rca_next_steps", HYPOTHESES_SQL + CONFIDENCE_SQL + """ SELECT 'primary_cause' AS reason, CASE category WHEN 'data_quality' THEN 'Q9' ELSE 'F9' END AS code FROM ro WHERE rank = 1 AND category <> 'data_drift'
+   UNION ALL SELECT 'low_confidence', 'L9' FROM cg WHERE confidence_level = 'low' UNION ALL SELECT 'follow_up', 'R9'""")
 def _next_steps(spark, sf_dir):
     found = hypotheses(spark, sf_dir)
-    return rca.next_steps(rca.rank_hypotheses(found), _confidence(spark, sf_dir, found))
+    rules = local_table(spark, STEP_RULES, "reason string, category string, code string")
+    return rca.next_steps(rca.rank_hypotheses(found), _confidence(spark, sf_dir, found), rules)
 
 
 @query("rca_context", """SELECT event_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR AND TIMESTAMP '2024-01-20' AND user_id % 5 = 2""")

@@ -184,7 +184,7 @@ def _json_field(spark, sf_dir):
 @query("joi_attach_labels", """SELECT d.doc_id, d.n_chars > 500 AS prediction, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def _attach(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 500).alias("prediction"))
-    return docs.join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    return filters.attach_labels(docs, read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
 @query("joi_grid_rows", """SELECT c_custkey, g AS grid, c_acctbal + g * 100.0::DOUBLE AS shifted FROM customer, (SELECT unnest(range(0, 5))::INTEGER AS g)""")
@@ -487,7 +487,7 @@ def _dedupe(spark, sf_dir):
 # ------------------------------------------------------------------ functions
 
 
-@query("fun_sanitize_string", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(substr(replace(text, chr(0), ''), 1, 1000), '<[^>]+>', '', 'g'), '[^\p{L}\p{N}_\s-]', '', 'g')) AS clean
+@query("fun_sanitize_string", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, chr(0), ''), '<[^>]+>', '', 'g'), '[^\p{L}\p{N}_\s-]', '', 'g')) AS clean
    FROM (SELECT doc_id, '  <b>' || item || '</b> & more! ' AS text FROM (SELECT item_id AS doc_id, replace(text, chr(10), ' ') AS item FROM benchmark))""")
 def _sanitize_string(spark, sf_dir):
     rows = read(spark, sf_dir, "benchmark").select(
@@ -496,7 +496,7 @@ def _sanitize_string(spark, sf_dir):
     return rows.select("doc_id", text.sanitize_string(F.col("text"), allow_special_chars=False).alias("clean"))
 
 
-@query("fun_sanitize_input", r"""SELECT page_id, substr(translate(html, '<>&"''/\', ''), 1, 1000) AS clean FROM pages""")
+@query("fun_sanitize_input", r"""SELECT page_id, translate(html, '<>&"''/\', '') AS clean FROM pages""")
 def _sanitize_input(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.sanitize_input(F.col("html")).alias("clean"))
 

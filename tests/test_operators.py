@@ -48,7 +48,9 @@ def test_row_limits(spark):
 def test_string_cleaning(spark):
     df = spark.createDataFrame([("  hi  ",), ("a\x00b",), ("x" * 2000,), ("<script>alert(1)</script>ok",), ("a@b#c!",), (None,)], "t string")
     plain = [r[0] for r in df.select(text.sanitize_string(F.col("t"))).collect()]
-    assert plain == ["hi", "ab", "x" * 1000, "alert(1)ok", "a@b#c!", ""]
+    cut = [r[0] for r in df.select(text.sanitize_string(F.col("t"), 1000)).collect()]
+    assert cut[2] == "x" * 1000
+    assert plain == ["hi", "ab", "x" * 2000, "alert(1)ok", "a@b#c!", ""]
     bare = [r[0] for r in df.select(text.sanitize_string(F.col("t"), allow_special_chars=False)).collect()]
     assert bare[4] == "abc"
 
@@ -177,7 +179,7 @@ def test_sampled_attributions_of_a_linear_score_are_exact(spark):
     df = spark.createDataFrame([(i, *map(float, rng.normal(size=12))) for i in range(5)], "id int, " + ", ".join(f"{n} double" for n in names))
     weights = {n: float(i + 1) for i, n in enumerate(names)}
     background = [tuple(map(float, rng.normal(size=12))) for _ in range(3)]
-    rows = E.shap_kernel(df, "id", names, scoring.linear_scorer(weights), background, permutations=4).collect()
+    rows = E.shap_kernel(df, "id", names, scoring.linear_scorer(weights), background, permutations=4, method="permutation").collect()
     values = {(r["id"], n): r[n] for r in df.collect() for n in names}
     for r in rows:
         j = names.index(r["feature"])
@@ -252,3 +254,79 @@ def test_nan_counts_as_missing(spark):
     df = spark.createDataFrame([(float("nan"),), (None,), (2.0,)], "a double")
     assert Q.missing_counts(df).first()["missing"] == 2
     assert [r["a"] for r in preprocess.fill_missing(df, ["a"], "mean").collect()] == [2.0, 2.0, 2.0]
+
+
+# ------------------------------------------------------------------ keys that are null, tied, large or shared
+
+
+def test_rank_survives_ties_and_nulls(spark):
+    rows = [("a", 5.0, i) for i in range(3000)] + [("a", None, 5000), ("b", None, 1), (None, 7.0, 2), ("a", 9.0, 9999)]
+    got = {(r.k, r.t): r["rank"] for r in windows.rank_by(spark.createDataFrame(rows, "k string, v double, t int"), ["k"], "v", "t").collect()}
+    assert len(got) == len(rows) and got[("a", 9999)] == 1 and got[("a", 0)] == 2 and got[("a", 2999)] == 3001
+    assert got[("a", 5000)] == 3002 and got[("b", 1)] == 1 and got[(None, 2)] == 1
+    nothing = spark.createDataFrame([("a", None, i) for i in range(10)], "k string, v double, t int")
+    assert sorted(r["rank"] for r in windows.rank_by(nothing, ["k"], "v", "t").collect()) == list(range(1, 11))
+
+
+def test_range_parts_are_even(spark):
+    from tallywatch.operators import summaries as S
+
+    values = spark.range(100_000).select(F.lit("f").alias("feature"), F.concat(F.lit("usr_"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("value"))
+    sizes = [r["count"] for r in S.in_order(values, "feature", "value").groupBy("slot").count().collect()]
+    assert max(sizes) < 4 * sum(sizes) / len(sizes)
+    codes = S.ordered_codes(values).orderBy("value").select("code").limit(3).collect()
+    assert [r["code"] for r in codes] == [0, 1, 2]
+
+
+def test_slots_stay_even_beside_a_far_value(spark):
+    from tallywatch.operators import summaries as S
+
+    numbers = spark.range(200_000).select(F.lit("f").alias("feature"), F.when(F.col("id") == 7, 1e12).otherwise(F.rand(3)).alias("value"))
+    sizes = [r["count"] for r in S.with_slot(numbers, S.slot_limits(numbers)).groupBy("slot").count().collect()]
+    assert max(sizes) < 4 * sum(sizes) / len(sizes)
+
+
+def test_position_split_in_the_key_s_own_type(spark):
+    from tallywatch.operators import filters
+
+    big = 1 << 60
+    rows = filters.split_by_position(spark.createDataFrame([(big + i,) for i in range(10)], "k long"), "k", 0.7).collect()
+    assert sorted(r.k - big for r in rows if r.side == "ref") == list(range(7))
+    names = filters.split_by_position(spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "k string"), "k", 0.5).collect()
+    assert {r.k: r.side for r in names} == {"a": "ref", "b": "ref", "c": "cur", None: "cur"}
+
+
+def test_null_groups_keep_their_rows(spark):
+    from tallywatch.operators import fairness, preprocess
+
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else "ab"[i % 2], i % 3 % 2) for i in range(1000)], "id int, g string, y int")
+    weighted = fairness.reweighing(rows, "g")
+    assert weighted.count() == 1000 and weighted.where("weight IS NULL").count() == 0
+    split = preprocess.stratified_split(rows, ["id"], "g", 0.2).where("g IS NULL").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in split} == {"train": 200, "test": 50}
+
+
+def test_latest_of_a_tie_is_the_larger(spark):
+    rows = spark.createDataFrame([("k", 1, 3.0), ("k", 1, 4.0), ("k", 0, 9.0)], "k string, ts int, v double")
+    assert tuple(windows.latest_two(rows, ["k"], "ts", "v").first()) == ("k", 4.0, 3.0)
+
+
+def test_drift_methods_are_checked(spark):
+    from tallywatch.operators import drift
+
+    sided = spark.createDataFrame([("ref", 1.0), ("cur", 2.0)], "side string, x double")
+    assert drift.detect_drift(sided, ["x"], methods=["chi_square"]).count() == 0
+    with pytest.raises(ValueError):
+        drift.detect_drift(sided, ["x"], methods=["no_such_method"])
+
+
+def test_kernel_discrepancy_takes_all_rows(spark):
+    from tallywatch.operators import drift
+
+    rng = np.random.default_rng(5)
+    ref, cur = rng.normal(0, 2, 1600), np.concatenate([rng.normal(0.5, 2, 1400), [1e9]])
+    long_df = spark.createDataFrame([("ref", "x", float(v)) for v in ref] + [("cur", "x", float(v)) for v in cur], "side string, feature string, value double")
+    kernel = lambda a, b, g: np.exp(-g * (a[:, None] - b[None, :]) ** 2).mean()
+    for gamma in (1.0, 0.3):
+        want = kernel(ref, ref, gamma) + kernel(cur, cur, gamma) - 2 * kernel(ref, cur, gamma)
+        assert abs(drift.mmd(long_df, gamma).first()["mmd"] - want) < 1e-9
