@@ -48,8 +48,11 @@ def alerts(spark, sf_dir):
     return A.evaluate_rules(metric_points(spark, sf_dir), A.rule_table(spark, RULES))
 
 
-@query("alr_evaluate_rules", f"""WITH RECURSIVE {FIRE_SQL} SELECT rule_id || '-' || event_id AS alert_id, rule_id, alert_type, severity, model_id, metric_name, metric_value, threshold, 'active' AS status, ts AS triggered_at,
-   name || ': ' || metric_name || ' = ' || printf('%.4f', metric_value) || ' ' || condition || ' ' || threshold || ' for model ' || model_id AS message FROM fired""")
+EVALUATE_SQL = f"""WITH RECURSIVE {FIRE_SQL} SELECT rule_id || '-' || event_id AS alert_id, rule_id, alert_type, severity, model_id, metric_name, metric_value, threshold, 'active' AS status, ts AS triggered_at,
+   name || ': ' || metric_name || ' = ' || printf('%.4f', metric_value) || ' ' || condition || ' ' || threshold || ' for model ' || model_id AS message FROM fired"""
+
+
+@query("alr_evaluate_rules", EVALUATE_SQL)
 def _evaluate(spark, sf_dir):
     return alerts(spark, sf_dir)
 
@@ -364,7 +367,7 @@ def _analysis_confidence(spark, sf_dir):
     return rounded(_confidence(spark, sf_dir, hypotheses(spark, sf_dir)))
 
 
-RULES = [
+CAUSE_RULES = [
     ("data_drift", "primary", "immediate", "D1"),
     ("feature_importance_shift", "primary", "immediate", "F1"),
     ("data_quality", "primary", "immediate", "Q1"),
@@ -379,7 +382,7 @@ STEP_RULES = [("primary_cause", "data_quality", "Q9"), ("primary_cause", "featur
    UNION ALL SELECT DISTINCT 'short_term', CASE category WHEN 'data_quality' THEN 'Q2' ELSE 'F2' END FROM ro WHERE role = 'contributing' AND category <> 'data_drift'
    UNION ALL SELECT 'strategic', 'S1' WHERE EXISTS (SELECT * FROM ro)""")
 def _rca_recommendations(spark, sf_dir):
-    rules = local_table(spark, RULES, "category string, role string, priority string, code string")
+    rules = local_table(spark, CAUSE_RULES, "category string, role string, priority string, code string")
     return rca.recommendations(rca.rank_hypotheses(hypotheses(spark, sf_dir)), rules)
 
 
@@ -431,7 +434,10 @@ def _json_records(spark, sf_dir):
     return rows.select("event_id", F.when(F.col("event_id") % 17 == 0, F.substring(whole, 1, 10)).otherwise(whole).alias("body"))
 
 
-@query("str_validate_records", """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'malformed' WHEN event_id % 10 = 0 THEN 'missing value' END AS error FROM events""")
+VALIDATE_SQL = """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'malformed' WHEN event_id % 10 = 0 THEN 'missing value' END AS error FROM events"""
+
+
+@query("str_validate_records", VALIDATE_SQL)
 def _validate(spark, sf_dir):
     checked = streams.validate_records(_json_records(spark, sf_dir), "body", "event_id bigint, value double, event_type string", ["event_id", "value"])
     return checked.select("event_id", "error")
@@ -451,13 +457,10 @@ def _stream_metrics(spark, sf_dir):
 
 @query("str_stream_metrics_live", METRICS_SQL)
 def _stream_metrics_live(spark, sf_dir):
-    """The same windows from a real stream over the file; the sink holds one row per hour."""
+    """The same windows from a real stream over the file."""
     rows = streams.open_stream(spark, "parquet", EVENT_SCHEMA, sf_dir, pathGlobFilter="events.parquet")
     folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
-    writer = _hourly(rows).writeStream.outputMode("complete").format("memory").queryName("hourly_events")
-    started = writer.option("checkpointLocation", folder).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table("hourly_events")
+    return streams.run_complete(_hourly(rows), f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query("str_enrich", """SELECT e.event_id, c.c_mktsegment FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""")
@@ -466,7 +469,7 @@ def _enrich(spark, sf_dir):
     return streams.enrich(read(spark, sf_dir, "events"), dimension, "user_id").select("event_id", "c_mktsegment")
 
 
-@query("str_windowed_drift", """WITH ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-11'), r AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM ref),
+WINDOWED_SQL = """WITH ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-11'), r AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM ref),
    g AS (SELECT unnest(range(0, 50))::INTEGER AS b), rc AS (SELECT CAST(least(floor((value - lo) / ((hi - lo) / 50.0::DOUBLE)), 49) AS INTEGER) AS b, count(*) AS c FROM ref, r GROUP BY 1),
    cu AS (SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS w, CAST(least(floor((least(greatest(value, lo), hi) - lo) / ((hi - lo) / 50.0::DOUBLE)), 49) AS INTEGER) AS b, count(*) AS c FROM events, r WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY ALL),
    wn AS (SELECT w, sum(c) AS n FROM cu GROUP BY w),
@@ -474,10 +477,66 @@ def _enrich(spark, sf_dir):
    sh AS (SELECT w, a / nr::DOUBLE + 1e-10 AS p, z / nc::DOUBLE + 1e-10 AS q, CASE WHEN a = 0 THEN 0.001 ELSE a / nr::DOUBLE END AS fp, CASE WHEN z = 0 THEN 0.001 ELSE z / nc::DOUBLE END AS fq FROM cells),
    nm AS (SELECT w, p / sum(p) OVER v AS p, q / sum(q) OVER v AS q, fp / sum(fp) OVER v AS fp, fq / sum(fq) OVER v AS fq FROM sh WINDOW v AS (PARTITION BY w)),
    o AS (SELECT w, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js, sum((fq - fp) * ln(fq / fp)) AS psi FROM nm GROUP BY w)
-   SELECT w AS window_start, 'value' AS feature, round(js, 6) AS jensen_shannon, round(psi, 6) AS psi, js > 0.1 AS drift_detected FROM o""")
+   SELECT w AS window_start, 'value' AS feature, round(js, 6) AS jensen_shannon, round(psi, 6) AS psi, js > 0.1 AS drift_detected FROM o"""
+
+
+@query("str_windowed_drift", WINDOWED_SQL)
 def _windowed_drift(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     old = F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")
     reference = streams.reference_bins(events.where(old), ["value"])
     counts = streams.windowed_counts(events.where(~old), reference, ["value"])
     return rounded(streams.windowed_drift(counts, reference))
+
+
+def _arrivals(spark, rows, folder, run):
+    """Rows come in three parts by time; after each the stream runs over what is new, from its own checkpoint."""
+    days = [F.lit(d).cast("timestamp_ntz") for d in ("2024-01-11", "2024-01-21")]
+    third = F.when(F.col("ts") < days[0], 0).when(F.col("ts") < days[1], 1).otherwise(2)
+    for part in range(3):
+        rows.where(third == part).write.mode("append").parquet(f"{folder}/in")
+        run(streams.open_stream(spark, "parquet", rows.schema, f"{folder}/in")).awaitTermination()
+
+
+@query("str_rules_live", EVALUATE_SQL)
+def _rules_live(spark, sf_dir):
+    """Rules over a stream in several batches, cooldowns carried from batch to batch."""
+    folder = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    rules = A.rule_table(spark, RULES)
+    _arrivals(spark, metric_points(spark, sf_dir), folder, lambda stream: streams.run_rules(stream, rules, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.parquet(f"{folder}/out/alerts").drop("batch_id")
+
+
+@query("str_fan_out", "SELECT 'columns' AS target, event_id, value FROM events UNION ALL SELECT 'text', event_id, value FROM events")
+def _fan_out_live(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/fan-{uuid.uuid4().hex}"
+    targets = [{"path": f"{folder}/columns", "format": "parquet"}, {"path": f"{folder}/text", "format": "json"}, {"path": f"{folder}/off", "enabled": False}]
+    rows = read(spark, sf_dir, "events").select("event_id", "value", "ts")
+    _arrivals(spark, rows, folder, lambda stream: streams.start(stream, f"{folder}/checkpoint", streams.fan_out(targets), once=True))
+    columns = spark.read.parquet(f"{folder}/columns").select(F.lit("columns").alias("target"), "event_id", "value")
+    return columns.unionByName(spark.read.schema("event_id bigint, value double").json(f"{folder}/text").select(F.lit("text").alias("target"), "event_id", "value"))
+
+
+@query("str_validate_live", VALIDATE_SQL)
+def _validate_live(spark, sf_dir):
+    """Valid and rejected records of a stream go to tables of their own."""
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    _json_records(spark, sf_dir).write.parquet(f"{folder}/in")
+    stream = streams.open_stream(spark, "parquet", spark.read.parquet(f"{folder}/in").schema, f"{folder}/in")
+    checked = streams.validate_records(stream, "body", "event_id bigint, value double, event_type string", ["event_id", "value"])
+    for name, part in (("valid", streams.valid_records(checked)), ("rejected", streams.rejected_records(checked))):
+        streams.start(part.select("event_id", "error"), f"{folder}/checkpoint-{name}", streams.write_batches(f"{folder}/{name}"), once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/valid").drop("batch_id").unionByName(spark.read.parquet(f"{folder}/rejected").drop("batch_id"))
+
+
+@query("str_drift_live", WINDOWED_SQL)
+def _drift_live(spark, sf_dir):
+    """Drift of a stream's daily windows against a stored reference."""
+    folder = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    events = read(spark, sf_dir, "events").select("ts", "value")
+    old = F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")
+    reference = streams.reference_bins(events.where(old), ["value"])
+    events.where(~old).write.parquet(f"{folder}/in")
+    stream = streams.open_stream(spark, "parquet", events.schema, f"{folder}/in")
+    counts = streams.run_complete(streams.windowed_counts(stream, reference, ["value"]), f"{folder}/out", f"{folder}/checkpoint")
+    return rounded(streams.windowed_drift(counts, reference))

@@ -113,6 +113,28 @@ def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None
     return writer.start()
 
 
+def write_batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that gives every batch a folder of its own below ``folder``; a repeated batch replaces it."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return write
+
+
+def run_complete(aggregated: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run a streaming aggregate over all available data; returns its state after the last batch, from its files."""
+    writer = aggregated.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    query = writer.foreachBatch(write_batches(folder)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return aggregated.sparkSession.read.parquet(f"{folder}/batch_id={query.lastProgress['batchId']}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def reference_bins(reference: DataFrame, columns: Sequence[str], bins: int = D.HISTOGRAM_BINS) -> DataFrame:
     """Static reference histogram: (feature, low, high, bucket, c_ref), one row per bin."""
     counts = S.long_numeric(reference, columns, keep=())
@@ -166,7 +188,7 @@ def run_rules(metrics: DataFrame, rules: DataFrame, folder: str, checkpoint: str
 
     Each batch reads the last firing times that the batch before it left in ``folder``, decides with
     the batch operator, and writes its alerts and the new times under its own number; running a
-    batch again gives the same files.
+    batch again gives the same files. Times older than the last finished batch are removed.
     """
     spark = metrics.sparkSession
     state_schema = "rule_id string, last_us bigint"
@@ -184,6 +206,8 @@ def run_rules(metrics: DataFrame, rules: DataFrame, folder: str, checkpoint: str
             latest.groupBy("rule_id").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(
                 f"{folder}/state/batch_id={batch_id}"
             )
+            # The batch before this one is committed by now; only its state can be asked for again.
+            _remove(spark, f"{folder}/state/batch_id={batch_id - 2}")
         finally:
             fired.unpersist()
 
