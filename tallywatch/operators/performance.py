@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallywatch.functions.bands import share
 from tallywatch.operators import summaries as S
 from tallywatch.operators.windows import latest_two, metric_trend
-from tallywatch.session import local_table
+from tallywatch.session import local_table, materialise
 
 LOG_CLIP = 2.220446049250313e-16
 
@@ -79,7 +79,8 @@ def roc_auc(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Rank sums come from spread cumulative counts, so a group may be as large as the table.
     """
     keys = ["feature", *keys]
-    counts = (
+    # Written once: the limits, the slot totals and the running sums all read it.
+    counts = materialise(
         scores.where("score IS NOT NULL AND label IS NOT NULL")
         .withColumns({"feature": F.lit("score"), "value": F.col("score").cast("double")})
         .groupBy(*keys, "value")

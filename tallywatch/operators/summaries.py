@@ -65,7 +65,7 @@ def slot_limits(long_df: DataFrame, value: str = "value") -> DataFrame:
     shares = [i / SLOTS for i in range(SLOTS + 1)]
     rows = (
         long_df.groupBy("feature")
-        .agg(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), 10 * SLOTS).alias("limits"))
+        .agg(F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), 3 * SLOTS).alias("limits"))
         .collect()
     )
     data = [(r["feature"], [float(x) for x in r["limits"]]) for r in rows]
