@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.session import shared_folder
+from tallywatch.session import stored
+
+__all__ = ["ORACLE", "QUERIES", "kept", "query", "read", "runs", "slices", "spans_of", "stored", "text_or_empty", "whole_groups"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,20 +40,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: later steps start from the files.
-
-    A lost executor costs no more than the tasks it ran, and columns are pruned on reading. The
-    folder is removed when the driver's session ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def kept(key: tuple, make: Callable):
     """What ``make`` gives, made once per Python worker: workers outlive tasks, what tasks unpickle does not.
 
