@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm import boosting
-from tallywatch.llm.common import kept, slices, text_or_empty
+from tallywatch.llm.common import kept, slices, stored, text_or_empty
 from tallywatch.llm.labelled import SAMPLE, remainder, training_texts
 from tallywatch.llm.textstats import WordTable, letters_of, per_text
 
@@ -164,13 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 4, left_out: int =
     round, so that no text is measured by words listed because of it. Scores are calibrated on
     margins of forests that had not seen the text. No labels give a score of one half everywhere.
     """
-    texts = training_texts(docs, labels, "toxic", divisor, left_out, rows)
+    # Bounded by ``rows``; written once, so that the documents are read once for all that follows.
+    texts = stored(training_texts(docs, labels, "toxic", divisor, left_out, rows), "labelled")
     # A few thousand rows: stems seen in three toxic texts that are more common there, most telling first.
     counted = lexicon_counts(texts).groupBy("stem").agg(
         F.collect_list(F.struct("fold", "n0", "n1")).alias("each"), F.sum("n0").alias("s0"), F.sum("n1").alias("s1")
     )
-    best = counted.where("stem <> '' AND s1 >= 3").orderBy((F.col("s1") / (F.col("s0") + F.col("s1"))).desc(), F.col("s1").desc(), "stem")
-    best = best.where("s1 > 0.2 * (s0 + s1)").orderBy(((F.col("s1") - F.col("s0") * 0.2) / F.sqrt(F.col("s0") + F.col("s1"))).desc(), "stem").limit(stems_kept)
+    counted = stored(counted.where("stem = '' OR s1 >= 3 AND s1 > 0.2 * (s0 + s1)"), "stems")
+    best = counted.where("stem <> ''").orderBy(((F.col("s1") - F.col("s0") * 0.2) / F.sqrt(F.col("s0") + F.col("s1"))).desc(), "stem").limit(stems_kept)
     whole = counted.where("stem = ''")
     counts = best.unionByName(whole).select("stem", F.explode("each").alias("e")).select("stem", "e.*").collect()
     halves = {f: Features(weigh(counts, tuple({0, 1, 2, 3} - {f, f ^ 1}))) if counts else Features() for f in range(4)}
