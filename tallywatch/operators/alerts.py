@@ -46,10 +46,6 @@ def match_rules(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.where(meets(F.col("metric_value"), condition, F.col("r_threshold")))
 
 
-# A rule's points are cut into stretches of this many cooldowns, each handled by its own task.
-COOLDOWNS_PER_STRETCH = 256
-
-
 def _following(t, gap):
     """For each position the first position at least ``gap`` later (len(t) if none)."""
     import numpy as np
@@ -63,7 +59,7 @@ def _stretch_effect(frame):
     import pandas as pd
 
     t = np.sort(frame["us"].to_numpy())
-    gap, start = int(frame["gap"].iloc[0]), int(frame["stretch_start"].iloc[0])
+    gap, start = int(frame["gap"].iloc[0]), int(t[0])
     nxt = _following(t, gap)
     last = np.where(nxt < len(t), nxt, np.arange(len(t)))
     while True:  # follow the chain to its end, doubling the jump
@@ -86,8 +82,7 @@ def _walk_stretches(frame):
 
     frame = frame.sort_values(["stretch", "upto"])
     gap = int(frame["gap"].iloc[0])
-    known = frame["known_last"].iloc[0]
-    allowed = None if pd.isna(known) else int(known) + gap
+    allowed = None
     out = []
     for stretch, part in frame.groupby("stretch", sort=True):
         upto, last = part["upto"].to_numpy(), part["last"].to_numpy()
@@ -118,7 +113,8 @@ def cooldown(matches: DataFrame, last_fired: DataFrame | None = None) -> DataFra
     """Matches that fire: a rule stays silent for its cooldown after each firing, over all models.
 
     ``last_fired`` (rule_id, last_us) carries state over from earlier data. Points of one instant
-    collapse to the first by event_id. Time is cut into stretches: each stretch is condensed to the
+    collapse to the first by event_id. Points are cut into range parts of (rule, time), so a stretch of a rule
+    holds no more than a part does, however long the cooldown. Each stretch is condensed to the
     effect it has on the last firing time, these few rows are walked per rule, and then every
     stretch decides for itself. A rule with most of the rows is thus spread over many tasks.
     """
@@ -129,17 +125,14 @@ def cooldown(matches: DataFrame, last_fired: DataFrame | None = None) -> DataFra
     timed = rows.where("gap > 0")
     others = [c for c in rows.columns if c not in ("rule_id", "us", "gap", "event_id")]
     points = timed.groupBy("rule_id", "us", "gap").agg(F.min_by(F.struct("event_id", *others), "event_id").alias("_p"))
-    stretch = F.floor(F.col("us") / (F.col("gap") * COOLDOWNS_PER_STRETCH))
-    slim = points.select("rule_id", "us", "gap", stretch.alias("stretch"))
-    slim = slim.withColumn("stretch_start", F.col("stretch") * F.col("gap") * COOLDOWNS_PER_STRETCH)
+    if last_fired is not None:  # what the state still silences can't fire; nothing else depends on the state
+        known = last_fired.select("rule_id", F.col("last_us").alias("known_last"))
+        points = points.join(S.broadcast_if_small(known), "rule_id", "left").where("known_last IS NULL OR us >= known_last + gap").drop("known_last")
+    slim = S.in_order(points.select("rule_id", "us", "gap"), "rule_id", "us")
+    slim = slim.select("rule_id", "us", "gap", F.col("slot").cast("bigint").alias("stretch"))
     effects = slim.groupBy("rule_id", "stretch").applyInPandas(
         _stretch_effect, "rule_id string, stretch bigint, upto bigint, last bigint, gap bigint"
     )
-    if last_fired is None:
-        effects = effects.withColumn("known_last", F.lit(None).cast("bigint"))
-    else:
-        known = last_fired.select("rule_id", F.col("last_us").alias("known_last"))
-        effects = effects.join(S.broadcast_if_small(known), "rule_id", "left")
     entry = effects.groupBy("rule_id").applyInPandas(_walk_stretches, "rule_id string, stretch bigint, allowed bigint")
     fired = slim.join(entry, ["rule_id", "stretch"]).groupBy("rule_id", "stretch").applyInPandas(_fire, "rule_id string, us bigint")
     kept = points.join(fired, ["rule_id", "us"]).select("rule_id", "us", "gap", "_p.*")

@@ -98,50 +98,36 @@ def probability_metrics(df: DataFrame, attributes: Sequence[str]) -> DataFrame:
 def calibration_fit(df: DataFrame, attributes: Sequence[str], penalty: float = 1.0, steps: int = 12) -> DataFrame:
     """Slope and intercept of a logistic fit of y on p per group, slope penalised by ``penalty`` / 2 * slope^2.
 
-    Newton's method on (p, count, positives): all groups advance in the same aggregate, and only
-    two numbers per group go back and forth.
+    Newton's method on (p, count, positives). All groups advance in the same aggregate, their slopes
+    and intercepts being a table that every step reads and writes, so there may be any number of groups.
     """
+    keys = ["attribute", "grp"]
     table = materialise(
         by_attribute(df, attributes, ["y", "p"])
-        .groupBy("attribute", "grp", "p")
+        .groupBy(*keys, "p")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     )
-    spark = df.sparkSession
-    groups = [(r["attribute"], r["grp"]) for r in table.select("attribute", "grp").distinct().collect()]
-    at = {g: (0.0, 0.0) for g in groups}
+    state = table.select(*keys).distinct().withColumns({"slope": F.lit(0.0), "intercept": F.lit(0.0)})
+    q = F.lit(1.0) / (1.0 + F.exp(-(F.col("slope") * F.col("p") + F.col("intercept"))))
+    w = F.col("n") * q * (1 - q)
+    off = F.col("pos") - F.col("n") * q
     for _ in range(steps):
-        now = local_table(spark,
-            [(a, g, s, i) for (a, g), (s, i) in at.items()], "attribute string, grp string, slope double, intercept double"
-        )
-        q = F.lit(1.0) / (1.0 + F.exp(-(F.col("slope") * F.col("p") + F.col("intercept"))))
-        w = F.col("n") * q * (1 - q)
-        off = F.col("pos") - F.col("n") * q
-        sums = (
-            table.join(F.broadcast(now), ["attribute", "grp"])
-            .groupBy("attribute", "grp")
-            .agg(
-                F.sum(off * F.col("p")).alias("gs"), F.sum(off).alias("gi"),
-                F.sum(w * F.col("p") * F.col("p")).alias("hss"), F.sum(w * F.col("p")).alias("hsi"), F.sum(w).alias("hii"),
+        sums = table.join(state, keys).groupBy(*keys).agg(
+            F.max("slope").alias("slope"), F.max("intercept").alias("intercept"), F.sum(off * F.col("p")).alias("gs"), F.sum(off).alias("gi"),
+            (F.sum(w * F.col("p") * F.col("p")) + penalty).alias("hss"), F.sum(w * F.col("p")).alias("hsi"), F.sum(w).alias("hii"),
+        ).withColumn("gs", F.col("gs") - penalty * F.col("slope"))
+        det = F.col("hss") * F.col("hii") - F.col("hsi") * F.col("hsi")
+        ds = F.when(det > 1e-12, (F.col("hii") * F.col("gs") - F.col("hsi") * F.col("gi")) / det).otherwise(0.0)
+        di = F.when(det > 1e-12, (F.col("hss") * F.col("gi") - F.col("hsi") * F.col("gs")) / det).otherwise(0.0)
+        state = materialise(
+            sums.select(
+                *keys, (F.col("slope") + ds).alias("slope"), (F.col("intercept") + di).alias("intercept"), F.greatest(F.abs(ds), F.abs(di)).alias("moved")
             )
-            .collect()
         )
-        moved = 0.0
-        for r in sums:
-            slope, intercept = at[(r["attribute"], r["grp"])]
-            gs, hss = r["gs"] - penalty * slope, r["hss"] + penalty
-            det = hss * r["hii"] - r["hsi"] ** 2
-            if det <= 1e-12:
-                continue
-            ds = (r["hii"] * gs - r["hsi"] * r["gi"]) / det
-            di = (hss * r["gi"] - r["hsi"] * gs) / det
-            at[(r["attribute"], r["grp"])] = (slope + ds, intercept + di)
-            moved = max(moved, abs(ds), abs(di))
-        if moved < 1e-10:
+        if (state.agg(F.max("moved")).first()[0] or 0.0) < 1e-10:
             break
-    return local_table(spark,
-        [(a, g, s, i) for (a, g), (s, i) in at.items()],
-        "attribute string, grp string, calibration_slope double, calibration_intercept double",
-    )
+        state = state.drop("moved")
+    return state.select(*keys, F.col("slope").alias("calibration_slope"), F.col("intercept").alias("calibration_intercept"))
 
 
 def fairness_differences(metrics: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:

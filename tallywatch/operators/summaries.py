@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywatch.session import local_table, materialise
+from tallywatch.session import local_table, materialise, stored_size
 
 SLOTS = 1024
 
@@ -283,20 +283,16 @@ def ordered_codes(values: DataFrame) -> DataFrame:
     return joined.withColumn("code", F.col("_off") + inside - 1).drop("slot", "_off")
 
 
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A lookup table of at most ``limit`` rows as a broadcast local table; a larger one joins by shuffle.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A lookup table, broadcast if it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` bytes on disk.
 
-    The rows are fetched once, so the table is neither computed again nor broadcast unseen.
+    The table is worked out once, written and measured; a larger one joins from its files by shuffle.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    if any(t.startswith(("timestamp", "date", "decimal", "map", "struct")) for _, t in df.dtypes):
-        return F.broadcast(df)
-    return F.broadcast(local_table(df.sparkSession, [tuple(r) for r in rows], df.schema))
+    table, rows, size = stored_size(df, "lookup")
+    return F.broadcast(table) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table
 
 
 def hash_unit(seed: str, *parts: Column) -> Column:

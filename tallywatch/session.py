@@ -48,18 +48,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps start from the files.
 
     A lost executor costs no more than the tasks it ran, and columns are pruned on reading. The
     folder is removed when the driver's session ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, label)[0]
+
+
+def stored_size(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
+    """``stored``, with the number of rows and of bytes written."""
+    table, path = _write(df, label)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return table, table.count(), size
 
 
 def materialise(df: DataFrame) -> DataFrame:
