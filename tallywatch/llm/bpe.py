@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import kept, slices, text_or_empty
+from tallywatch.llm.common import kept, slices, some_rows, text_or_empty
 from tallywatch.llm.words import PieceEncoder
 
 CODES = "doc_id long, n_tokens long, ids binary, decoded binary"
@@ -157,7 +157,7 @@ def _rows(docs: DataFrame, ranks_path: str, pattern: str, digest: bool) -> DataF
         import pyarrow as pa
 
         coder = kept(("ranks", rank_lines, pattern), lambda: ByteBpe(rank_lines, pattern))
-        for batch in batches:
+        for batch in some_rows(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 ids, counts = coder.encode(texts[a:b])

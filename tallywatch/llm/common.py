@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.session import stored
 
-__all__ = ["ORACLE", "QUERIES", "kept", "query", "read", "runs", "slices", "spans_of", "stored", "text_or_empty", "whole_groups"]
+__all__ = ["ORACLE", "QUERIES", "kept", "query", "read", "runs", "slices", "some_rows", "spans_of", "stored", "text_or_empty", "whole_groups"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +43,20 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def some_rows(batches, rows: int = 1024):
+    """Arrow batches cut into slices of at most ``rows`` rows, so that only so many texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def kept(key: tuple, make: Callable):
     """What ``make`` gives, made once per Python worker: workers outlive tasks, what tasks unpickle does not.
 
@@ -48,6 +65,7 @@ def kept(key: tuple, make: Callable):
     held = sys.modules.setdefault("tallywatch_kept", types.ModuleType("tallywatch_kept")).__dict__
     if held.get("key") != key:
         held["key"], held["value"] = None, None
+        _give_back()
         held["value"] = make()
         held["key"] = key
     return held["value"]

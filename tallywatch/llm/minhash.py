@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import runs, slices, stored, text_or_empty
+from tallywatch.llm.common import runs, slices, some_rows, stored, text_or_empty
 from tallywatch.llm.graph import components
 
 BANDS, ROWS, BATCH = 40, 8, 32
@@ -58,7 +58,7 @@ def least_matches(percent: int, miss: float) -> list[int]:
 class Shingler:
     """Hashed shingle sets of texts: words are split at ASCII white space, A-Z in lower case, ``size`` words a shingle."""
 
-    def __init__(self, size: int = 5, limit: int = 300_000):
+    def __init__(self, size: int = 5, limit: int = 200_000):
         self.size, self.limit = size, limit
         self.words: dict[bytes, int] = {}
 
@@ -116,7 +116,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in some_rows(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 sets = shingle(texts[a:b])
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         import xxhash
 
         shingle = Shingler(words)
-        for batch in batches:
+        for batch in some_rows(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 sets = shingle(texts[a:b])

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import slices, text_or_empty
+from tallywatch.llm.common import slices, some_rows, text_or_empty
 from tallywatch.llm.words import library_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -82,7 +82,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def pack(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary, end_id)
+        encode = library_encoder(vocabulary, end_id, 300_000)
         sequence = TaskContext.get().partitionId() << 40
         rest, held = [], 0
 
@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-        for batch in batches:
+        for batch in some_rows(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 tokens, counts = encode(texts[a:b])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm import boosting
-from tallywatch.llm.common import kept, slices, text_or_empty
+from tallywatch.llm.common import kept, slices, some_rows, text_or_empty
 from tallywatch.llm.labelled import SAMPLE, remainder, training_texts
 from tallywatch.llm.textstats import WordTable, letters_of, line_stats, per_text, repetition
 
@@ -74,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, left_out: int =
         import pyarrow as pa
 
         table = WordTable(measure, WIDTH)
-        for batch in batches:
+        for batch in some_rows(batches):
             x = features(table, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -95,7 +95,7 @@ def score_documents(docs: DataFrame, model: QualityModel, divisor: int = 5, left
     def score(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in some_rows(batches):
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 yield pa.RecordBatch.from_arrays(
@@ -115,7 +115,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> D
     def choose(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in some_rows(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             good = np.concatenate([model.score(texts[a:b]) for a, b in slices(texts, 1 << 20)]) >= threshold if texts else np.zeros(0, bool)
             yield batch.filter(pa.array(good))

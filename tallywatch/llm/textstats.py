@@ -14,7 +14,7 @@ class WordTable:
     The table starts anew when it holds ``limit`` words.
     """
 
-    def __init__(self, measure: Callable[[list[str]], np.ndarray], width: int, limit: int = 400_000):
+    def __init__(self, measure: Callable[[list[str]], np.ndarray], width: int, limit: int = 200_000):
         self.measure, self.width, self.limit = measure, width, limit
         self._forget()
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm import boosting
-from tallywatch.llm.common import kept, slices, stored, text_or_empty
+from tallywatch.llm.common import kept, slices, some_rows, stored, text_or_empty
 from tallywatch.llm.labelled import SAMPLE, remainder, training_texts
 from tallywatch.llm.textstats import WordTable, letters_of, per_text
 
@@ -113,7 +113,7 @@ def lexicon_counts(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         tally: dict[tuple, list[int]] = {}
-        for batch in batches:
+        for batch in some_rows(batches):
             for fold, text, label in zip(*[c.to_pylist() for c in batch.columns]):
                 found = {s for w in set(text.split()) for c in {plain(w), undisguised(w)} if 2 < len(c) < 40 for s in stems(c)}
                 for s in found:
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 4, left_out: int =
         import pyarrow as pa
 
         tables = {f: halves[f].table() for f in halves}
-        for batch in batches:
+        for batch in some_rows(batches):
             fold, label = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             body = np.array(batch.column(1).to_pylist(), object)
             for f in np.unique(fold).tolist():
@@ -212,7 +212,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, divisor: int = 4, lef
     def score(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in some_rows(batches):
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 yield pa.RecordBatch.from_arrays(

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import slices, stored, text_or_empty
+from tallywatch.llm.common import slices, some_rows, stored, text_or_empty
 from tallywatch.llm.words import library_encoder
 
 MAGIC = b"TWM1"
@@ -191,7 +191,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
                 pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard", pa.binary())]),
             )
 
-        for batch in batches:
+        for batch in some_rows(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 tokens, counts = encode(texts[a:b])

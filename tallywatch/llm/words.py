@@ -108,17 +108,17 @@ class PieceEncoder:
         return ids, np.add.reduceat(lengths, heads_at) if len(texts) else counts
 
 
-def library_encoder(json_text: str, end_id: int | None = None) -> PieceEncoder:
+def library_encoder(json_text: str, end_id: int | None = None, limit: int = 600_000) -> PieceEncoder:
     """Pieces encoded by the tokenizers library; strings of special tokens in a text are ordinary text.
 
     Runs of new pieces are encoded as one string, as they would stand in a text, and the ids dealt
     out by the number of bytes they stand for. A run in which an id crosses from a piece into the
     next, or bytes got lost, is encoded piece by piece.
     """
-    return kept(("library", json_text, end_id), lambda: _library_encoder(json_text, end_id))
+    return kept(("library", json_text, end_id, limit), lambda: _library_encoder(json_text, end_id, limit))
 
 
-def _library_encoder(json_text: str, end_id: int | None) -> PieceEncoder:
+def _library_encoder(json_text: str, end_id: int | None, limit: int) -> PieceEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -158,4 +158,4 @@ def _library_encoder(json_text: str, end_id: int | None) -> PieceEncoder:
                 parts.append(np.fromiter((i for r in rows for i in r), np.uint32))
         return np.concatenate(parts), sizes
 
-    return PieceEncoder(encode, end_id)
+    return PieceEncoder(encode, end_id, limit)
