@@ -10,7 +10,8 @@ from test_duplicates import brute
 import __spark_entry__ as entry
 import corpus_pipeline
 from tallywatch.llm import quality
-from tallywatch.llm.common import ORACLE, read
+from tallywatch.llm.common import read
+from tallywatch.llm.queries import ORACLE
 
 SF = "/root/testdata/sf0.001"
 
