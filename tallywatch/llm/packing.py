@@ -64,7 +64,7 @@ def windows_for(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         sets = difference(sizes, count)
         if all(int(sizes[s].sum()) <= capacity for s in sets):
             return [sorted(s) for s in sets if s]
-        count += max(1, count // 256)
+        count += max(1, count // 128)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_tokens: int = 1 << 20, with_ids: bool = True) -> DataFrame:
@@ -82,7 +82,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def pack(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary, end_id, 300_000)
+        encode = library_encoder(vocabulary, end_id, 450_000)
         sequence = TaskContext.get().partitionId() << 40
         rest, held = [], 0
 
