@@ -30,8 +30,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked near-duplicates the document with the smallest doc_id."""
-    return _without(docs, minhash.near_duplicates(docs))
+    """Of near-duplicates, linked at a similarity of 0.8 of five-word shingles, the document with the smallest doc_id."""
+    return _without(docs, minhash.near_duplicates(docs, percent=80, words=5))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

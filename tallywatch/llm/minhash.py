@@ -1,7 +1,8 @@
 """Near duplicates by banded MinHash with sequential Bayesian verification.
 
-Signatures of 320 minima make 40 bands of 8; two sets with a Jaccard similarity of 0.85 share no
-band with a probability of 3e-6. Documents with equal sets are one node from the start. Candidates
+The threshold and the chance ``apart`` that a pair right at it shares no band give bands and rows: for
+0.85 and 3e-6 signatures of 320 minima make 40 bands of 8, for 0.80 256 minima make 42 bands of 6
+(the last 4 minima are only compared). Documents with equal sets are one node from the start. Candidates
 are compared signature batch by signature batch: with a uniform prior, m equal minima out of k
 leave a beta posterior for the similarity, and a pair goes once the chance that it reaches the
 threshold is below ``miss``. What is left is verified on the full sets.
@@ -16,6 +17,7 @@ by the buckets that are not settled by the hubs, and no link between components
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,28 +26,61 @@ from pyspark.sql import functions as F
 from tallywatch.llm.common import runs, slices, some_rows, stored, text_or_empty
 from tallywatch.llm.graph import components
 
-BANDS, ROWS, BATCH = 40, 8, 32
-HASHES = BANDS * ROWS
+#: Minima that bands may use, and minima compared at once.
+HASHES, BATCH = 320, 32
 #: A block of a bucket holds about so many members, or so many shingles.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
-_rng = np.random.default_rng(20240229)
-FACTORS = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
-OFFSETS = _rng.integers(0, 1 << 32, HASHES, np.uint32)
-WORD_FACTOR = _rng.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BAND_FACTORS = _rng.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+SEED = 20240229
+WORD_FACTOR = np.random.default_rng(SEED + 1).integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 FEATURES = "doc_id long, n_shingles long, digest binary, keys array<long>"
 SETS = "doc_id long, digest binary, n long, signature binary, shingles binary"
 
 
-def least_matches(percent: int, miss: float) -> list[int]:
+@dataclass(frozen=True)
+class Layout:
+    """How minima make bands; ``minima`` is a multiple of BATCH."""
+
+    bands: int
+    rows: int
+
+    @property
+    def minima(self) -> int:
+        return -(-self.bands * self.rows // BATCH) * BATCH
+
+    def functions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Factors and offsets of the minima, and factors of the bands."""
+        rng = np.random.default_rng(SEED)
+        factors = rng.integers(0, 1 << 32, self.minima, np.uint32) | np.uint32(1)
+        offsets = rng.integers(0, 1 << 32, self.minima, np.uint32)
+        return factors, offsets, rng.integers(0, 1 << 63, (self.bands, self.rows), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def layout(percent: int, apart: float) -> Layout:
+    """The most rows whose bands fit into HASHES minima; a pair at the threshold shares no band with a chance of ``apart`` at most.
+
+    Where even bands of one row don't fit (below 0.04), there are more minima.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"a threshold of {percent} percent")
+    found = None
+    for rows in range(1, HASHES + 1):
+        same = (percent / 100) ** rows
+        bands = 1 if same == 1 else math.ceil(math.log(apart) / math.log1p(-same))
+        if found and bands * rows > HASHES:
+            break
+        found = Layout(bands, rows)
+    return found
+
+
+def least_matches(percent: int, miss: float, minima: int = HASHES) -> list[int]:
     """For 32, 64, ... minima the fewest equal ones at which a pair may still reach the threshold.
 
     P(similarity >= t) after m of k matches is P(Binomial(k + 1, t) <= m).
     """
     t, out = percent / 100, []
-    for k in range(BATCH, HASHES + 1, BATCH):
+    for k in range(BATCH, minima + 1, BATCH):
         total = 0.0
         for m in range(k + 1):
             total += math.comb(k + 1, m) * t**m * (1 - t) ** (k + 1 - m)
@@ -94,56 +129,62 @@ class Shingler:
         return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """320 minima of one set under fixed linear hash functions."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(low, (x[i : i + 1024, None] * FACTORS + OFFSETS).min(0), out=low)
-    return low
+class Signer:
+    """Minima and band keys of sets under fixed linear hash functions."""
+
+    def __init__(self, shape: Layout):
+        self.shape = shape
+        self.factors, self.offsets, self.band_factors = shape.functions()
 
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
+        low = np.full(self.shape.minima, 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(x), 1024):
+            np.minimum(low, (x[i : i + 1024, None] * self.factors + self.offsets).min(0), out=low)
+        return low
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    parts = (minima.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * BAND_FACTORS
-    keys = parts.sum(1, dtype=np.uint64)
-    keys = (keys ^ (keys >> np.uint64(32))) * BAND_FACTORS[:, 0]
-    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+    def band_keys(self, minima: np.ndarray) -> np.ndarray:
+        bands, rows = self.shape.bands, self.shape.rows
+        parts = (minima[: bands * rows].reshape(bands, rows).astype(np.uint64) + np.uint64(1)) * self.band_factors
+        keys = parts.sum(1, dtype=np.uint64)
+        keys = (keys ^ (keys >> np.uint64(32))) * self.band_factors[:, 0]
+        return (keys ^ (keys >> np.uint64(29))).view(np.int64)
 
 
-def _features(docs: DataFrame, words: int) -> DataFrame:
+def _features(docs: DataFrame, words: int, shape: Layout) -> DataFrame:
     def work(batches):
         import pyarrow as pa
         import xxhash
 
-        shingle = Shingler(words)
+        shingle, signer = Shingler(words), Signer(shape)
         for batch in some_rows(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 sets = shingle(texts[a:b])
-                keys = np.array([band_keys(signature(s)) if len(s) else np.zeros(BANDS, np.int64) for s in sets])
+                keys = np.array([signer.band_keys(signer.signature(s)) if len(s) else np.zeros(shape.bands, np.int64) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))],
+                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, shape.bands, dtype=np.int32), pa.array(keys.ravel()))],
                     ["doc_id", "n_shingles", "digest", "keys"],
                 )
 
     return docs.mapInArrow(work, FEATURES)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, words: int, shape: Layout) -> DataFrame:
     def work(batches):
         import pyarrow as pa
         import xxhash
 
-        shingle = Shingler(words)
+        shingle, signer = Shingler(words), Signer(shape)
         for batch in some_rows(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, 1 << 20):
                 sets = shingle(texts[a:b])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a:b], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array([signer.signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
                      pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["doc_id", "digest", "n", "signature", "shingles"],
                 )
@@ -169,16 +210,16 @@ def surviving(minima: np.ndarray, a: np.ndarray, b: np.ndarray, matches: np.ndar
     return left
 
 
-def _verify_pairs(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
+def _verify_pairs(pairs: DataFrame, percent: int, miss: float, shape: Layout) -> DataFrame:
     """Rows (a, b, sa, sb, ha, hb) with both signatures and sets become links (a, b)."""
-    least = least_matches(percent, miss)
+    least = least_matches(percent, miss, shape.minima)
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
             one, two = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            minima = np.array([np.frombuffer(x, np.uint32) for c in (2, 3) for x in batch.column(c).to_pylist()]).reshape(-1, HASHES)
+            minima = np.array([np.frombuffer(x, np.uint32) for c in (2, 3) for x in batch.column(c).to_pylist()]).reshape(-1, shape.minima)
             n = len(one)
             a, b = np.arange(n), np.arange(n) + n
             keep = surviving(minima, a, b, (minima[:n, :BATCH] == minima[n:, :BATCH]).sum(1), least)
@@ -189,12 +230,12 @@ def _verify_pairs(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb", "ha", "hb").mapInArrow(work, "a long, b long")
 
 
-def _verify_blocks(members: DataFrame, percent: int, miss: float) -> DataFrame:
+def _verify_blocks(members: DataFrame, percent: int, miss: float, shape: Layout) -> DataFrame:
     """Links between components within blocks of buckets.
 
     Rows: key, i, j (a pair of blocks of bucket ``key``, i <= j), own (the member's block), node, component, n, signature, shingles.
     """
-    least = least_matches(percent, miss)
+    least = least_matches(percent, miss, shape.minima)
 
     def work(batches):
         import pyarrow as pa
@@ -239,16 +280,18 @@ def _verify_blocks(members: DataFrame, percent: int, miss: float) -> DataFrame:
     return members.mapInArrow(work, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, miss: float = 1e-6, apart: float = 3e-6) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Links join documents with 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles;
     component_id is the smallest doc_id that can be reached. A text with fewer words is one shingle; a null
     text, or one without words, has none, links with nothing and is its own component. A null doc_id links with nothing either,
     has a null component and is kept. Rows repeated with one doc_id each have the component of their own text. Other columns are left out.
+    A pair right at the threshold shares no band with a chance of ``apart`` at most; ``miss`` is the one at which the comparison gives a pair up.
     """
+    shape = layout(percent, apart)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    seen = stored(_features(rows, words), "features")
+    seen = stored(_features(rows, words, shape), "features")
     able = seen.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("digest").agg(F.min("doc_id").alias("node"))
     firsts = able.join(classes, (able.digest == classes.digest) & (able.doc_id == classes.node), "left_semi")
@@ -266,16 +309,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, miss: fl
 
     # The signatures and sets of nodes that share a bucket, from their texts.
     nodes = central.select(F.col("node").alias("doc_id"))
-    sets = _sets(rows.join(nodes, "doc_id", "left_semi"), words)
+    sets = _sets(rows.join(nodes, "doc_id", "left_semi"), words, shape)
     sets = sets.join(classes, (sets.digest == classes.digest) & (sets.doc_id == classes.node), "left_semi").dropDuplicates(["doc_id", "digest"])
     sets = stored(sets.withColumnRenamed("doc_id", "node").drop("digest"), "sets")
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"), F.col("shingles").alias("ha"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("shingles").alias("hb"))
     both = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    found = components(_verify_pairs(both, percent, miss))
+    found = components(_verify_pairs(both, percent, miss, shape))
 
     rest = _unsettled(shared, found, sets)
-    more = stored(_verify_blocks(rest, percent, miss), "more")
+    more = stored(_verify_blocks(rest, percent, miss, shape), "more")
     label = F.coalesce("component", "node")
     if not more.isEmpty():
         a = more.join(found, more.a == found.node, "left").select(F.coalesce("component", "a").alias("a"), "b")

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tallywatch.llm import embedding, exact, graph, minhash
 
 
@@ -95,6 +96,29 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_near_stage_links_from_080(spark):
+    r = random.Random(8)
+    texts = {}
+    for n in range(120):
+        base = [f"w{r.randrange(3000)}" for _ in range(104)]
+        # 100 shingles each, 9, 10, 11 or 12 of them changed: similarities 0.835, 0.818, 0.802 and 0.786.
+        changed = 9 + n % 4
+        texts |= {2 * n: " ".join(base), 2 * n + 1: " ".join(base[:-changed] + [f"x{n}_{i}" for i in range(changed)])}
+    texts |= {240 + i: texts[0].replace(" ", "  ") + " end" * i for i in range(3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert kept == {d for d, (_, c) in brute(texts, 80).items() if c == d}
+    assert len(kept) == 150
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.layout(85, 3e-6) == minhash.Layout(40, 8)
+    for percent in (3, 20, 50, 70, 80, 85, 90, 99, 100):
+        shape = minhash.layout(percent, 3e-6)
+        assert (1 - (percent / 100) ** shape.rows) ** shape.bands <= 3e-6 and shape.minima % minhash.BATCH == 0
+        assert percent < 4 or shape.minima <= minhash.HASHES
+
+
 def test_posterior_bounds():
     least = minhash.least_matches(85, 1e-6)
     assert len(least) == minhash.HASHES // minhash.BATCH and all(a < b for a, b in zip(least, least[1:]))
