@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tallywatch.llm.common import slices, some_rows, text_or_empty
 from tallywatch.llm.words import library_encoder
 
+#: Groups of more pieces than this have their small ones joined before they are differenced.
+BUNDLE_FROM = 8192
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -57,21 +60,42 @@ def difference(sizes: np.ndarray, windows: int) -> list[list[int]]:
     return out
 
 
+def bundles(sizes: np.ndarray, most: int) -> list[list[int]]:
+    """Places of items, those of up to ``most`` joined in order while they hold no more than that together."""
+    out: list[list[int]] = []
+    held, total = [], 0
+    for i, size in enumerate(sizes.tolist()):
+        if size > most:
+            out.append([i])
+            continue
+        if held and total + size > most:
+            out.append(held)
+            held, total = [], 0
+        held.append(i)
+        total += size
+    return out + [held] if held else out
+
+
 def windows_for(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Sets of items within ``capacity``: as few windows as could hold them, and more while one overflows."""
+    """Sets of items within ``capacity``: as few windows as could hold them, and more while one overflows.
+
+    Differencing keeps numbers of every window for every item, so many small items go in as bundles.
+    """
+    joined = bundles(sizes, capacity // 16) if len(sizes) > BUNDLE_FROM else [[i] for i in range(len(sizes))]
+    whole = np.array([sizes[b].sum() for b in joined], np.int64)
     count = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        sets = difference(sizes, count)
-        if all(int(sizes[s].sum()) <= capacity for s in sets):
-            return [sorted(s) for s in sets if s]
+        sets = difference(whole, count)
+        if all(int(whole[s].sum()) <= capacity for s in sets):
+            return [sorted(i for b in s for i in joined[b]) for s in sets if s]
         count += max(1, count // 128)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_tokens: int = 1 << 20, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_tokens: int = 1 << 20, with_ids: bool = True, group_pieces: int = 1 << 17) -> DataFrame:
     """One row per piece of a document: where it begins in it, its ids, and its place in a window.
 
     Documents longer than a window fill whole windows first. What is left of them and all shorter
-    documents are gathered per input partition until ``group_tokens`` ids are there and packed by
+    documents are gathered per input partition until ``group_tokens`` ids or ``group_pieces`` pieces are there and packed by
     differencing, so a task holds one group at a time; only a partition's last group may be smaller.
     Nothing is shuffled. A null text is an empty one (its end id alone); equal or null doc_ids are
     documents like others.
@@ -121,9 +145,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                         held += count - whole
                 # A group is packed once as much again is there, so that the last one is not a small remainder.
                 due = []
-                if held >= 2 * group_tokens:
+                if held >= 2 * group_tokens or len(rest) >= 2 * group_pieces:
                     size, cut = 0, 0
-                    while size < group_tokens:
+                    while size < group_tokens and cut < group_pieces:
                         size += len(rest[cut][2])
                         cut += 1
                     due, rest, held = rest[:cut], rest[cut:], held - size

@@ -150,3 +150,23 @@ def test_windows_are_near_equal():
     packed = packing.windows_for(sizes, 4096)
     fill = np.array([sizes[s].sum() for s in packed])
     assert fill.max() <= 4096 and 1 - fill.sum() / (4096 * len(fill)) < 0.02
+
+
+def test_many_tiny_pieces_are_bundled(monkeypatch):
+    seen = []
+    real = packing.difference
+    monkeypatch.setattr(packing, "difference", lambda sizes, windows: seen.append(len(sizes)) or real(sizes, windows))
+    sizes = np.ones(300_000, np.int64)
+    sizes[::1000] = 300
+    packed = packing.windows_for(sizes, 4096)
+    assert max(seen) < 8192
+    assert sorted(i for s in packed for i in s) == list(range(len(sizes)))
+    assert max(int(sizes[s].sum()) for s in packed) <= 4096 and len(packed) <= 1.05 * sizes.sum() / 4096
+
+
+def test_packing_a_partition_of_empty_texts(spark):
+    docs = spark.range(300_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN 'word' END AS text").coalesce(1)
+    rows = packing.pack_documents(docs, P.path("word_bpe_49k.json"), with_ids=False).toPandas()
+    assert sorted(rows.doc_id) == list(range(300_000))
+    fill = rows.groupby("sequence_id").length.sum()
+    assert fill.max() <= 4096 and fill.sum() == rows.doc_tokens.sum() and len(fill) <= 1.05 * fill.sum() / 4096 + 1
