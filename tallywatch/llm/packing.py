@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def pack(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary, end_id, 450_000)
+        encode = library_encoder(vocabulary, end_id, 450_000, specials=True)
         sequence = TaskContext.get().partitionId() << 40
         rest, held = [], 0
 

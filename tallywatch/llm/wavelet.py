@@ -180,7 +180,7 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
     def build(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary, end_id)
+        encode = library_encoder(vocabulary, end_id, specials=True)
         part, before = TaskContext.get().partitionId(), 0
         keys, sizes, parts, held = [], [], [], 0
 

@@ -24,11 +24,13 @@ class PieceEncoder:
 
     When the table of known pieces holds ``limit`` pieces or ``limit`` * 16 characters, those used once are
     forgotten, or all if too many remain.
-    With ``end_id``, every text ends in that id.
+    With ``end_id``, every text ends in that id. A text in which ``whole`` matches is one piece.
     """
 
-    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 600_000):
-        self.encode, self.end_id, self.limit = encode, end_id, limit
+    def __init__(
+        self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 600_000, whole: re.Pattern | None = None
+    ):
+        self.encode, self.end_id, self.limit, self.whole = encode, end_id, limit, whole
         self.cut = re.compile(f"(?<=[{SOLID}]) ")
         self.odd = re.compile(f"[^{SOLID}] ")
         self._forget()
@@ -83,7 +85,10 @@ class PieceEncoder:
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            pieces = self.cut.split(text) if text[:1] == " " or self.odd.search(text) else text.split(" ")
+            if self.whole and self.whole.search(text):
+                pieces = [text]
+            else:
+                pieces = self.cut.split(text) if text[:1] == " " or self.odd.search(text) else text.split(" ")
             heads.append(pieces[0])
             del pieces[0]
             counts[i] = len(pieces)
@@ -108,22 +113,27 @@ class PieceEncoder:
         return ids, np.add.reduceat(lengths, heads_at) if len(texts) else counts
 
 
-def library_encoder(json_text: str, end_id: int | None = None, limit: int = 600_000) -> PieceEncoder:
-    """Pieces encoded by the tokenizers library; strings of special tokens in a text are ordinary text.
+def library_encoder(json_text: str, end_id: int | None = None, limit: int = 600_000, specials: bool = False) -> PieceEncoder:
+    """Pieces encoded by the tokenizers library.
+
+    Strings of special tokens in a text are ordinary text, or with ``specials`` their ids, as is the library's
+    default; the library then takes a text with such a string as a whole.
 
     Runs of new pieces are encoded as one string, as they would stand in a text, and the ids dealt
     out by the number of bytes they stand for. A run in which an id crosses from a piece into the
     next, or bytes got lost, is encoded piece by piece.
     """
-    return kept(("library", json_text, end_id, limit), lambda: _library_encoder(json_text, end_id, limit))
+    return kept(("library", json_text, end_id, limit, specials), lambda: _library_encoder(json_text, end_id, limit, specials))
 
 
-def _library_encoder(json_text: str, end_id: int | None, limit: int) -> PieceEncoder:
+def _library_encoder(json_text: str, end_id: int | None, limit: int, specials: bool) -> PieceEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(json_text)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not specials
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    whole = re.compile("|".join(added)) if specials and added else None
     suffix = tokenizer.model.end_of_word_suffix or ""
     # A byte is one character of a token here; where words have an end mark, white space has no ids.
     names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
@@ -158,4 +168,4 @@ def _library_encoder(json_text: str, end_id: int | None, limit: int) -> PieceEnc
                 parts.append(np.fromiter((i for r in rows for i in r), np.uint32))
         return np.concatenate(parts), sizes
 
-    return PieceEncoder(encode, end_id, limit)
+    return PieceEncoder(encode, end_id, limit, whole)

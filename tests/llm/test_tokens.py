@@ -170,3 +170,16 @@ def test_packing_a_partition_of_empty_texts(spark):
     assert sorted(rows.doc_id) == list(range(300_000))
     fill = rows.groupby("sequence_id").length.sum()
     assert fill.max() <= 4096 and fill.sum() == rows.doc_tokens.sum() and len(fill) <= 1.05 * fill.sum() / 4096 + 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_strings_get_their_ids(spark, name):
+    plain = Tokenizer.from_file(P.path(name))
+    said = [t.content for t in plain.get_added_tokens_decoder().values()]
+    texts = ["a <|endoftext|> b", "a b c", *[x for s in said for x in (f"a {s} b", f"{s}{s}", f" word{s}word  {s} ", s[:-1])]]
+    want = {d: np.array(plain.encode(t, add_special_tokens=False).ids + [2], "<u4") for d, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = wavelet.read_tokens(wavelet.token_shards(docs, P.path(name))).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in want.items()}
+    packed = packing.pack_documents(docs, P.path(name)).collect()
+    assert {r.doc_id: bytes(r.ids) for r in packed} == {d: x.tobytes() for d, x in want.items()}
