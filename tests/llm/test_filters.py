@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from oracle_compare import compare
 
-from tallywatch.llm import boosting, quality, secret_scan, toxicity
+from tallywatch.llm import boosting, labelled, quality, secret_scan, toxicity
 
 
 def test_secrets_against_sql(spark):
@@ -123,3 +123,15 @@ def test_without_labels_or_rows(spark):
         assert module.score_documents(docs.limit(0), module.train(docs, none)).count() == 0
     kept = quality.keep_good(docs, quality.train(docs, labels))
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_training_rows_are_bounded_where_doc_ids_repeat(spark):
+    labels = spark.range(60).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    once = spark.range(60).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    copies = spark.range(500).selectExpr("1L AS doc_id", "'text 1' AS text")
+    plain = labelled.training_texts(once, labels, "quality", 1000, 999).collect()
+    assert len(plain) == 60
+    assert sorted(labelled.training_texts(once.union(copies), labels, "quality", 1000, 999).collect()) == sorted(plain)
+    many = spark.range(500).selectExpr("1L AS doc_id", "concat('other ', id) AS text")
+    got = labelled.training_texts(once.union(many), labels, "quality", 1000, 999, rows=100).collect()
+    assert len(got) == 100 and len({r.text for r in got}) == 100
