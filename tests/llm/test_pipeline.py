@@ -41,7 +41,7 @@ def test_stages_in_turn(spark, odd_docs):
     left = {d: left[d] for d in first.values()}
     single = stages["exact_dedup"](spark, good, SF)
     assert {r.doc_id: r.text for r in single.collect()} == left
-    left = {d: left[d] for d, (_, c) in brute(left).items() if d == c}
+    left = {d: left[d] for d, (_, c) in brute(left, 80).items() if d == c}
     apart = stages["near_dedup"](spark, single, SF)
     assert {r.doc_id: r.text for r in apart.collect()} == left
     masked = stages["secrets"](spark, apart, SF)
