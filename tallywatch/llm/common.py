@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.session import stored
 
-__all__ = ["ORACLE", "QUERIES", "kept", "query", "read", "runs", "slices", "some_rows", "spans_of", "stored", "text_or_empty", "whole_groups"]
+__all__ = ["ORACLE", "QUERIES", "crc32_sql", "kept", "query", "read", "runs", "slices", "some_rows", "spans_of", "stored", "text_or_empty", "whole_groups"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def crc32_sql(text: str) -> tuple[str, str]:
+    """For the SQL twins, which have no such function: a table to be named crc_table, and the unsigned CRC-32 of a text by it."""
+    table = (
+        "list_transform(range(256), lambda n: list_reduce(range(8), "
+        "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
+    )
+    code = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || hex(encode({text}))[2 * k + 1 : 2 * k + 2])::BIGINT)"
+    return table, (
+        f"xor(list_reduce({code}, lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+    )
+
+
 def _give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     gc.collect()
