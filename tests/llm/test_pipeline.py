@@ -23,7 +23,7 @@ def test_matches_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)}
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "secrets", "packing"]
 
 
