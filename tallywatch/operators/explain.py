@@ -17,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tallywatch.functions.bands import interval_bin, linspace
 from tallywatch.operators import summaries as S
 from tallywatch.operators.scoring import Scorer, own_inputs, score
+from tallywatch.operators.trees import goes_left, saved_nodes
 from tallywatch.session import local_table
 
 ROWS_PER_PART = 100_000
@@ -510,9 +511,16 @@ def sensitivity(
 # ---------------------------------------------------------------- trees
 
 
-def surrogate_tree(df: DataFrame, features: Sequence[str], scorer: Scorer, max_depth: int = 5, cutoff: float | None = 0.5):
+def _nominal(name: str, values: int) -> Column:
+    return F.col(name).alias(name, metadata={"ml_attr": {"name": name, "type": "nominal", "vals": [str(i) for i in range(values)]}})
+
+
+def surrogate_tree(
+    df: DataFrame, features: Sequence[str], scorer: Scorer, max_depth: int = 5, cutoff: float | None = 0.5, categories: dict[str, int] | None = None
+):
     """Fit a tree to the scorer's decisions (or scores with ``cutoff`` None).
 
+    ``categories`` names features that hold codes 0, 1, ... and how many; they are split by sets of codes.
     Returns (model, one-row fidelity table).
     """
     from pyspark.ml.classification import DecisionTreeClassifier
@@ -523,6 +531,7 @@ def surrogate_tree(df: DataFrame, features: Sequence[str], scorer: Scorer, max_d
 
     rows = score(df.select(*[S.clean(f).alias(f) for f in features]), scorer, features)
     target = F.col("score") if cutoff is None else (F.col("score") >= cutoff).cast("double")
+    rows = rows.select(*[_nominal(f, categories[f]) if f in (categories or {}) else f for f in features], "score")
     vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows.withColumn("label", target))
     maker = DecisionTreeRegressor if cutoff is None else DecisionTreeClassifier
     model = maker(maxDepth=max_depth, minInstancesPerNode=10, seed=42).fit(vectors)
@@ -535,56 +544,31 @@ def surrogate_tree(df: DataFrame, features: Sequence[str], scorer: Scorer, max_d
 
 
 def tree_nodes(model, features: Sequence[str]) -> list[dict]:
-    """A fitted tree as flat nodes, read from its printed form (numeric splits).
+    """The nodes of a fitted tree, read from its saved node table: see ``trees.saved_nodes``."""
+    return saved_nodes(model, features)[0][1]
 
-    Node: {node_id, parent_id, depth, feature, threshold, side, prediction}; ``side`` says whether the
-    node is its parent's 'left' (<=) or 'right' (>) child.
-    """
-    nodes: list[dict] = []
-    stack: list[tuple[int, int, str]] = []  # (indent, node id, open side) of splits above
-    for line in model.toDebugString.splitlines()[1:]:
-        text, indent = line.strip(), len(line) - len(line.lstrip())
-        if text.startswith("If"):
-            parent, side = (stack[-1][1], stack[-1][2]) if stack else (None, None)
-            index, limit = text[text.index("feature ") + 8 : -1].split(" <= ")
-            node = {
-                "node_id": len(nodes), "parent_id": parent, "depth": len(stack), "feature": features[int(index)],
-                "threshold": float(limit), "side": side, "prediction": None,
-            }
-            nodes.append(node)
-            stack.append((indent, node["node_id"], "left"))
-        elif text.startswith("Else"):
-            while stack[-1][0] != indent:
-                stack.pop()
-            stack[-1] = (indent, stack[-1][1], "right")
-        elif text.startswith("Predict"):
-            while stack and stack[-1][0] >= indent:
-                stack.pop()
-            parent, side = (stack[-1][1], stack[-1][2]) if stack else (None, None)
-            nodes.append(
-                {
-                    "node_id": len(nodes), "parent_id": parent, "depth": len(stack), "feature": None, "threshold": None,
-                    "side": side, "prediction": float(text.split(":")[1]),
-                }
-            )
-    return nodes
-
-
-NODE_SCHEMA = "node_id int, parent_id int, depth int, feature string, threshold double, side string, prediction double"
+
+NODE_SCHEMA = "node_id int, parent_id int, depth int, feature string, threshold double, side string, prediction double, categories array<double>"
 
 
 def node_table(spark, nodes: Sequence[dict]) -> DataFrame:
-    return local_table(spark, [tuple(n[c.split()[0]] for c in NODE_SCHEMA.split(", ")) for n in nodes], NODE_SCHEMA)
+    return local_table(spark, [tuple(n.get(c.split()[0]) for c in NODE_SCHEMA.split(", ")) for n in nodes], NODE_SCHEMA)
+
+
+def _condition(node: dict, side: str) -> str:
+    if node.get("categories") is not None:
+        return f"{node['feature']} {'in' if side == 'left' else 'not in'} {{{', '.join(f'{c:g}' for c in node['categories'])}}}"
+    return f"{node['feature']} {'<=' if side == 'left' else '>'} {node['threshold']:.3f}"
 
 
-def _paths(nodes: Sequence[dict]) -> dict[int, list[tuple[str, str, float]]]:
+def _paths(nodes: Sequence[dict]) -> dict[int, list[str]]:
     by_id = {n["node_id"]: n for n in nodes}
-    paths: dict[int, list[tuple[str, str, float]]] = {}
+    paths: dict[int, list[str]] = {}
     for n in nodes:
         path, at = [], n
         while at["parent_id"] is not None:
             parent = by_id[at["parent_id"]]
-            path.append((parent["feature"], "<=" if at["side"] == "left" else ">", parent["threshold"]))
+            path.append(_condition(parent, at["side"]))
             at = parent
         paths[n["node_id"]] = path[::-1]
     return paths
@@ -600,7 +584,7 @@ def leaf_of(nodes: Sequence[dict]) -> Column:
         if n["feature"] is None:
             return F.lit(n["node_id"])
         kids = {c["side"]: c for c in children[n["node_id"]]}
-        return F.when(F.col(n["feature"]) <= n["threshold"], walk(kids["left"])).otherwise(walk(kids["right"]))
+        return F.when(goes_left(n), walk(kids["left"])).otherwise(walk(kids["right"]))
 
     return walk(children[None][0])
 
@@ -645,7 +629,7 @@ def decision_rules(df: DataFrame, nodes: Sequence[dict], label: str, min_confide
     """(leaf, rule, prediction, support, confidence): root-to-leaf conditions, largest support first."""
     paths = _paths(nodes)
     rows = [
-        (n["node_id"], " AND ".join(f"{f} {op} {t:.3f}" for f, op, t in paths[n["node_id"]]))
+        (n["node_id"], " AND ".join(paths[n["node_id"]]))
         for n in nodes
         if n["feature"] is None
     ]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.operators import aggregates as A
 from tallywatch.operators import summaries as S
+from tallywatch.operators.neighbours import nearest_rows
 
 MAX_CATEGORIES = 1000
 
@@ -186,3 +187,31 @@ def time_features(df: DataFrame, ts: str) -> DataFrame:
     from tallywatch.functions.text import time_features as parts
 
     return df.withColumns(parts(F.col(ts)))
+
+
+def smote(
+    df: DataFrame, key: str, features: Sequence[str], label: str, k_neighbors: int = 5, sampling_strategy: str | dict[str, int] = "auto", seed: int = 42
+) -> DataFrame:
+    """New rows of the smaller classes (Chawla et al. 2002): source, neighbour, copy, the features, and the label.
+
+    With "auto" every class grows to the size of the largest; a dictionary gives the wanted size per class. The new rows of a class are dealt evenly over its rows, the
+    first in hash order getting one more; each lies between its source and one of the ``k_neighbors`` nearest rows of the class, chosen, as is the place
+    between them, by hash. Rows with missing features count for their class but are no source; a row without neighbours gives none.
+    """
+    sizes = {str(r["g"]): r["n"] for r in df.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    goal = dict.fromkeys(sizes, max(sizes.values(), default=0)) if sampling_strategy == "auto" else sampling_strategy
+    missing = {g: goal[g] - n for g, n in sizes.items() if goal.get(g, 0) > n}
+    if not missing:
+        missing = {"": 0}
+    small = df.where(F.col(label).cast("string").isin(*missing))
+    near = nearest_rows(small, label, key, features, k_neighbors).where(F.size("near") > 0)
+    ranked = S.hash_rank(near, f"{seed}", [key], [label])
+    wanted = F.create_map(*[F.lit(v) for item in missing.items() for v in item])[F.col(label)]
+    total = F.col("rank_total")
+    copies = F.floor(wanted / total) + (F.col("rank") <= wanted % total).cast("long")
+    made = ranked.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    pick = F.floor(S.hash_unit(f"{seed}n", F.col(key), F.col("copy")) * F.size("near")).cast("int")
+    gap = S.hash_unit(f"{seed}g", F.col(key), F.col("copy"))
+    made = made.withColumn("_to", F.get("near", pick)).withColumn("_gap", gap)
+    place = [(F.get("x", i) + F.col("_gap") * (F.get(F.col("_to.x"), i) - F.get("x", i))).alias(f) for i, f in enumerate(features)]
+    return made.select(F.col(key).alias("source"), F.col("_to.key").alias("neighbour"), "copy", *place, label)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.operators import explain as E
 from tallywatch.operators import scoring
+from tallywatch.operators import trees as T
 from tallywatch.plans.bindings import query, read, rounded
 from tallywatch.plans.table_queries import ATTR_SQL, attributions
 from tallywatch.session import materialise
@@ -112,14 +113,6 @@ def _shap_interactions(spark, sf_dir):
     return rounded(E.shap_interactions(rows, "c_custkey", FEATURES, LOGIT, E.background_rows(rows, "c_custkey", FEATURES)))
 
 
-@query("exp_shap_tree")
-def _shap_tree(spark, sf_dir):
-    rows = customers(spark, sf_dir)
-    model, _ = E.surrogate_tree(rows, FEATURES, LOGIT, max_depth=4)
-    scorer = scoring.ModelScorer(model, FEATURES)
-    return rounded(E.shap_kernel(rows, "c_custkey", FEATURES, scorer, E.background_rows(rows, "c_custkey", FEATURES, 10)))
-
-
 @query("exp_lime_tabular")
 def _lime(spark, sf_dir):
     return rounded(E.lime_tabular(customers(spark, sf_dir), "c_custkey", FEATURES, LOGIT, num_samples=200), 4)
@@ -277,26 +270,48 @@ def _sensitivity_sample(spark, sf_dir):
     return rounded(rows.where("feature <> 'seg'"))
 
 
-@query("exp_surrogate_tree")
+STEPS = ("kilo", "reg")
+STEPPED = """st AS (SELECT floor(c_acctbal / 1000) AS kilo, (c_nationkey % 5)::DOUBLE AS reg, (c_acctbal + 100 * c_nationkey > 5000)::INTEGER AS y FROM customer)"""
+# Target: regions 1 and 3, and balances of 8000 or more. The best first split is by region, then by the balance, all other leaves being pure.
+STEP_NODES = f"""{STEPPED}, md AS (SELECT max(kilo) FILTER (kilo <= 7) AS a, min(kilo) FILTER (kilo > 7) AS b FROM st WHERE reg NOT IN (1, 3)),
+   rt AS (SELECT CASE WHEN reg IN (1, 3) THEN 4 WHEN kilo <= 7 THEN 2 ELSE 3 END AS leaf, y FROM st), up AS (SELECT unnest(CASE WHEN leaf = 4 THEN [0, 4] ELSE [0, 1, leaf] END) AS node_id, y FROM rt),
+   ct AS (SELECT node_id, y, count(*) AS k FROM up GROUP BY ALL),
+   ns AS (SELECT node_id, sum(k)::BIGINT AS samples, 1 - sum(k::DOUBLE * k) / sum(k) ** 2 AS impurity, max(k) / sum(k)::DOUBLE AS purity, arg_max(y, (k, y)) AS majority FROM ct GROUP BY node_id),
+   sh AS (SELECT * FROM (VALUES (0, NULL, 0, 'reg', NULL, NULL, [0.0, 2.0, 4.0]), (1, 0, 1, 'kilo', 'left', NULL, NULL), (2, 1, 2, NULL, 'left', 0.0, NULL), (3, 1, 2, NULL, 'right', 1.0, NULL), (4, 0, 1, NULL, 'right', 1.0, NULL))
+     t(node_id, parent_id, depth, feature, side, prediction, categories))"""
+
+
+def stepped(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select(
+        F.floor(F.col("c_acctbal") / 1000).cast("double").alias("kilo"), (F.col("c_nationkey") % 5).cast("double").alias("reg"),
+        (F.col("c_acctbal") + 100 * F.col("c_nationkey") > 5000).cast("int").alias("y"),
+    )
+
+
+def _step_tree(rows):
+    rule = scoring.ColumnScorer(lambda x: F.when(x["reg"].isin(1.0, 3.0) | (x["kilo"] > 7), 1.0).otherwise(0.0))
+    model, fidelity = E.surrogate_tree(rows, STEPS, rule, max_depth=3, categories={"reg": 5})
+    return E.tree_nodes(model, STEPS), fidelity
+
+
+@query("exp_surrogate_tree", f"WITH {STEPPED} SELECT 1.0::DOUBLE AS fidelity, count(*) AS n FROM st WHERE kilo IS NOT NULL AND reg IS NOT NULL")
 def _surrogate(spark, sf_dir):
-    _, fidelity = E.surrogate_tree(customers(spark, sf_dir), FEATURES, LOGIT)
-    return rounded(fidelity, 4)
+    return rounded(_step_tree(stepped(spark, sf_dir))[1], 4)
 
 
-@query("exp_tree_nodes")
+@query("exp_tree_nodes", f"""WITH {STEP_NODES} SELECT node_id, parent_id, depth, feature, CASE feature WHEN 'kilo' THEN round((a + b) / 2, 4) END AS threshold, side, prediction::DOUBLE AS prediction, categories::DOUBLE[] AS categories,
+   samples, round(impurity, 4) AS impurity, round(purity, 4) AS purity, majority FROM sh JOIN ns USING (node_id), md""")
 def _nodes(spark, sf_dir):
-    rows = customers(spark, sf_dir)
-    model, _ = E.surrogate_tree(rows, FEATURES, LOGIT, max_depth=3)
-    nodes = E.tree_nodes(model, FEATURES)
-    stats = E.node_stats(rows, nodes, "y")
-    return rounded(E.node_table(spark, nodes).join(stats, "node_id"), 4)
+    rows = stepped(spark, sf_dir)
+    nodes, _ = _step_tree(rows)
+    return rounded(E.node_table(spark, nodes).join(E.node_stats(rows, nodes, "y"), "node_id"), 4)
 
 
-@query("exp_tree_stats")
+@query("exp_tree_stats", f"""WITH {STEP_NODES} SELECT count(*) AS nodes, count(*) FILTER (feature IS NULL) AS leaves, max(depth) AS max_depth, round(avg(depth) FILTER (feature IS NULL), 4) AS mean_leaf_depth,
+   round(avg(purity) FILTER (feature IS NULL), 4) AS mean_leaf_purity FROM sh JOIN ns USING (node_id)""")
 def _tree_stats(spark, sf_dir):
-    rows = customers(spark, sf_dir)
-    model, _ = E.surrogate_tree(rows, FEATURES, LOGIT, max_depth=3)
-    nodes = E.tree_nodes(model, FEATURES)
+    rows = stepped(spark, sf_dir)
+    nodes, _ = _step_tree(rows)
     return rounded(E.tree_stats(nodes, materialise(E.node_stats(rows, nodes, "y"))), 4)
 
 
@@ -330,3 +345,21 @@ def _node_stats(spark, sf_dir):
    prediction, support, round(CASE WHEN imp < 0.5 THEN 1 - imp ELSE imp END, 6) AS confidence FROM s WHERE support >= 10 AND CASE WHEN imp < 0.5 THEN 1 - imp ELSE imp END >= 0.8""")
 def _rules(spark, sf_dir):
     return rounded(E.decision_rules(customers(spark, sf_dir), TREE, "y"))
+
+
+def _walk(bal: bool, nat: bool) -> str:
+    """What the tree predicts of a row when only some features are known; the others are averaged by the rows of each side."""
+    low = "CASE WHEN nat <= 18 THEN v2 ELSE v3 END" if nat else "(n2 * v2 + n3 * v3) / (n2 + n3)"
+    high = "CASE WHEN bal <= 5000 THEN v5 ELSE v6 END" if bal else "(n5 * v5 + n6 * v6) / (n5 + n6)"
+    if bal:
+        return f"CASE WHEN bal <= 3500 THEN {low} ELSE {high} END"
+    return f"((n2 + n3) * ({low}) + (n5 + n6) * ({high})) / (n2 + n3 + n5 + n6)"
+
+
+@query("exp_shap_tree", f"""WITH {CUST}, l AS (SELECT {LEAF} AS leaf, y FROM cust),
+   k AS (SELECT {", ".join(f"count(*) FILTER (leaf = {i})::DOUBLE AS n{i}, coalesce(avg(y) FILTER (leaf = {i}), 0)::DOUBLE AS v{i}" for i in (2, 3, 5, 6))} FROM l),
+   w AS (SELECT c_custkey, {_walk(False, False)} AS e, {_walk(True, False)} AS b, {_walk(False, True)} AS n, {_walk(True, True)} AS bn FROM cust, k)
+   SELECT c_custkey, unnest(['bal', 'nat', 'seg']) AS feature, round(unnest([(b - e + bn - n) / 2, (n - e + bn - b) / 2, 0.0]), 6) AS attribution, round(e, 6) AS base, round(bn, 6) AS prediction FROM w""")
+def _shap_tree(spark, sf_dir):
+    rows = customers(spark, sf_dir)
+    return rounded(T.tree_shap(rows, "c_custkey", FEATURES, [(1.0, T.with_covers(rows, TREE, "y"))]))

@@ -263,3 +263,27 @@ def _engineer(spark, sf_dir):
     return rounded(
         out.select("p_partkey", "p_size_x_p_retailprice", "p_size_pow2", "p_size_pow3", "p_retailprice_per_offset"), 6, p_size_x_p_retailprice=4
     )
+
+
+def _unit(seed: str) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || c_custkey || '|' || copy), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+BANDS = """bd AS (SELECT c_custkey, c_acctbal / 100 AS bal, c_nationkey::DOUBLE AS nat, length(c_mktsegment)::DOUBLE AS seg,
+   CASE WHEN c_acctbal > 9000 THEN 'top' WHEN c_acctbal < 0 THEN 'low' ELSE 'mid' END AS band FROM customer)"""
+
+
+@query("pre_smote", f"""WITH {BANDS}, c AS (SELECT band, count(*) AS n, max(count(*)) OVER () AS most FROM bd GROUP BY band),
+   d AS (SELECT a.c_custkey, b.c_custkey AS other, b.bal AS b2, b.nat AS n2, b.seg AS s2, row_number() OVER (PARTITION BY a.c_custkey ORDER BY sqrt((a.bal - b.bal) ** 2 + (a.nat - b.nat) ** 2 + (a.seg - b.seg) ** 2), b.c_custkey) AS i,
+         count(*) OVER (PARTITION BY a.c_custkey) AS others FROM bd a JOIN bd b ON a.band = b.band AND a.c_custkey != b.c_custkey WHERE a.band != 'mid'),
+   k AS (SELECT bd.*, n, most, row_number() OVER (PARTITION BY band ORDER BY md5('42|' || c_custkey), c_custkey) AS r FROM bd JOIN c USING (band) WHERE n < most),
+   m AS (SELECT *, unnest(range(1, ((most - n) // n + CASE WHEN r <= (most - n) % n THEN 1 ELSE 0 END + 1)::BIGINT)) AS copy FROM k),
+   p AS (SELECT m.*, other, b2, n2, s2, {_unit('42g')} AS gap FROM m JOIN d USING (c_custkey) WHERE i = 1 + floor({_unit('42n')} * least(others, 5)))
+   SELECT c_custkey AS source, other AS neighbour, copy, round(bal + gap * (b2 - bal), 6) AS bal, round(nat + gap * (n2 - nat), 6) AS nat, round(seg + gap * (s2 - seg), 6) AS seg, band FROM p""")
+def _smote(spark, sf_dir):
+    balance = F.col("c_acctbal")
+    rows = read(spark, sf_dir, "customer").select(
+        "c_custkey", (balance / 100).alias("bal"), F.col("c_nationkey").cast("double").alias("nat"), F.length("c_mktsegment").cast("double").alias("seg"),
+        F.when(balance > 9000, "top").when(balance < 0, "low").otherwise("mid").alias("band"),
+    )
+    return rounded(P.smote(rows, "c_custkey", ["bal", "nat", "seg"], "band"))
