@@ -492,69 +492,3 @@ def baseline_model(df: DataFrame, features: Sequence[str], key: Sequence[str], k
         vector_to_array("probability")[1].alias("p"),
     )
     return model, scored
-
-
-def reduction_grid(
-    df: DataFrame, features: Sequence[str], attribute: str, multipliers: Sequence[float] = (-1.0, -0.5, 0.0, 0.5, 1.0),
-    constraint: str = "demographic_parity",
-) -> DataFrame:
-    """Weighted logistic fits over a multiplier grid, all scored in one job (Agarwal et al. 2018).
-
-    Each multiplier shifts the cost of selecting a row of the attribute's first group against the
-    others. Result: (multiplier, accuracy, difference, signed_gap, objective), best first;
-    ``signed_gap`` is the first group's selection rate minus the mean of the others.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    first = df.agg(F.min(F.col(attribute).cast("string")).alias("g")).first()["g"]
-    member = (F.col(attribute).cast("string") == first).cast("double")
-    shares = df.agg(F.avg(member).alias("m"), F.avg(F.col("y").cast("double")).alias("b")).first()
-    rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
-    tilt = member / shares["m"] - (1 - member) / max(1 - shares["m"], 1e-9)
-    if constraint == "equalized_odds":
-        tilt = tilt * F.when(F.col("y") == 1, 1.0 / max(shares["b"], 1e-9)).otherwise(1.0 / max(1 - shares["b"], 1e-9)) / 2
-    scored = rows
-    for i, m in enumerate(multipliers):
-        signed = (2 * F.col("y") - 1) - m * tilt
-        fit = (
-            LogisticRegression(labelCol="_label", weightCol="_weight", maxIter=30, predictionCol=f"_p{i}", rawPredictionCol=f"_r{i}", probabilityCol=f"_q{i}")
-            .fit(rows.withColumns({"_label": (signed > 0).cast("double"), "_weight": F.abs(signed)}))
-        )
-        scored = fit.transform(scored).drop(f"_r{i}", f"_q{i}")
-    versions = F.array(*[F.struct(F.lit(float(m)).alias("multiplier"), F.col(f"_p{i}").cast("int").alias("yhat")) for i, m in enumerate(multipliers)])
-    long_df = scored.select("y", F.col(attribute).cast("string").alias("grp"), F.inline(versions))
-    table = rates(confusion_counts(long_df, ["multiplier", "grp"]))
-    gap = lambda c: F.max(c) - F.min(c)
-    difference = gap("selection_rate") if constraint == "demographic_parity" else F.greatest(gap("true_positive_rate"), gap("false_positive_rate"))
-    out = table.groupBy("multiplier").agg(
-        (F.sum(F.col("accuracy") * F.col("sample_size")) / F.sum("sample_size")).alias("accuracy"),
-        difference.alias("difference"),
-        F.coalesce(
-            F.max(F.when(F.col("grp") == first, F.col("selection_rate"))) - F.avg(F.when(F.col("grp") != first, F.col("selection_rate"))),
-            F.lit(0.0),
-        ).alias("signed_gap"),
-    )
-    return out.withColumn("objective", F.col("accuracy") - F.col("difference")).orderBy(F.col("objective").desc(), "multiplier")
-
-
-def exponentiated_gradient(
-    df: DataFrame, features: Sequence[str], attribute: str, rounds: int = 5, step: float = 2.0, bound: float = 2.0,
-    constraint: str = "demographic_parity",
-) -> DataFrame:
-    """The multiplier moved by exponentiated gradient on the signed violation, one fit per round.
-
-    Result: (round, multiplier, accuracy, difference).
-    """
-    import math
-
-    weights = [0.0, 0.0]
-    history = []
-    for i in range(rounds):
-        up, down = math.exp(weights[0]), math.exp(weights[1])
-        multiplier = bound * (up - down) / (1 + up + down)
-        row = reduction_grid(df, features, attribute, [multiplier], constraint).first()
-        history.append((i, float(multiplier), float(row["accuracy"]), float(row["difference"])))
-        weights[0] += step * row["signed_gap"]
-        weights[1] -= step * row["signed_gap"]
-    return local_table(df.sparkSession, history, "round int, multiplier double, accuracy double, difference double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallywatch.operators import abtest as B
 from tallywatch.operators import drift
 from tallywatch.operators import fairness as X
+from tallywatch.operators import reductions as R
 from tallywatch.operators import performance as M
 from tallywatch.plans.bindings import SIDED_SQL, query, read, rounded, sided_lineitem
 from tallywatch.plans.drift_queries import HISTORY_SQL, drift_history
@@ -308,14 +309,66 @@ def _forest(spark, sf_dir):
     return rounded(X.metric_frame(scored, "season"), 4)
 
 
-@query("fai_reduction_grid")
-def _grid(spark, sf_dir):
-    return rounded(X.reduction_grid(decisions(spark, sf_dir), ["l_quantity", "l_tax", "p"], "status"), 4)
+THREE = """th AS (SELECT l_returnflag AS grp, (l_quantity + 3 * l_linenumber > 30)::INTEGER AS y, l_quantity / 50 * CASE l_returnflag WHEN 'N' THEN 0.6::DOUBLE WHEN 'A' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS p FROM lineitem),
+   ce AS MATERIALIZED (SELECT grp, y, least(floor(p * 100), 100)::INTEGER AS b, count(*) AS n FROM th GROUP BY ALL),
+   sz AS MATERIALIZED (SELECT grp, sum(n)::DOUBLE AS n, sum(sum(n)) OVER ()::DOUBLE AS total FROM ce GROUP BY grp),
+   ab AS MATERIALIZED (SELECT c.grp, c.y, t.b, coalesce(sum(ce.n), 0)::DOUBLE AS n FROM (SELECT DISTINCT grp, y FROM ce) c CROSS JOIN (SELECT unnest(range(0, 102))::INTEGER AS b) t LEFT JOIN ce ON ce.grp = c.grp AND ce.y = c.y AND ce.b >= t.b GROUP BY ALL)"""
+ROUNDS, SLACK = 6, 0.02
+
+
+def three_groups(spark, sf_dir):
+    """Three groups whose score is biased: decisions y by quantity and line, score p scaled down for two of the groups."""
+    flag = F.col("l_returnflag")
+    scale = F.when(flag == "N", 0.6).when(flag == "A", 0.8).otherwise(1.0)
+    return read(spark, sf_dir, "lineitem").select(
+        flag.alias("grp"), (F.col("l_quantity") + 3 * F.col("l_linenumber") > 30).cast("int").alias("y"), (F.col("l_quantity") / 50 * scale).alias("p")
+    )
+
+
+def _best_sql(multipliers: str, keys: str = "") -> str:
+    """Per group the lowest threshold of the least cost, given ``multipliers`` (keys, grp, m); all groups' multipliers add up in every cost."""
+    k = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""(SELECT {k}grp, b, m FROM (SELECT {k}grp, b, any_value(m) AS m, row_number() OVER (PARTITION BY {k}grp ORDER BY round(sum(cost * n), 9), b) AS i
+       FROM (SELECT {k}ab.grp, ab.b, ab.n, m, (1 - 2 * y) + m * total / sz.n - ms AS cost FROM ab JOIN sz ON sz.grp = ab.grp JOIN (SELECT *, sum(m) OVER ({part}) AS ms FROM {multipliers}) u ON u.grp = ab.grp) GROUP BY {k}grp, b) WHERE i = 1)"""
 
 
-@query("fai_exponentiated_gradient")
+def _game_sql() -> str:
+    out = ["t0 AS MATERIALIZED (SELECT grp, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn FROM sz)"]
+    for i in range(ROUNDS):
+        out.append(f"m{i} AS MATERIALIZED (SELECT grp, up, dn, {1 / SLACK}::DOUBLE * (exp(up) - exp(dn)) / (1 + sum(exp(up) + exp(dn)) OVER ()) AS m FROM t{i})")
+        out.append(f"b{i} AS MATERIALIZED {_best_sql(f'm{i}')}")
+        out.append(f"r{i} AS MATERIALIZED (SELECT grp, s / n AS rate, s / n - sum(s) OVER () / total AS gap FROM (SELECT b.grp, sum(ab.n) AS s, any_value(sz.n) AS n, any_value(total) AS total FROM b{i} b JOIN ab USING (grp, b) JOIN sz ON sz.grp = b.grp GROUP BY b.grp))")
+        out.append(f"t{i + 1} AS MATERIALIZED (SELECT grp, up + {2 * SLACK}::DOUBLE * (gap - {SLACK}::DOUBLE) AS up, dn + {2 * SLACK}::DOUBLE * (-gap - {SLACK}::DOUBLE) AS dn FROM m{i} JOIN r{i} USING (grp))")
+    return ", ".join(out)
+
+
+@query("fai_exponentiated_gradient", f"""WITH {THREE}, {_game_sql()}, lm AS (SELECT grp, b, m FROM ({" UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(ROUNDS))})),
+   ch AS (SELECT th.grp, th.y, avg((least(floor(th.p * 100), 100) >= lm.b)::INTEGER) AS chance FROM (SELECT row_number() OVER () AS i, * FROM th) th JOIN lm ON lm.grp = th.grp GROUP BY th.i, th.grp, th.y)
+   SELECT grp, count(*) AS n, round(avg(chance), 6) AS selection_rate, round(avg(CASE y WHEN 1 THEN chance ELSE 1 - chance END), 6) AS accuracy, (SELECT round(avg(m), 6) FROM lm WHERE lm.grp = ch.grp) AS multiplier FROM ch GROUP BY grp""")
 def _gradient(spark, sf_dir):
-    return rounded(X.exponentiated_gradient(decisions(spark, sf_dir), ["l_quantity", "l_tax", "p"], "status", rounds=3), 4)
+    rows = three_groups(spark, sf_dir)
+    mixture, history, _ = R.exponentiated_gradient(rows, "grp", R.ThresholdLearner("p", 100), rounds=ROUNDS, slack=SLACK)
+    right = F.when(F.col("y") == 1, F.col("chance")).otherwise(1 - F.col("chance"))
+    rates = mixture.score(rows).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("chance").alias("selection_rate"), F.avg(right).alias("accuracy"))
+    return rounded(rates.join(history.groupBy(F.col("name").alias("grp")).agg(F.avg("multiplier").alias("multiplier")), "grp"))
+
+
+def _grid_sql() -> str:
+    points = R.multiplier_grid(["A", "N", "R"], 20)
+    return "(VALUES " + ", ".join(f"({i}, '{g}', {m}::DOUBLE)" for i, p in enumerate(points) for g, m in p.items()) + ") v(point, grp, m)"
+
+
+@query("fai_reduction_grid", f"""WITH {THREE}, gr AS MATERIALIZED (SELECT * FROM {_grid_sql()}), bt AS {_best_sql("gr", "point")},
+   se AS (SELECT point, bt.grp, sum(ab.n) AS s, sum(CASE y WHEN 1 THEN ab.n ELSE 0 END) AS tp FROM bt JOIN ab USING (grp, b) GROUP BY point, bt.grp),
+   ps AS (SELECT grp, sum(n) FILTER (y = 1) AS pos FROM ce GROUP BY grp),
+   ag AS (SELECT point, sum(tp + sz.n - pos - (s - tp)) / any_value(total) AS accuracy, max(s / sz.n) - min(s / sz.n) AS difference FROM se JOIN sz USING (grp) JOIN ps USING (grp) GROUP BY point)
+   SELECT point, (SELECT m FROM gr WHERE gr.point = ag.point AND grp = 'A') AS of_a, (SELECT m FROM gr WHERE gr.point = ag.point AND grp = 'N') AS of_n, (SELECT m FROM gr WHERE gr.point = ag.point AND grp = 'R') AS of_r,
+     round(accuracy, 6) AS accuracy, round(difference, 6) AS difference, round(0.5 * (1 - accuracy) + 0.5 * difference, 6) AS objective FROM ag""")
+def _grid(spark, sf_dir):
+    _, table = R.reduction_grid(three_groups(spark, sf_dir), "grp", R.ThresholdLearner("p", 100), size=20)
+    of = F.col("multipliers")
+    return rounded(table.select("point", of["A"].alias("of_a"), of["N"].alias("of_n"), of["R"].alias("of_r"), "accuracy", "difference", "objective"))
 
 
 # ------------------------------------------------------------------ performance
