@@ -139,8 +139,9 @@ def cooldown(matches: DataFrame, last_fired: DataFrame | None = None) -> DataFra
     return kept.unionByName(always.select(*kept.columns))
 
 
-def alert_rows(fired: DataFrame) -> DataFrame:
+def alert_rows(fired: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return fired.select(
+        *keep,
         F.concat_ws("-", "rule_id", F.col("event_id").cast("string")).alias("alert_id"),
         "rule_id",
         F.col("r_alert_type").alias("alert_type"),

@@ -507,6 +507,26 @@ def _rules_live(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out/alerts").drop("batch_id")
 
 
+@query("str_frequency", """WITH d AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS batch FROM events)
+   SELECT batch, count(*) AS records, round(avg(value), 6) AS mean_value, count(DISTINCT event_type) AS kinds FROM d GROUP BY batch""")
+def _frequency_live(spark, sf_dir):
+    """A monitor that looks at what is new every second; the later half of the rows arrives after its first look."""
+    folder = f"{shared_folder(spark)}/frequency-{uuid.uuid4().hex}"
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts")
+    later = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    rows.where(~later).write.parquet(f"{folder}/in")
+    stream = streams.open_stream(spark, "parquet", rows.schema, f"{folder}/in")
+    monitor = streams.start(stream, f"{folder}/checkpoint", streams.write_batches(f"{folder}/out"), "1 second")
+    try:
+        monitor.processAllAvailable()
+        rows.where(later).write.mode("append").parquet(f"{folder}/in")
+        monitor.processAllAvailable()
+    finally:
+        monitor.stop()
+    seen = spark.read.parquet(f"{folder}/out").groupBy(F.least(F.col("batch_id"), F.lit(1)).cast("int").alias("batch"))
+    return rounded(seen.agg(F.count(F.lit(1)).alias("records"), F.avg("value").alias("mean_value"), F.countDistinct("event_type").alias("kinds")))
+
+
 @query("str_fan_out", "SELECT 'columns' AS target, event_id, value FROM events UNION ALL SELECT 'text', event_id, value FROM events")
 def _fan_out_live(spark, sf_dir):
     folder = f"{shared_folder(spark)}/fan-{uuid.uuid4().hex}"

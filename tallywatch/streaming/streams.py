@@ -1,7 +1,7 @@
 """Structured Streaming forms of the batch operators.
 
 Transformations take and return DataFrames and work on both; the ``run_*`` functions start
-a query. State that decisions depend on lives in the shared folder named by the caller.
+a query. State that decisions depend on lives in the checkpoint named by the caller.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql.types import StructType
 from tallywatch.operators import alerts as A
 from tallywatch.operators import drift as D
 from tallywatch.operators import summaries as S
-from tallywatch.session import local_table
 
 # Named monitoring frequencies, and hours between checks of each kind.
 FREQUENCIES = {"hourly": "1 hour", "daily": "24 hours", "weekly": "168 hours"}
@@ -104,12 +103,12 @@ def fan_out(targets: Sequence[dict]) -> Callable[[DataFrame, int], None]:
 
 
 def start(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], frequency: str = "real_time", once: bool = False) -> StreamingQuery:
-    """Start a query at a monitoring frequency, or over all available data once."""
+    """Start a query at a monitoring frequency (a name, or an interval like "10 seconds"), or over all available data once."""
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
         return writer.trigger(availableNow=True).start()
     if frequency != "real_time":
-        writer = writer.trigger(processingTime=FREQUENCIES[frequency])
+        writer = writer.trigger(processingTime=FREQUENCIES.get(frequency, frequency))
     return writer.start()
 
 
@@ -130,11 +129,6 @@ def run_complete(aggregated: DataFrame, folder: str, checkpoint: str) -> DataFra
     return aggregated.sparkSession.read.parquet(f"{folder}/batch_id={query.lastProgress['batchId']}")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def reference_bins(reference: DataFrame, columns: Sequence[str], bins: int = D.HISTOGRAM_BINS) -> DataFrame:
     """Static reference histogram: (feature, low, high, bucket, c_ref), one row per bin."""
     counts = S.long_numeric(reference, columns, keep=())
@@ -183,32 +177,71 @@ def windowed_drift(counts: DataFrame, reference: DataFrame, threshold: float = 0
     )
 
 
-def run_rules(metrics: DataFrame, rules: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Rule evaluation with cooldowns across batches.
-
-    Each batch reads the last firing times that the batch before it left in ``folder``, decides with
-    the batch operator, and writes its alerts and the new times under its own number; running a
-    batch again gives the same files. Times older than the last finished batch are removed.
+def _fire_in_turn(key, frames, state):
+    """Alerts of one rule in one batch, given the time it last fired; the state goes once it can't silence anything more."""
+    import numpy as np
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    frame = pd.concat(list(frames), ignore_index=True).drop(columns="_at")
+    gap = int(frame["gap"].iloc[0])
+    if gap <= 0:
+        yield frame
+        return
+    frame = frame.sort_values(["us", "event_id"], kind="stable").drop_duplicates("us")
+    t = frame["us"].to_numpy()
+    last = state.get[0] if state.exists else None
+    at = 0 if last is None else int(np.searchsorted(t, last + gap, side="left"))
+    fired = []
+    while at < len(t):
+        fired.append(at)
+        last = int(t[at])
+        at = int(np.searchsorted(t, last + gap, side="left"))
+    until = -(-(last + gap) // 1000)
+    if until > state.getCurrentWatermarkMs():
+        state.update((last,))
+        state.setTimeoutTimestamp(until)
+    elif state.exists:
+        state.remove()
+    yield frame.iloc[fired]
+
+
+def fire_rules(metrics: DataFrame, rules: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Alerts of a stream of metric points: a rule stays silent for its cooldown after each firing, over all batches.
+
+    The last firing time of a rule lives in the engine's state store, keyed by rule; an event-time timer removes it
+    when the watermark has passed the end of the cooldown. Points more than ``late`` behind the newest of earlier batches are
+    dropped, as by every watermark. Within a batch points are decided by time and event_id; a task holds
+    one rule's matches of a batch, so the reader's ``maxFilesPerTrigger`` bounds it.
     """
-    spark = metrics.sparkSession
-    state_schema = "rule_id string, last_us bigint"
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    matched = A.match_rules(metrics, rules).withColumn("rule_id", F.col("r_rule_id"))
+    alerts = A.alert_rows(matched)
+    kinds = dict(alerts.dtypes)
+    # The columns of an alert, worked out before the state. Whole numbers that may be null, and times, pass as text or as microseconds.
+    message = alerts.columns
+    rows = A.alert_rows(matched, keep=("ts", "event_id", "r_cooldown_seconds")).withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", late)
+    slim = rows.select(
+        *[c for c in message if c not in ("model_id", "triggered_at")], F.col("model_id").cast("string").alias("model_id"), F.unix_micros("_at").alias("us"),
+        (F.col("r_cooldown_seconds") * 1_000_000).cast("bigint").alias("gap"), "event_id", "_at",
+    )
+    fired = slim.groupBy("rule_id").applyInPandasWithState(
+        _fire_in_turn, slim.drop("_at").schema, "last_us long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return fired.select(
+        *[
+            F.timestamp_micros("us").cast(kinds[c]).alias(c) if c == "triggered_at" else F.col(c).cast(kinds[c]).alias(c)
+            for c in message
+        ]
+    )
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        known = (
-            spark.read.schema(state_schema).parquet(f"{folder}/state/batch_id={batch_id - 1}")
-            if batch_id > 0
-            else local_table(spark, [], state_schema)
-        )
-        fired = A.cooldown(A.match_rules(batch, rules), known).persist()
-        try:
-            A.alert_rows(fired).write.mode("overwrite").parquet(f"{folder}/alerts/batch_id={batch_id}")
-            latest = fired.select("rule_id", F.col("us").alias("last_us")).unionByName(known)
-            latest.groupBy("rule_id").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(
-                f"{folder}/state/batch_id={batch_id}"
-            )
-            # The batch before this one is committed by now; only its state can be asked for again.
-            _remove(spark, f"{folder}/state/batch_id={batch_id - 2}")
-        finally:
-            fired.unpersist()
 
-    return start(metrics, checkpoint, write, once=once)
+def run_rules(metrics: DataFrame, rules: DataFrame, folder: str, checkpoint: str, once: bool = True, frequency: str = "real_time") -> StreamingQuery:
+    """Rule evaluation over a stream: every batch's alerts go to a folder of its own below ``folder``/alerts.
+
+    Cooldowns are carried in the checkpoint, so a query started again from it goes on where it stopped; a repeated batch replaces its alerts.
+    """
+    return start(fire_rules(metrics, rules), checkpoint, write_batches(f"{folder}/alerts"), frequency, once)

@@ -107,6 +107,49 @@ def test_point_without_model_meets_every_rule(spark):
     assert sorted(r["event_id"] for r in A.match_rules(df, rules).collect()) == [1, 2]
 
 
+def test_rules_go_on_from_their_checkpoint(spark, tmp_path):
+    def points(rows):
+        df = spark.createDataFrame(rows, "event_id int, model_id int, metric_name string, metric_value double, s int")
+        return df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
+
+    schema = "event_id int, model_id int, metric_name string, metric_value double, ts timestamp"
+    rules = A.rule_table(spark, [("r", "Rule", "m", ">", 0.0, "high", "t", 7200.0, None), ("now", "At once", "m", ">", 0.5, "low", "t", 0.0, None)])
+    got = []
+    # Points without a model, of one instant, within a cooldown that began in the run before, and a day later.
+    for rows in ([(1, None, "m", 1.0, 0), (2, 1, "m", 0.4, 0)], [(3, 2, "m", 0.4, 7199), (4, 2, "m", 0.4, 7200)], [(5, 3, "n", 0.4, 90000)], [(6, 3, "m", 0.4, 90001)]):
+        points(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.open_stream(spark, "parquet", schema, str(tmp_path / "in"))
+        streams.run_rules(stream, rules, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        held = spark.read.format("statestore").load(str(tmp_path / "cp")).count()
+        got.append((sorted(r.alert_id for r in spark.read.parquet(str(tmp_path / "out" / "alerts")).collect()), held))
+    # The third run's point meets no rule.
+    assert [a for a, _ in got] == [["now-1", "r-1"], ["now-1", "r-1", "r-4"], ["now-1", "r-1", "r-4"], ["now-1", "r-1", "r-4", "r-6"]]
+    rows = spark.read.parquet(str(tmp_path / "out" / "alerts"))
+    assert dict(rows.dtypes)["model_id"] == "int" and dict(rows.dtypes)["triggered_at"] == "timestamp"
+    assert {r.alert_id: (r.model_id, r.triggered_at.timestamp()) for r in rows.collect()}["r-6"][0] == 3
+    # The state of the first firing is there until a timer ends it.
+    assert got[0][1] == 1 and [h for _, h in got][-1] == 1
+
+
+def test_monitor_fires_at_its_frequency(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = streams.open_stream(spark, "parquet", "id bigint", str(tmp_path / "in"))
+    query = streams.start(stream, str(tmp_path / "cp"), streams.write_batches(str(tmp_path / "out")), "3 seconds")
+    try:
+        query.processAllAvailable()
+        spark.range(5, 9).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+        from datetime import datetime
+
+        fired = {p["batchId"]: datetime.fromisoformat(p["timestamp"].replace("Z", "+00:00")) for p in query.recentProgress if p["numInputRows"] > 0}
+        assert set(fired) == {0, 1} and (fired[1] - fired[0]).total_seconds() > 0.5
+        # Triggers fall on multiples of the interval.
+        assert fired[1].timestamp() % 3 < 0.5 or fired[1].timestamp() % 3 > 2.5
+    finally:
+        query.stop()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).where("batch_id = 1").collect()) == [5, 6, 7, 8]
+
+
 def test_stream_of_rules_equals_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, 1, "m", rng.random(), i * 13 + rng.randrange(10)) for i in range(300)]
