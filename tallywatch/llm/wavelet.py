@@ -191,9 +191,9 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
                 pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("shard", pa.binary())]),
             )
 
-        for batch in some_rows(batches):
+        for batch in some_rows(batches, 4096):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, 1 << 22):
                 tokens, counts = encode(texts[a:b])
                 keys += ids[a:b]
                 sizes.append(counts)

@@ -77,34 +77,60 @@ class PieceEncoder:
         self.known += len(pieces)
         self.chars += sum(map(len, pieces))
 
+    def _pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct pieces, where each text's pieces begin and end, the place of every piece among the distinct ones)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values
+        odd = [i for i, text in enumerate(texts) if text[:1] == " " or (self.whole and self.whole.search(text)) or self.odd.search(text)]
+        if odd:  # cut only where it is safe, or not at all
+            cut, own = [], np.diff(offsets)
+            parts, begin = [], 0
+            for i in odd:
+                text = texts[i]
+                pieces = [text] if self.whole and self.whole.search(text) else self.cut.split(text)
+                parts += [values.slice(begin, offsets[i] - begin), pa.array(pieces, values.type)]
+                begin = offsets[i + 1]
+                cut.append(len(pieces))
+            parts.append(values.slice(begin))
+            own[odd] = cut
+            values = pa.concat_arrays(parts)
+            offsets = np.concatenate([[0], np.cumsum(own)])
+        coded = values.dictionary_encode()
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), offsets, coded.indices.to_numpy()
+
+    def _codes(self, pieces: list[str], used: np.ndarray, known: dict[str, int], lead: str) -> np.ndarray:
+        at = np.nonzero(used)[0]
+        names = [pieces[i] for i in at.tolist()]
+        if new := [n for n in names if n not in known]:
+            self._learn(new, known, lead)
+        out = np.zeros(len(pieces), np.int32)
+        out[at] = np.fromiter(map(known.__getitem__, names), np.int32, len(names))
+        return out
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
         if self.known >= self.limit or self.chars >= 16 * self.limit:
             self._thin()
-        heads: list[str] = []
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if self.whole and self.whole.search(text):
-                pieces = [text]
-            else:
-                pieces = self.cut.split(text) if text[:1] == " " or self.odd.search(text) else text.split(" ")
-            heads.append(pieces[0])
-            del pieces[0]
-            counts[i] = len(pieces)
-            words += pieces
-        if new := list(set(heads).difference(self.first)):
-            self._learn(new, self.first, "")
-        if new := list(set(words).difference(self.later)):
-            self._learn(new, self.later, " ")
+        pieces, offsets, flat = self._pieces(texts)
+        # Of the pieces of a batch only the distinct ones are looked up.
+        counts = np.diff(offsets) - 1
+        heads, rest = np.zeros(len(pieces), bool), np.zeros(len(pieces), bool)
+        leads = np.zeros(len(flat), bool)
+        leads[offsets[:-1]] = True
+        heads[flat[leads]] = True
+        rest[flat[~leads]] = True
+        as_head, as_rest = self._codes(pieces, heads, self.first, ""), self._codes(pieces, rest, self.later, " ")
         # Per text: its head, its other pieces, its end.
-        codes = np.zeros(len(words) + 2 * len(texts), np.int32)
+        codes = np.zeros(len(flat) + len(texts), np.int32)
         ends = np.cumsum(counts + 2)
         heads_at = ends - counts - 2
-        rest = np.ones(len(codes), bool)
-        rest[heads_at] = rest[ends - 1] = False
-        codes[heads_at] = np.fromiter(map(self.first.__getitem__, heads), np.int32, len(heads))
-        codes[rest] = np.fromiter(map(self.later.__getitem__, words), np.int32, len(words))
+        inner = np.ones(len(codes), bool)
+        inner[heads_at] = inner[ends - 1] = False
+        codes[heads_at] = as_head[flat[leads]]
+        codes[inner] = as_rest[flat[~leads]]
         uses = np.bincount(codes, minlength=self.known)
         uses[: len(self.uses)] += self.uses
         self.uses = uses
