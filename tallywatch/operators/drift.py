@@ -408,26 +408,60 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sizes
     return recent.withColumn("window", F.explode(wanted))
 
 
-def adaptive_windowing(long_df: DataFrame, recent_first: Sequence[Column], sizes: Sequence[int] = WINDOW_SIZES) -> DataFrame:
+def _window_histogram(counts: DataFrame, windows: DataFrame, sizes: Sequence[int], bins: int) -> DataFrame:
+    """H per feature and window, named feature#window; a window's bins span the reference and that window.
+
+    The reference is read once: a value's bins in all windows stand beside one another, and equal tuples of bins, of which there
+    are few as bins follow the order of values, are counted together before they are spread over the windows.
+    """
+    spans = windows.groupBy("feature").pivot("window", list(sizes)).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    known = counts.where("c_ref > 0").groupBy("feature").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    ranges = known.join(spans, "feature")
+    low = {w: F.least("_low", f"`{w}_low`") for w in sizes}
+    high = {w: F.greatest("_high", f"`{w}_high`") for w in sizes}
+    ranges = ranges.select("feature", *[F.struct(low[w].alias("low"), high[w].alias("high"), F.col(f"`{w}_low`").isNotNull().alias("full")).alias(f"w{w}") for w in sizes])
+    table = S.broadcast_if_small(ranges)
+
+    def bucket(w) -> Column:
+        return equal_width_bin(F.col("value"), F.col(f"w{w}.low"), F.col(f"w{w}.high"), bins)
+
+    tuples = counts.where("c_ref > 0").join(table, "feature").groupBy("feature", *[F.when(F.col(f"w{w}.full"), bucket(w)).alias(f"b{w}") for w in sizes]).agg(F.sum("c_ref").alias("c_ref"))
+    places = F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"b{w}").alias("bucket")) for w in sizes])
+    ref = tuples.select("feature", "c_ref", F.inline(places)).where("bucket IS NOT NULL").withColumn("c_cur", F.lit(0).cast("long"))
+    own = F.coalesce(*[F.when(F.col("window") == w, bucket(w)) for w in sizes])
+    cur = windows.join(table, "feature").select("feature", F.lit(0).cast("long").alias("c_ref"), "window", own.alias("bucket"), F.lit(1).cast("long").alias("c_cur"))
+    cells = ref.unionByName(cur).select(F.concat_ws("#", "feature", F.col("window").cast("string")).alias("feature"), "bucket", "c_ref", "c_cur")
+    return _completed(_sum_sides(cells, "bucket"), F.lit(bins))
+
+
+def adaptive_windowing(
+    long_df: DataFrame, recent_first: Sequence[Column], sizes: Sequence[int] = WINDOW_SIZES, categorical: bool = False, counts: DataFrame | None = None, bins: int = HISTOGRAM_BINS
+) -> DataFrame:
     """Jensen-Shannon of the last 50 / 100 / 200 / 500 current rows against the reference.
 
-    Weights fall as 1, 1/2, 1/3, 1/4 over the windows the current side can fill. Each
-    window is handled as a feature of its own, so all share one histogram job. The bins of
-    a window span the reference and that window, so the reference side is counted per
-    window: four histogram rows per reference row, combined before the shuffle.
+    Weights fall as 1, 1/2, 1/3, 1/4 over the windows the current side can fill; a feature that fills none scores 0. ``counts`` are the value counts of
+    both sides, if they are there already. Categories are compared by their counts, numbers in bins; a
+    window's rows are at most the largest of ``sizes``, whatever the table holds.
     """
     cur = long_df.where(F.col("side") == "cur")
-    sizes_cur = cur.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    windows = last_rows(cur, ["feature"], recent_first, sizes).join(sizes_cur, "feature").where(F.col("window") <= F.col("_n"))
-    label = F.concat_ws("#", F.col("feature"), F.col("window").cast("string"))
-    ref = long_df.where(F.col("side") == "ref").withColumn("window", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    both = ref.select("side", label.alias("feature"), "value").unionByName(
-        windows.select("side", label.alias("feature"), "value")
-    )
-    js = distances(histogram(S.as_counts(both))).select("feature", F.col("jensen_shannon").alias("statistic"))
-    pieces = F.split("feature", "#")
-    rank = F.array_position(F.array(*[F.lit(s) for s in sizes]), pieces[1].cast("int"))
-    rows = js.select(pieces[0].alias("feature"), "statistic", (1.0 / rank).alias("w"))
+    counts = S.value_counts_by_side(long_df) if counts is None else counts
+    sizes_cur = counts.groupBy("feature").agg(F.sum("c_cur").alias("_n")).where("_n > 0")
+    windows = last_rows(cur, ["feature"], recent_first, sizes).join(S.broadcast_if_small(sizes_cur), "feature").where(F.col("window") <= F.col("_n"))
+    windows = materialise(windows.select("feature", "window", "value"))
+    if categorical:
+        label = F.concat_ws("#", "feature", F.col("window").cast("string")).alias("feature")
+        held = S.broadcast_if_small(windows.select("feature", "window").distinct())
+        ref = counts.where("c_ref > 0").join(held, "feature").select(label, "value", "c_ref", F.lit(0).cast("long").alias("c_cur"))
+        own = windows.select(label, "value", F.lit(0).cast("long").alias("c_ref"), F.lit(1).cast("long").alias("c_cur"))
+        h = category_counts(_sum_sides(ref.unionByName(own), "value"))
+    else:
+        h = _window_histogram(counts, windows, sizes, bins)
+    js = distances(h, categorical).select("feature", F.col("jensen_shannon").alias("statistic"))
+    # The window stands behind the last mark: a feature's name may hold one too.
+    window = F.substring_index("feature", "#", -1)
+    rank = F.array_position(F.array(*[F.lit(s) for s in sizes]), window.cast("int"))
+    name = F.col("feature").substr(F.lit(1), F.length("feature") - F.length(window) - 1)
+    rows = js.select(name.alias("feature"), "statistic", (1.0 / rank).alias("w"))
     scored = rows.groupBy("feature").agg((F.sum(F.col("statistic") * F.col("w")) / F.sum("w")).alias("statistic"))
     return sizes_cur.select("feature").join(scored, "feature", "left").na.fill(0.0, ["statistic"])
 
@@ -442,7 +476,8 @@ class Inputs:
     from them.
     """
 
-    def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, counts: DataFrame):
+    def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, counts: DataFrame, recency: Sequence[str] = ()):
+        self.recency = list(recency)
         self.categorical = categorical
         self.counts = counts
         self.sided = sided
@@ -490,6 +525,12 @@ class Inputs:
     def kernel(self) -> DataFrame:
         return mmd_categorical(self.counts) if self.categorical else mmd(self.long())
 
+    @property
+    def windows(self) -> DataFrame:
+        """The most recent current rows against the reference."""
+        newest = [F.col(c).desc() for c in self.recency]
+        return adaptive_windowing(self.long(*self.recency), newest, categorical=self.categorical, counts=self.counts)
+
 
 # method -> (summary, statistic column, p-value column)
 METHODS: dict[str, tuple[str, str, str | None]] = {
@@ -506,6 +547,7 @@ METHODS: dict[str, tuple[str, str, str | None]] = {
     "earth_movers_distance": ("ranks", "wasserstein", None),
     "energy_distance": ("ranks", "energy", None),
     "maximum_mean_discrepancy": ("kernel", "mmd", None),
+    "adaptive_windowing": ("windows", "statistic", None),
 }
 _CUSTOM: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -598,12 +640,16 @@ def detect_drift(
     categorical: Sequence[str] = (),
     methods: Sequence[str] | None = None,
     thresholds: dict[str, float] | None = None,
+    recency: Sequence[str] = (),
 ) -> DataFrame:
     """Long report: every feature x every method that applies, with score and flag.
 
-    A name that is no method is an error; no method that applies to the columns gives an empty report.
+    A name that is no method is an error; no method that applies to the columns gives an empty report. ``recency`` names the columns that order
+    rows by time, which adaptive windowing needs: it is left out of the default methods, and is an error if asked for, without them.
     """
-    wanted = list(methods) if methods is not None else [*METHODS, "drift_ensemble"]
+    wanted = list(methods) if methods is not None else [*(m for m in METHODS if recency or m != "adaptive_windowing"), "drift_ensemble"]
+    if "adaptive_windowing" in wanted and not recency:
+        raise ValueError("adaptive_windowing needs the columns that order rows by time: recency")
     if unknown := [m for m in wanted if m not in METHODS and m != "drift_ensemble"]:
         raise ValueError(f"no such method: {', '.join(unknown)}")
     numbers, texts = column_counts(sided, numeric, categorical)
@@ -611,7 +657,7 @@ def detect_drift(
     for columns, is_text, counts in ((numeric, False, numbers), (categorical, True, texts)):
         skipped = NUMERIC_ONLY if is_text else CATEGORICAL_ONLY
         if columns and any(m not in skipped for m in wanted):
-            parts.append(method_rows(Inputs(sided, columns, is_text, counts), wanted))
+            parts.append(method_rows(Inputs(sided, columns, is_text, counts, recency), wanted))
     if not parts:
         return local_table(
             sided.sparkSession, [],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallywatch.functions import pvalues
 from tallywatch.operators import drift as D
 from tallywatch.operators import summaries as S
 from tallywatch.session import materialise
@@ -247,10 +248,28 @@ def _ad_sum(spark, sf_dir):
     return rounded(_rank_rows(spark, sf_dir).select("feature", "ad"), 4)
 
 
-@query("drf_anderson_darling")
+def _ad_sql() -> str:
+    """The variance by sums written out term by term, and p by the quadratic through the published critical values."""
+    import numpy as np
+
+    critical = [sum(c) for c in zip(pvalues.AD_B0, pvalues.AD_B1, pvalues.AD_B2)]
+    c0, c1, c2 = np.linalg.lstsq(np.vander(critical, 3, increasing=True), np.log(pvalues.AD_SIGNIFICANCE), rcond=None)[0]
+    return f"""
+nm AS (SELECT ad.feature, a2, n_ref::DOUBLE AS n, n_cur::DOUBLE AS m, (n_ref + n_cur)::BIGINT AS t FROM ad JOIN totals ON totals.feature = ad.feature WHERE ad.feature IN ({', '.join(repr(c) for c in NUMERIC)})),
+ix AS (SELECT DISTINCT t FROM nm), js AS (SELECT t, unnest(range(1, t)) AS j FROM ix),
+tl AS (SELECT t, j, sum(1.0::DOUBLE / j) OVER (PARTITION BY t ORDER BY j DESC ROWS UNBOUNDED PRECEDING) - 1.0::DOUBLE / j AS above FROM js),
+hg AS (SELECT t, sum(1.0::DOUBLE / j) AS h, sum(above / (t - j)) AS g FROM tl GROUP BY t),
+cf AS (SELECT feature, a2, nm.t::DOUBLE AS t, h, g, (4 * g - 6) + (10 - 6 * g) * (1 / n + 1 / m) AS a, (2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * (1 / n + 1 / m) - 8 * h + 4 * g - 6 AS b,
+         (6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * (1 / n + 1 / m) + 4 * h AS c, (2 * h + 6) * 4 - 16 * h AS d FROM nm JOIN hg ON hg.t = nm.t),
+st AS (SELECT feature, (a2 - 1) / sqrt((a * t ** 3 + b * t ** 2 + c * t + d) / ((t - 1) * (t - 2) * (t - 3))) AS s FROM cf),
+pv AS (SELECT feature, s, CASE WHEN s < {min(critical)!r} THEN 0.25 WHEN s > {max(critical)!r} THEN 0.001 ELSE least(greatest(exp({float(c0)!r}::DOUBLE + {float(c1)!r}::DOUBLE * s + {float(c2)!r}::DOUBLE * s * s), 0.001), 0.25) END AS p FROM st)
+"""
+
+
+@query("drf_anderson_darling", _sql(ECDF_SQL, AD_CTE, _ad_sql(), body=""" SELECT feature, round(s, 4) AS statistic, round(p, 6)::DOUBLE AS p_value FROM pv"""))
 def _anderson_darling(spark, sf_dir):
     rows = D.anderson_darling(_numeric_ranks(spark, sf_dir))
-    return rounded(rows.select("feature", F.col("ad_statistic").alias("statistic"), F.col("ad_p").alias("p_value")))
+    return rounded(rows.select("feature", F.col("ad_statistic").alias("statistic"), F.col("ad_p").alias("p_value")), 6, statistic=4)
 
 
 @query(
@@ -586,19 +605,23 @@ c AS (SELECT size, bucket, count(*) FILTER (side = 'ref') AS a, count(*) FILTER
 s AS (SELECT r.size, coalesce(a, 0) / n::DOUBLE + 1e-10 AS p, coalesce(z, 0) / m::DOUBLE + 1e-10 AS q
       FROM r CROSS JOIN (SELECT unnest(range(0, 50))::INTEGER AS bucket) g LEFT JOIN c ON c.size = r.size AND c.bucket = g.bucket),
 nn AS (SELECT size, p / sum(p) OVER (PARTITION BY size) AS p, q / sum(q) OVER (PARTITION BY size) AS q FROM s),
-j AS (SELECT size, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js FROM nn GROUP BY size)
-SELECT 'value' AS feature, 'adaptive_windowing' AS method, round(sum(js * weight) / sum(weight), 6) AS statistic FROM j JOIN w ON j.size = w.size""",
+j AS (SELECT size, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js FROM nn GROUP BY size),
+cc AS (SELECT event_type AS v, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE ts >= TIMESTAMP '2024-01-16'),
+cr AS (SELECT event_type AS v, count(*) AS a FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+cz AS (SELECT size, v, count(*) AS z FROM cc JOIN w ON rn <= size GROUP BY ALL),
+cv AS (SELECT w.size, v FROM w, cr UNION SELECT size, v FROM cz),
+cn AS (SELECT cv.size, coalesce(a, 0) AS a, coalesce(z, 0) AS z, sum(coalesce(a, 0)) OVER s AS n, sum(coalesce(z, 0)) OVER s AS m, count(*) FILTER (coalesce(a, 0) = 0) OVER s AS za, count(*) FILTER (coalesce(z, 0) = 0) OVER s AS zz
+       FROM cv LEFT JOIN cr ON cr.v = cv.v LEFT JOIN cz ON cz.v = cv.v AND cz.size = cv.size WINDOW s AS (PARTITION BY cv.size)),
+cp AS (SELECT size, CASE a WHEN 0 THEN 1e-10 ELSE a / n::DOUBLE END / (1 + 1e-10 * za) AS p, CASE z WHEN 0 THEN 1e-10 ELSE z / m::DOUBLE END / (1 + 1e-10 * zz) AS q FROM cn),
+cj AS (SELECT size, sqrt((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2) AS js FROM cp GROUP BY size)
+SELECT 'value' AS feature, 'adaptive_windowing' AS method, round(sum(js * weight) / sum(weight), 6) AS statistic FROM j JOIN w ON j.size = w.size
+UNION ALL SELECT 'event_type', 'adaptive_windowing', round(sum(js * weight) / sum(weight), 6) FROM cj JOIN w ON cj.size = w.size""",
 )
 def _adaptive(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    sided = events.withColumn(
-        "side", F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "ref").otherwise("cur")
-    )
-    long_df = sided.select(
-        "side", F.lit("value").alias("feature"), "value", "ts", "event_id"
-    )
-    rows = D.adaptive_windowing(long_df, [F.col("ts").desc(), F.col("event_id").desc()])
-    return rounded(_named(rows, "adaptive_windowing", "statistic"))
+    sided = events.withColumn("side", F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "ref").otherwise("cur"))
+    rows = D.detect_drift(sided, ["value"], ["event_type"], ["adaptive_windowing"], recency=["ts", "event_id"])
+    return rounded(rows.select("feature", "method", "statistic"))
 
 
 @query("drf_adversarial_accuracy")

@@ -43,10 +43,22 @@ def test_anderson_darling_is_standardised_under_the_null():
     assert P.anderson_darling_p(1.645 + 0.678 - 0.362) == pytest.approx(0.05, abs=0.005)
 
 
-def test_large_sample_harmonics_continue_the_exact_ones(monkeypatch):
-    exact = P.anderson_darling_normalised(3.0, 400_000, 600_000)
-    monkeypatch.setattr(P, "_EXACT_HARMONICS", 10)
-    assert P.anderson_darling_normalised(3.0, 400_000, 600_000) == pytest.approx(exact, abs=1e-3)
+@pytest.mark.parametrize("n", [1, 2, 4, 9, 10, 100, 1999, 5000])
+def test_harmonic_sums_are_the_written_out_ones(n):
+    h, squares = P.harmonic(n)
+    assert h == pytest.approx(sum(1 / i for i in range(1, n + 1)), abs=2e-11)
+    assert squares == pytest.approx(sum(1 / i**2 for i in range(1, n + 1)), abs=2e-11)
+    total = n + 1
+    tails, double = 0.0, 0.0
+    for i in range(total - 2, 0, -1):
+        tails += 1 / (i + 1)
+        double += tails / (total - i)
+    assert squares - 2 * h / total == pytest.approx(double, abs=1e-10)
+
+
+def test_old_bound_of_sizes_is_no_step():
+    low, high = (P.anderson_darling_normalised(3.0, 1_000_000, m) for m in (999_999, 1_000_001))
+    assert low == pytest.approx(high, abs=1e-9)
 
 
 @pytest.fixture(scope="module")
@@ -107,7 +119,7 @@ def test_a_table_does_not_drift_from_itself(spark, sample):
     rows = [v for s, v in sample if s == "ref"]
     data = [(s, v, "abc"[i % 3]) for s in ("ref", "cur") for i, v in enumerate(rows)]
     sided = spark.createDataFrame(data, "side string, x double, c string")
-    methods = [m for m in D.METHODS if m not in ("anderson_darling", "mann_whitney_u", "maximum_mean_discrepancy")]
+    methods = [m for m in D.METHODS if m not in ("anderson_darling", "mann_whitney_u", "maximum_mean_discrepancy", "adaptive_windowing")]
     for r in D.detect_drift(sided, ["x"], ["c"], methods).collect():
         assert r["statistic"] == pytest.approx(0.0, abs=1e-6), r
         assert not r["drift_detected"]
@@ -151,3 +163,41 @@ def test_hash_cuts_give_exact_sizes(spark):
     assert sizes == {"train": 802, "validation": 100, "test": 101}
     by_group = PP.stratified_split(df, ["id"], "g", 0.2).where("split = 'train'").groupBy("g").count().collect()
     assert sorted(r["count"] for r in by_group) == [267, 267, 268]
+
+
+def test_adaptive_windows(spark):
+    rng = np.random.default_rng(3)
+    rows = [("ref", float(v), "ab"[i % 2], i) for i, v in enumerate(rng.normal(0, 1, 900))]
+    rows += [("cur", float(v), "abc"[i % 3], i) for i, v in enumerate(rng.normal(1, 2, 150))] + [("cur", None, None, 900)]
+    sided = spark.createDataFrame(rows, "side string, x double, c string, at int").withColumnRenamed("x", "x#1")
+    with pytest.raises(ValueError, match="recency"):
+        D.detect_drift(sided, ["x#1"], (), ["adaptive_windowing"])
+    got = {r["feature"]: r["statistic"] for r in D.detect_drift(sided, ["x#1"], ["c"], ["adaptive_windowing"], recency=["at"]).collect()}
+
+    def js(p, q):
+        p, q = np.array(p), np.array(q)
+        m = (p + q) / 2
+        return np.sqrt((np.sum(p[p > 0] * np.log(p[p > 0] / m[p > 0])) + np.sum(q[q > 0] * np.log(q[q > 0] / m[q > 0]))) / 2)
+
+    x = np.array([r[1] for r in rows[:900]])
+    y = np.array([r[1] for r in rows[900:1050]])[::-1]
+    want = []
+    for size in (50, 100):  # 150 rows fill two of the windows
+        span = (min(x.min(), y[:size].min()), max(x.max(), y[:size].max()))
+        want.append(js(np.histogram(x, 50, span)[0] / 900, np.histogram(y[:size], 50, span)[0] / size))
+    assert got["x#1"] == pytest.approx((want[0] + want[1] / 2) / 1.5, abs=1e-4)
+    c = [r[2] for r in rows[900:1050]][::-1]
+    cats = [js([0.5, 0.5, 0.0], [c[:size].count(v) / size for v in "abc"]) for size in (50, 100)]
+    assert got["c"] == pytest.approx((cats[0] + cats[1] / 2) / 1.5, abs=1e-4)
+
+
+def test_duplicates_are_told_by_whole_rows(spark, monkeypatch):
+    from tallywatch.operators import setops
+
+    rows = [(None, "a", 1.0)] * 3 + [(1, "a", float("nan")), (1, "a", float("nan")), (1, None, 0.0), (1, None, -0.0), (2, "", 1.0), (2, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    assert tuple(setops.duplicate_count(df).first()) == (9, 5, 4)
+    assert tuple(setops.duplicate_count(df.limit(0)).first()) == (0, 0, 0)
+    # With one hash for all rows, full rows still decide.
+    monkeypatch.setattr(setops.F, "xxhash64", lambda *c: setops.F.lit(7).cast("long"))
+    assert tuple(setops.duplicate_count(df).first()) == (9, 5, 4)
