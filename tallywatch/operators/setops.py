@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.operators import summaries as S
-from tallywatch.session import local_table
+from tallywatch.session import local_table, stored_size
 
 
 def schema_diff(ref: DataFrame, cur: DataFrame) -> DataFrame:
@@ -34,12 +34,13 @@ def duplicate_count(df: DataFrame) -> DataFrame:
         raise ValueError("a table without columns has no rows to compare")
     hashed = [F.xxhash64(*df.columns).alias("_h1"), F.xxhash64(F.lit("second"), *df.columns).alias("_h2")]
     counts = df.select(*hashed).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
-    seen = Observation()
-    counts = counts.observe(seen, F.sum("_n").alias("rows"), F.count_if(F.col("_n") == 1).alias("single"))
-    repeated = S.broadcast_if_small(counts.where("_n > 1").select("_h1", "_h2"))
-    found = seen.get
-    again = df.select("*", *hashed).join(repeated, ["_h1", "_h2"], "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    rows, single = F.lit(found["rows"] or 0).cast("long"), F.lit(found["single"]).cast("long")
+    repeated, known, size = stored_size(counts.where("_n > 1"), "repeated")
+    total = df.select(F.lit(1)).count()
+    copies = repeated.agg(F.sum("_n")).first()[0] or 0
+    hashes = repeated.select("_h1", "_h2")
+    hashes = F.broadcast(hashes) if known <= S.BROADCAST_ROWS and size <= S.BROADCAST_BYTES else hashes
+    again = df.select("*", *hashed).join(hashes, ["_h1", "_h2"], "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows, single = F.lit(total).cast("long"), F.lit(total - copies).cast("long")
     return again.agg(F.count(F.lit(1)).alias("_distinct")).select(
         rows.alias("rows"), (single + F.col("_distinct")).alias("distinct_rows"), (rows - single - F.col("_distinct")).alias("duplicate_rows")
     )
