@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def pack(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary, end_id, 900_000, specials=True)
+        encode = library_encoder(vocabulary, end_id, 450_000, specials=True)
         sequence = TaskContext.get().partitionId() << 40
         rest, held = [], 0
 
@@ -130,9 +130,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-        for batch in some_rows(batches, 4096):
+        for batch in some_rows(batches, 2048):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, 1 << 22):
+            for a, b in slices(texts, 1 << 21):
                 tokens, counts = encode(texts[a:b])
                 tokens = tokens.astype("<u4")
                 full, end = [], 0
