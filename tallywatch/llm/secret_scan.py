@@ -44,14 +44,20 @@ DIGITS = "0123456789"
 CLASSES = (
     CharClass("entropy_b64", UPPER + UPPER.lower() + DIGITS + "+/_=-", 4.0),
     CharClass("entropy_hex", DIGITS + "abcdef", 3.0, fold=True),
+    CharClass("entropy_lower36", UPPER.lower() + DIGITS, 3.7),
+    CharClass("entropy_upper36", UPPER + DIGITS, 3.7),
 )
-#: Candidates that match one of these as a whole are no secrets: words and joined words, plain numbers, rulers, identifiers made public, placeholders.
+#: Candidates that are one of these as a whole are no secrets: plain numbers and rulers, identifiers made public.
 ALLOW = (
-    r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)*[-_/=+]*",
     r"[-_/=+0-9]+",
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
-    r".*(?:EXAMPLE|example|PLACEHOLDER|placeholder|XXXXXX|xxxxxx).*",
 )
+#: Strings with one of these in them are placeholders; between marks of its own such a word says nothing about its neighbours.
+PLACEHOLDER = "EXAMPLE|example|PLACEHOLDER|placeholder|XXXXXX|xxxxxx"
+APART = f"(?:^|[-_/=+])(?:{PLACEHOLDER})(?:[-_/=+]|$)"
+#: Parts of words and what joins them; a stretch of which little else is left is made of words, not random.
+WORDS = "[A-Z]*[a-z]{2,}|[A-Z]{2,}|[-_/=+]"
+LEFT_OF = 16
 #: Scale of the whole numbers that stand for c * log2(c): sums by increments are exact and equal to sums from scratch.
 SCALE = 1 << 20
 
@@ -66,14 +72,18 @@ def most(window: int, bits: float) -> int:
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches; value is a group of the match."""
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches; value is a group of the match.
+
+    Appending to an array copies it, so n matches are folded in about sqrt(n) runs of sqrt(n), and the runs then put in a row.
+    """
     regex = F.lit(pattern)
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("piece"),
         F.regexp_extract_all(text, regex, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, regex, F.lit(group)).alias("value"),
     )
-    none = F.array().cast("array<struct<start: bigint, end: bigint, value: string>>")
+    spans = "array<struct<start: bigint, end: bigint, value: string>>"
+    zero = F.lit(0).cast("long").alias("at")
 
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["piece"])
@@ -85,8 +95,22 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
             F.when(last, state["found"]).otherwise(F.concat(state["found"], F.array(found))).alias("found"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("found"))
-    return F.aggregate(parts, start, step, lambda state: state["found"])
+    def append(state: Column, run: Column) -> Column:
+        moved = F.transform(
+            run["found"], lambda m: F.struct((m["start"] + state["at"]).alias("start"), (m["end"] + state["at"]).alias("end"), m["value"].alias("value"))
+        )
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["runs"], F.array(moved)).alias("runs"))
+
+    def fold(pieces: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / size).cast("int"))
+        folded = F.transform(
+            numbers, lambda i: F.aggregate(F.slice(pieces, i * size + 1, size), F.struct(zero, F.array().cast(spans).alias("found")), step)
+        )
+        return F.aggregate(folded, F.struct(zero, F.array().cast(f"array<{spans}>").alias("runs")), append, lambda state: F.flatten(state["runs"]))
+
+    # The pieces are a lambda's argument here, so that they are worked out once and not in every run.
+    return F.flatten(F.transform(F.array(parts), fold))
 
 
 def _as_spans(found: Column, rank: int, kind: str) -> Column:
@@ -140,22 +164,34 @@ def entropy_spans(text: Column, chars: CharClass, rank: int, window: int, allow:
     found = located(text, f"{chars.pattern}{{{window},}}")
     if allow:
         found = F.filter(found, lambda m: ~m["value"].rlike("^(?:" + "|".join(allow) + ")$"))
-    each = F.transform(
-        found,
-        lambda m: F.transform(
+
+    def in_run(m: Column) -> Column:
+        spans = F.transform(
             random_windows(m["value"], chars, window),
-            lambda w: F.struct((m["start"] + w["low"]).alias("start"), F.lit(rank).alias("rank"), (m["start"] + w["high"]).alias("end"), F.lit(chars.kind).alias("kind")),
-        ),
-    )
-    return F.flatten(each)
+            lambda w: F.struct(
+                (m["start"] + w["low"]).alias("start"), F.lit(rank).alias("rank"), (m["start"] + w["high"]).alias("end"), F.lit(chars.kind).alias("kind"),
+                F.substr(m["value"], w["low"] + 1, w["high"] - w["low"]).alias("value"),
+            ),
+        )
+        random = F.filter(
+            spans,
+            lambda x: F.exists(F.split(x["value"], APART, -1), lambda p: (F.length(p) >= window) & ~p.rlike(PLACEHOLDER))
+            & (F.length(F.regexp_replace(x["value"], WORDS, "")) * LEFT_OF > F.length(x["value"])),
+        )
+        return F.transform(random, lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))
+
+    return F.flatten(F.transform(found, in_run)).cast(f"array<{SPAN}>")
 
 
 def _unless(test: Column, spans: Column) -> Column:
     return F.when(test, spans).otherwise(F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
 
 
-def secret_spans(docs: DataFrame, window: int = 24, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """All columns of ``docs`` and ``secret_base``, ``secret_all``: arrays of (start, rank, end, kind) by start, then kind.
+def secret_spans(
+    docs: DataFrame, window: int = 24, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW,
+    names: tuple[str, str] = ("secret_base", "secret_all"),
+) -> DataFrame:
+    """All columns of ``docs`` and two more, ``names``: arrays of (start, rank, end, kind) by start, then kind, of base spans and of all.
 
     A null or empty text has empty arrays. Equal rows are scanned each by itself; columns of these
     two names are replaced. Nothing is shuffled, and a text of any length is scanned whole.
@@ -169,9 +205,9 @@ def secret_spans(docs: DataFrame, window: int = 24, classes: tuple[CharClass, ..
         _unless(text.rlike("AKIA[A-Z0-9]{16}"), _as_spans(located(text, ACCESS), 1, "access")),
         _unless(text.rlike("[0-9a-f]{24}"), _as_spans(located(text, HEX), 2, "hex")),
     )
-    found = docs.withColumn("secret_base", F.array_sort(base))
+    found = docs.withColumn(names[0], F.array_sort(base))
     extra = F.concat(*[entropy_spans(text, c, 3 + i, window, allow) for i, c in enumerate(classes)])
-    return found.withColumn("secret_all", F.array_sort(F.concat(F.col("secret_base"), _unless(text.rlike(strings), extra))))
+    return found.withColumn(names[1], F.array_sort(F.concat(F.col(names[0]), _unless(text.rlike(strings), extra))))
 
 
 def joined(spans: Column) -> Column:
@@ -196,7 +232,10 @@ def scan_secrets(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "<secret>", **options) -> DataFrame:
     """The same rows and columns with every span, overlapping ones as one, replaced by ``mask``; a null text stays null."""
-    spans, text = F.col("secret_all"), F.col("text")
+    taken = {c.lower() for c in docs.columns}
+    tail = next(t for t in ("_" * n for n in range(len(taken) + 1)) if not taken & {f"secret_base{t}", f"secret_all{t}"})
+    names = (f"secret_base{tail}", f"secret_all{tail}")
+    spans, text = F.col(names[1]), F.col("text")
 
     def step(state: Column, span: Column) -> Column:
         piece = F.when(span["start"] < state["at"], F.lit("")).otherwise(
@@ -206,7 +245,7 @@ def redact(docs: DataFrame, mask: str = "<secret>", **options) -> DataFrame:
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     masked = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"].cast("int") + 1)))
-    found = secret_spans(docs, **options)
+    found = secret_spans(docs, names=names, **options)
     return found.withColumn("text", F.when(F.size(spans) > 0, masked).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -233,10 +272,13 @@ def oracle_sql(window: int = 24) -> str:
         SELECT c, w, ch, count(*) AS n FROM (SELECT c, w, unnest(string_split(substr(CASE WHEN {folds} THEN lower(value) ELSE value END, w + 1, {window}), '')) AS ch FROM win JOIN cand USING (c))
         GROUP BY c, w, ch) GROUP BY c, w),
     hit AS (SELECT c, w, kind, rank, doc_id, start FROM ent JOIN cand USING (c) WHERE total <= {limits}),
-    isl AS (SELECT *, sum(CASE WHEN w > prev + {window} OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY w) AS island
+    runs AS (SELECT *, sum(CASE WHEN w > prev + {window} OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY w) AS island
             FROM (SELECT *, lag(w) OVER (PARTITION BY c ORDER BY w) AS prev FROM hit)),
+    isl AS (SELECT r.c, any_value(r.kind) AS kind, any_value(r.rank) AS rank, any_value(r.doc_id) AS doc_id, any_value(r.start) AS start, min(w) AS low, max(w) + {window} AS high,
+            substr(any_value(value), min(w) + 1, max(w) + {window} - min(w)) AS v FROM runs r JOIN cand k ON r.c = k.c GROUP BY r.c, island),
     spans AS (SELECT doc_id, kind, rank, start, start + size AS stop FROM base
-              UNION ALL SELECT doc_id, kind, rank, start + min(w), start + max(w) + {window} FROM isl GROUP BY doc_id, kind, rank, start, c, island),
+              UNION ALL SELECT doc_id, kind, rank, start + low, start + high FROM isl
+              WHERE len(list_filter(string_split_regex(v, '{APART}'), lambda p: length(p) >= {window} AND NOT regexp_matches(p, '{PLACEHOLDER}'))) > 0 AND length(regexp_replace(v, '{WORDS}', '', 'g')) * {LEFT_OF} > length(v)),
     texts AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)

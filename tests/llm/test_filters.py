@@ -36,7 +36,39 @@ def test_secrets_of_odd_rows(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(1, "my token = 'abcdef0123456789abcdef0123456789' and more", "z"), (2, None, "z"), (3, "plain", "z")], "doc_id long, text string, secret_base string")
     rows = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert rows[1].text == "my <secret>' and more" and rows[2].text is None and rows[3].text == "plain"
-    assert secret_scan.redact(docs).columns == docs.columns
+    assert secret_scan.redact(docs).columns == docs.columns and {r.secret_base for r in rows.values()} == {"z"}
+
+
+def test_random_strings_of_every_class(spark):
+    r = random.Random(7)
+    up, low, digits = secret_scan.UPPER, secret_scan.UPPER.lower(), secret_scan.DIGITS
+    kinds = {"base64": up + low + digits + "+/", "base36": low + digits, "base32": up + "234567", "hex": digits + "abcdef", "letters": up + low}
+    rows, planted = [], {}
+    for k, (kind, letters) in enumerate(kinds.items()):
+        for i in range(200):
+            token = "".join(r.choice(letters) for _ in range(40))
+            before = r.choice(["see ", "/example/", "example_key=", "x-"]) if kind != "hex" else "see "
+            doc_id = 1000 * k + i
+            rows.append((doc_id, f"{before}{token} and on"))
+            planted[doc_id] = (kind, token)
+    got = {d.doc_id: d for d in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in kinds:
+        hits = [bool(got[d].secret_all) for d, (k, _) in planted.items() if k == kind]
+        assert sum(hits) / len(hits) >= (0.9 if kind == "letters" else 0.97), (kind, sum(hits) / len(hits))
+    clean = [
+        "a path of /usr/share/internationalization/examples-of-words/andManyJoinedWords/InCamelCase-here", "=" * 80, "12345678-1234567890-1234567890",
+        "see 123e4567-e89b-12d3-a456-426614174000.", "key AbCd1EXAMPLEfGh2iJk3LmN4oPqR", "_".join(["snake", "case"] * 20), "REALLY_LONG_CONSTANT_NAMES_OF_SETTINGS",
+    ]
+    docs = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
+    assert [r.doc_id for r in secret_scan.secret_spans(docs).collect() if r.secret_all] == []
+
+
+def test_text_of_many_matches(spark):
+    r = random.Random(8)
+    tokens = ["".join(r.choice("0123456789abcdef") for _ in range(24)) for _ in range(20_000)]
+    docs = spark.createDataFrame([(1, "é ".join(tokens))], "doc_id long, text string")
+    (row,) = docs.select(secret_scan.located(docs.text, secret_scan.HEX).alias("m")).collect()
+    assert [(m.start, m.end, m.value) for m in row.m] == [(26 * i, 26 * i + 24, t) for i, t in enumerate(tokens)]
 
 
 def auc(score, label):
