@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.functions.bands import share
 from tallywatch.operators import summaries as S
+from tallywatch.session import local_table
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -20,18 +21,15 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, sample deviation, min, quartiles, max per numeric column."""
-    columns = list(columns or S.numeric_columns(df))
-    long_df = S.long_numeric(df, columns, keep=())
-    moments = long_df.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    """count, mean, sample deviation, min, quartiles, max per numeric column, from two scans."""
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    looks, _ = S.first_look(df, list(columns or S.numeric_columns(df)), list(shares.values()))
+    moments = local_table(
+        df.sparkSession, [(r["feature"], r["n"], r["mean"], r["std"], r["min"], r["max"]) for r in looks],
+        "feature string, count bigint, mean double, std double, min double, max double",
     )
-    quartiles = S.quantiles_wide(long_df, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
-    return moments.join(quartiles, "feature")
+    quartiles = S.quantiles_wide(S.condensed(df, looks, list(shares.values())), shares, weight="n").drop("n")
+    return quartiles.join(F.broadcast(moments), "feature").select(*moments.columns, *shares)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -65,9 +63,9 @@ def correlation_importance(df: DataFrame, features: Sequence[str], target: str)
     return wide.unpivot([], list(features), "feature", "importance")
 
 
-def iqr_fences(long_df: DataFrame, factor: float = 1.5) -> DataFrame:
+def iqr_fences(long_df: DataFrame, factor: float = 1.5, weight: str | None = None) -> DataFrame:
     """(feature, q1, q3, iqr, low, high)."""
-    q = S.quantiles_wide(long_df, {"q1": 0.25, "q3": 0.75}).withColumn("iqr", F.col("q3") - F.col("q1"))
+    q = S.quantiles_wide(long_df, {"q1": 0.25, "q3": 0.75}, weight=weight).withColumn("iqr", F.col("q3") - F.col("q1"))
     return q.select(
         "feature",
         "q1",

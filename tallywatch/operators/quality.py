@@ -11,7 +11,7 @@ from tallywatch.functions.bands import share
 from tallywatch.operators import aggregates as A
 from tallywatch.operators import ranking, setops
 from tallywatch.operators import summaries as S
-from tallywatch.session import local_table
+from tallywatch.session import local_table, materialise
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -26,19 +26,27 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return wide.unpivot(["_rows"], df.columns, "column", "missing").select("column", F.col("_rows").alias("rows"), "missing")
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
-    """(feature, q1, q3, low, high, values, outliers) for every numeric column at once."""
-    columns = list(columns or S.numeric_columns(df))
-    long_df = S.long_numeric(df, columns, keep=())
-    fences = A.iqr_fences(long_df, factor)
+QUARTILES = (0.25, 0.75)
+
+
+def _outside(df: DataFrame, looks: Sequence, factor: float) -> DataFrame:
+    """``outlier_counts`` from the second scan on."""
+    counts = S.condensed(df, looks, QUARTILES, factor)
+    fences = A.iqr_fences(counts, factor, "n")
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     return (
-        long_df.join(F.broadcast(fences), "feature")
+        counts.join(F.broadcast(fences), "feature")
         .groupBy("feature", "q1", "q3", "low", "high")
-        .agg(F.count(F.lit(1)).alias("values"), F.count_if(outside).alias("outliers"))
+        .agg(F.sum("n").alias("values"), F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("outliers"))
     )
 
 
+def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
+    """(feature, q1, q3, low, high, values, outliers) for every numeric column at once, from two scans."""
+    looks, _ = S.first_look(df, list(columns or S.numeric_columns(df)), QUARTILES)
+    return _outside(df, looks, factor)
+
+
 def quality_score(rows: Column, cells: Column, missing: Column, duplicates: Column, outliers: Column) -> Column:
     """Weighted 0.4 / 0.3 / 0.3 of completeness, uniqueness and regularity, clamped to [0, 1]."""
     raw = 0.4 * (1 - share(missing, cells)) + 0.3 * (1 - share(duplicates, rows)) + 0.3 * (1 - share(outliers, rows))
@@ -47,14 +55,13 @@ def quality_score(rows: Column, cells: Column, missing: Column, duplicates: Colu
 
 def assess_quality(df: DataFrame, alert_below: float = 0.7) -> DataFrame:
     """One row: totals, score, issue list and whether an alert is due."""
-    one = F.lit(1)
-    missing = missing_counts(df).agg(
-        F.sum("missing").alias("missing_values"), F.count_if(F.col("missing") > 0).alias("columns_with_missing")
-    )
-    duplicates = setops.duplicate_count(df).select("rows", "duplicate_rows")
-    outliers = outlier_counts(df).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outliers"))
-    merged = (
-        duplicates.withColumn("_k", one).join(missing.withColumn("_k", one), "_k").join(outliers.withColumn("_k", one), "_k").drop("_k")
+    missing = [F.count_if(_missing(df, c)).alias(f"_missing_{i}") for i, c in enumerate(df.columns)]
+    looks, seen = S.first_look(df, S.numeric_columns(df), QUARTILES, *missing)
+    absent = [seen[f"_missing_{i}"] for i in range(len(df.columns))]
+    outliers = _outside(df, looks, 1.5).agg(F.coalesce(F.sum("outliers"), F.lit(0)).cast("bigint").alias("outliers"))
+    merged = setops.duplicate_count(df, seen["_rows"]).withColumn("_k", F.lit(1)).join(outliers.withColumn("_k", F.lit(1)), "_k").select(
+        "rows", "duplicate_rows", F.lit(sum(absent)).cast("bigint").alias("missing_values"),
+        F.lit(sum(a > 0 for a in absent)).cast("bigint").alias("columns_with_missing"), "outliers",
     )
     issues = F.concat_ws(
         ";",
@@ -84,25 +91,33 @@ def compute_statistics(df: DataFrame, k: int = 10) -> dict[str, DataFrame]:
 def profile(df: DataFrame, k: int = 10) -> DataFrame:
     """One row per column: kind, missing, distinct, moments and median, or the k most frequent values."""
     numeric, categorical = S.numeric_columns(df), S.categorical_columns(df)
-    missing = missing_counts(df.select(*numeric, *categorical))
-    distinct = A.distinct_counts(df, [*numeric, *categorical])
-    numbers = S.long_numeric(df, numeric, keep=())
-    moments = numbers.groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    names = [*numeric, *categorical]
+    missing = [F.count_if(_missing(df, c)).alias(f"_missing_{i}") for i, c in enumerate(names)]
+    looks, seen = S.first_look(df, numeric, (0.5,), *missing)
+    known = {r["feature"]: r for r in looks}
+    columns = local_table(
+        df.sparkSession,
+        [(c, seen["_rows"], seen[f"_missing_{i}"], *[known[c][m] if c in known else None for m in ("mean", "std", "min", "max")]) for i, c in enumerate(names)],
+        "feature string, rows bigint, missing bigint, mean double, std double, min double, max double",
     )
-    medians = S.quantiles_wide(numbers, {"median": 0.5}).drop("n")
+    # The counts of all values serve distinct values, medians and the most frequent values.
+    counts = materialise(S.long_categorical(df, names, keep=()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    distinct = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct_values"))
+    number = F.col("value").cast("double")
+    numbers = counts.where(F.col("feature").isin(*numeric)).select("feature", number.alias("value"), "n").where(~F.isnan("value"))
+    medians = S.quantiles_wide(numbers, {"median": 0.5}, weight="n").drop("n")
     tops = (
-        ranking.top_values(df, categorical, k)
+        S.top_rows(counts.where(F.col("feature").isin(*categorical)), ["feature"], [F.col("n").desc(), F.col("value")], k)
         .groupBy("feature")
         .agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
                                           lambda r: F.concat(r["value"], F.lit("="), r["n"]))).alias("top_values"))
     )
     return (
-        missing.withColumnRenamed("column", "feature")
+        columns.select("feature", "rows", "missing")
         .withColumn("kind", F.when(F.col("feature").isin(*numeric), "numeric").otherwise("categorical"))
         .withColumn("missing_rate", share(F.col("missing"), F.col("rows")))
         .join(distinct, "feature", "left")
-        .join(moments, "feature", "left")
+        .join(columns.drop("rows", "missing"), "feature", "left")
         .join(medians, "feature", "left")
         .join(tops, "feature", "left")
     )

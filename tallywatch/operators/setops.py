@@ -24,8 +24,8 @@ def schema_diff(ref: DataFrame, cur: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows, distinct rows and surplus copies; nulls are equal.
+def duplicate_count(df: DataFrame, total: int | None = None) -> DataFrame:
+    """Rows, distinct rows and surplus copies; nulls are equal. A known number of rows may be given.
 
     Only 128 bits of hashes of every row move, combined before the shuffle. Whole rows move only where a hash
     came up more than once, and are counted in full there, so rows that merely share a hash stay apart.
@@ -35,7 +35,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     hashed = [F.xxhash64(*df.columns).alias("_h1"), F.xxhash64(F.lit("second"), *df.columns).alias("_h2")]
     counts = df.select(*hashed).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     repeated, known, size = stored_size(counts.where("_n > 1"), "repeated")
-    total = df.select(F.lit(1)).count()
+    total = df.select(F.lit(1)).count() if total is None else total
     copies = repeated.agg(F.sum("_n")).first()[0] or 0
     hashes = repeated.select("_h1", "_h2")
     hashes = F.broadcast(hashes) if known <= S.BROADCAST_ROWS and size <= S.BROADCAST_BYTES else hashes

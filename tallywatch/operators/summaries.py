@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallywatch.session import local_table, materialise, stored_size
@@ -259,16 +259,96 @@ def exact_quantiles(
 
 
 def quantiles_wide(
-    long_df: DataFrame, named: dict[str, float], keys: Sequence[str] = ("feature",), limits: DataFrame | None = None
+    long_df: DataFrame, named: dict[str, float], keys: Sequence[str] = ("feature",), limits: DataFrame | None = None, weight: str | None = None
 ) -> DataFrame:
     """``exact_quantiles`` with one column per wanted quantile."""
-    rows = exact_quantiles(long_df, sorted(set(named.values())), keys, limits)
+    rows = exact_quantiles(long_df, sorted(set(named.values())), keys, limits, weight)
     return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("share") == F.lit(float(s)), F.col("quantile"))).alias(n) for n, s in named.items()],
         F.max("n").alias("n"),
     )
 
 
+#: Estimated quantiles miss their rank by at most one part in this many.
+RANK_PARTS = 3 * SLOTS
+
+
+def _brackets(shares: Sequence[float]) -> list[float]:
+    """Per share one below and one above it, so far apart that estimates at them enclose the exact quantile."""
+    return [min(1.0, max(0.0, s + d / RANK_PARTS)) for s in shares for d in (-2, 2)]
+
+
+def first_look(df: DataFrame, columns: Sequence[str], shares: Sequence[float], *others: Column) -> tuple[list[Row], Row]:
+    """One scan: per numeric column its moments and bounds of its quantiles; and what ``others`` aggregate.
+
+    A row holds feature, n, mean, std, min, max and ``bounds``: for every share a value not above
+    the exact quantile and one not below. Columns without values are left out.
+    """
+    wanted = F.array(*[F.lit(b) for b in _brackets(shares)])
+
+    def look(c: str) -> Column:
+        v = clean(c)
+        return F.struct(
+            F.lit(c).alias("feature"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"), F.percentile_approx(v, wanted, RANK_PARTS).alias("bounds"),
+        )
+
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[look(c).alias(f"_look_{i}") for i, c in enumerate(columns)], *others).first()
+    looks = [row[f"_look_{i}"] for i in range(len(columns))]
+    return [r for r in looks if r["n"]], row
+
+
+def fence_bounds(q1: tuple[float, float], q3: tuple[float, float], factor: float) -> list[tuple[float, float]]:
+    """Bounds of both fences from bounds of the quartiles; rounding is monotone, so they hold to the last bit."""
+    return [
+        (q1[0] - factor * (q3[1] - q1[0]), q1[1] - factor * (q3[0] - q1[1])),
+        (q3[0] + factor * (q3[0] - q1[1]), q3[1] + factor * (q3[1] - q1[0])),
+    ]
+
+
+def condensed(df: DataFrame, looks: Sequence[Row], shares: Sequence[float], fences: float | None = None) -> DataFrame:
+    """A second scan that keeps of every column what exact quantiles need: (feature, value, n), stored.
+
+    Values within the bounds of a wanted quantile stay as value counts, a few thousandths of the
+    rows. Each stretch between bounds becomes one row, its least value with the number of its rows,
+    so running counts are exact at every value that was kept. With ``fences``, a factor of the
+    interquartile range for which ``shares`` begin with the quartiles, so do the values that might be on
+    either side of a fence. Should a wanted position lie outside the bounds, the stretch it lies in is not
+    condensed but all values are counted.
+    """
+    spark, rows = df.sparkSession, []
+    for r in looks:
+        pairs = list(zip(r["bounds"][::2], r["bounds"][1::2]))
+        rows.append((r["feature"], *[float(x) for p in pairs + (fence_bounds(pairs[0], pairs[1], fences) if fences is not None else []) for x in p]))
+    count = (len(rows[0]) - 1) // 2 if rows else 0
+    bounds = local_table(spark, rows, "feature string" + "".join(f", _a{i} double, _b{i} double" for i in range(count)))
+    v = F.col("value")
+
+    def passed(test: Callable[[int], Column]) -> Column:
+        return sum((F.when(test(i), 1).otherwise(0) for i in range(count)), F.lit(0))
+
+    long_df = long_numeric(df, [r["feature"] for r in looks], keep=()) if looks else spark.range(0).select(F.lit("").alias("feature"), F.lit(0.0).alias("value"))
+    placed = (
+        long_df.join(F.broadcast(bounds), "feature")
+        .withColumns({"_in": passed(lambda i: v >= F.col(f"_a{i}")), "_out": passed(lambda i: v > F.col(f"_b{i}"))})
+        .withColumns({"_zone": F.col("_in") + F.col("_out"), "_kept": F.col("_in") > F.col("_out")})
+    )
+    table = materialise(
+        placed.groupBy("feature", "_zone", "_kept", F.when(F.col("_kept"), v).alias("_v")).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    )
+    zones: dict[str, list[Row]] = {}
+    for z in table.groupBy("feature", "_zone", "_kept").agg(F.sum("n").alias("n")).collect():
+        zones.setdefault(z["feature"], []).append(z)
+    for found in zones.values():
+        total, before = sum(z["n"] for z in found), 0
+        places = {f(s * (total - 1)) for s in shares for f in (math.floor, math.ceil)}
+        for z in sorted(found, key=lambda z: z["_zone"]):
+            if not z["_kept"] and any(before <= p < before + z["n"] for p in places):
+                return materialise(long_df.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+            before += z["n"]
+    return table.select("feature", "value", "n")
+
+
 def ordered_codes(values: DataFrame) -> DataFrame:
     """Add ``code``, the 0-based position of a text among its feature's distinct values.
 
