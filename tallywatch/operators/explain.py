@@ -18,30 +18,60 @@ from tallywatch.functions.bands import interval_bin, linspace
 from tallywatch.operators import summaries as S
 from tallywatch.operators.scoring import Scorer, own_inputs, score
 from tallywatch.operators.trees import goes_left, saved_nodes
-from tallywatch.session import local_table
-
-ROWS_PER_PART = 100_000
-
+from tallywatch.session import local_table, materialise
 
 # ---------------------------------------------------------------- permutation
 
 
-def _parts(df: DataFrame) -> Column:
-    """How many hash parts a permutation is done in: one per ``ROWS_PER_PART`` rows."""
-    return df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / ROWS_PER_PART)).alias("n")).select("n").scalar()
-
-
 def _hash(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
 
 
-def _part(n: Column) -> Column:
-    return F.pmod(F.conv(F.substring("_h", 25, 8), 16, 10).cast("bigint"), n)
+def with_successors(df: DataFrame, key: str, columns: Sequence[str], n: int, seed: int) -> DataFrame:
+    """``df`` with ``_next``: the values of ``columns`` in the ``n`` rows that follow in hash order.
 
+    The order is that of a hash of ``key`` over the whole table, ties by the values; the first rows
+    follow the last one. Handing every row the values of its s-th successor is a random shuffle without
+    fixed rows (if there are more than s), another one for every s.
 
-def _next_in(w, column: str) -> Column:
-    """The following row's value, the first row's value for the last row."""
-    return F.coalesce(F.lead(column).over(w), F.first(column).over(w))
+    Rows move once, into ranges of the hash. How many ranges there are steers the spread of the work
+    only: the rows that follow a range are looked up among the first ``n`` rows of the later ranges.
+    ``df`` must be deterministic, as it is read twice. An empty table stays empty.
+    """
+    spark = df.sparkSession
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+    rows = df.withColumns({"_h": _hash(seed, key), "_vec": F.array(*columns)}).withColumn(
+        "_slot", F.shiftright(place * ranges, 32).cast("int")
+    )
+    inside = Window.partitionBy("_slot").orderBy("_h", "_vec")
+    heads = materialise(
+        rows.select("_slot", "_h", "_vec").withColumn("_i", F.row_number().over(inside)).where(F.col("_i") <= n)
+    ).select("_slot", "_i", "_vec")
+    # Two numbers per range: their count follows the setting above, not the table.
+    sizes = heads.groupBy("_slot").agg(F.max("_i").alias("n")).orderBy("_slot").collect()
+    order = [(r["_slot"], i + 1) for r in sizes for i in range(r["n"])]
+    wanted, end = [], 0
+    for r in sizes:
+        end += r["n"]
+        wanted += [(r["_slot"], j, *order[(end + j) % len(order)]) for j in range(n)]
+    sources = local_table(spark, wanted, "_for int, _j int, _slot int, _i int")
+    after = (
+        sources.join(heads, ["_slot", "_i"])
+        .groupBy(F.col("_for").alias("_slot"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_vec"))), lambda x: x["_vec"]).alias("_after"))
+    )
+    placed = rows.withColumns(
+        {
+            "_left": F.count(F.lit(1)).over(Window.partitionBy("_slot")) - F.row_number().over(inside),
+            "_ahead": F.array(*[F.lead("_vec", s).over(inside) for s in range(1, n + 1)]),
+        }
+    )
+    left = F.col("_left").cast("int")
+    follow = F.when(left >= n, F.col("_ahead")).otherwise(
+        F.concat(F.slice("_ahead", F.lit(1), left), F.slice("_after", F.lit(1), F.lit(n) - left))
+    )
+    return placed.join(after, "_slot").withColumn("_next", follow).select(*df.columns, "_next")
 
 
 def permutation_importance(
@@ -50,27 +80,20 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance, spread): loss of accuracy when a feature is shuffled, mean of the repeats.
 
-    A shuffle hands every row the values of its successor in hash order; rows are spread over
-    hash parts, each a random sample of the table. One shuffle serves all features.
+    Repeat s hands every row the values of its s-th successor in hash order (``with_successors``). One
+    shuffle serves all features and all repeats.
     """
-    n = _parts(df)
-    rows = (
-        df.select(key, label, *[S.clean(f).alias(f) for f in features])
-        .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        .withColumn("_h", _hash(seed, "repeat", key))
-        .withColumn("_part", _part(n))
-    )
-    w = Window.partitionBy("repeat", "_part").orderBy("_h")
-    moved = rows.withColumns({f"_{f}": _next_in(w, f) for f in features})
-    scored = scorer.add(moved, own_inputs(features), "_base")
-    for f in features:
-        scored = scorer.add(scored, own_inputs(features) | {f: F.col(f"_{f}")}, f"_s_{f}")
+    rows = df.select(key, label, *[S.clean(f).alias(f) for f in features])
+    based = scorer.add(with_successors(rows, key, features, repeats, seed), own_inputs(features), "_base")
+    scored = based.select("*", F.posexplode("_next").alias("_repeat", "_vec"))
+    for i, f in enumerate(features):
+        scored = scorer.add(scored, own_inputs(features) | {f: F.get("_vec", F.lit(i))}, f"_s_{f}")
 
     def right(c: str) -> Column:
         return F.avg(((F.col(c) >= cutoff) == (F.col(label) == 1)).cast("double"))
 
-    by_repeat = scored.groupBy("repeat").agg(*[(right("_base") - right(f"_s_{f}")).alias(f) for f in features])
-    long_df = by_repeat.unpivot(["repeat"], list(features), "feature", "drop")
+    by_repeat = scored.groupBy("_repeat").agg(*[(right("_base") - right(f"_s_{f}")).alias(f) for f in features])
+    long_df = by_repeat.unpivot(["_repeat"], list(features), "feature", "drop")
     return long_df.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("spread"))
 
 
@@ -82,28 +105,19 @@ def interaction_matrix(
 ) -> DataFrame:
     """(feature_i, feature_j, strength): mean absolute change when both are shuffled, minus each alone.
 
-    Every feature has its own shuffle, done in long form and brought back to rows.
+    The s-th feature takes the values of the s-th successor in hash order (``with_successors``), so every
+    feature has a shuffle of its own and rows move once for all of them.
     """
-    n = _parts(df)
     rows = df.select(key, *[S.clean(f).alias(f) for f in features])
-    long_df = (
-        rows.unpivot([key], list(features), "feature", "value")
-        .withColumn("_h", _hash(seed, "feature", key))
-        .withColumn("_part", _part(n))
-    )
-    w = Window.partitionBy("feature", "_part").orderBy("_h")
-    moved = long_df.withColumn("moved", _next_in(w, "value"))
-    wide = moved.groupBy(key).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features],
-        *[F.max(F.when(F.col("feature") == f, F.col("moved"))).alias(f"_{f}") for f in features],
-    )
+    wide = with_successors(rows, key, features, len(features), seed)
     base = own_inputs(features)
+    moved = {f: F.get(F.get("_next", F.lit(i)), F.lit(i)) for i, f in enumerate(features)}
     scored = scorer.add(wide, base, "_base")
     for f in features:
-        scored = scorer.add(scored, base | {f: F.col(f"_{f}")}, f"_one_{f}")
+        scored = scorer.add(scored, base | {f: moved[f]}, f"_one_{f}")
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     for a, b in pairs:
-        scored = scorer.add(scored, base | {a: F.col(f"_{a}"), b: F.col(f"_{b}")}, f"_two_{a}_{b}")
+        scored = scorer.add(scored, base | {a: moved[a], b: moved[b]}, f"_two_{a}_{b}")
     gap = lambda c: F.avg(F.abs(F.col("_base") - F.col(c)))
     one_row = scored.agg(
         F.array(

@@ -60,16 +60,21 @@ def _evaluate(spark, sf_dir):
     return rounded(scoring.evaluate(customers(spark, sf_dir), LOGIT, FEATURES, "y").select("n", "accuracy"))
 
 
-@query("exp_permutation_importance", f"""WITH {CUST}, rep AS (SELECT cust.*, r AS repeat, md5('42|' || r || '|' || c_custkey) AS h FROM cust, (SELECT unnest(range(0, 10)) AS r)),
-   mv AS (SELECT *, coalesce(lead(bal) OVER w, first(bal) OVER w) AS b2, coalesce(lead(nat) OVER w, first(nat) OVER w) AS n2, coalesce(lead(seg) OVER w, first(seg) OVER w) AS s2 FROM rep WINDOW w AS (PARTITION BY repeat ORDER BY h)),
-   ac AS (SELECT repeat, avg((({f()} >= 0.5) = (y = 1))::INTEGER) AS base, avg((({f("b2")} >= 0.5) = (y = 1))::INTEGER) AS bal, avg((({f(n="n2")} >= 0.5) = (y = 1))::INTEGER) AS nat, avg((({f(s="s2")} >= 0.5) = (y = 1))::INTEGER) AS seg FROM mv GROUP BY repeat)
+def _permuted(repeats: int) -> str:
+    """Row by row the values of the s-th successor in hash order, for s from 1 to ``repeats``."""
+    return f"""WITH {CUST}, o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || c_custkey)) - 1 AS i, count(*) OVER () AS n FROM cust),
+   mv AS (SELECT o.*, s, o2.bal AS b2, o2.nat AS n2, o2.seg AS s2 FROM o, (SELECT unnest(range(1, {repeats + 1})) AS s) JOIN o AS o2 ON o2.i = (o.i + s) % o.n),
+   ac AS (SELECT s, avg((({f()} >= 0.5) = (y = 1))::INTEGER) AS base, avg((({f("b2")} >= 0.5) = (y = 1))::INTEGER) AS bal, avg((({f(n="n2")} >= 0.5) = (y = 1))::INTEGER) AS nat, avg((({f(s="s2")} >= 0.5) = (y = 1))::INTEGER) AS seg FROM mv GROUP BY s)
    SELECT 'bal' AS feature, round(avg(base - bal), 6) AS importance, round(stddev_pop(base - bal), 6) AS spread FROM ac UNION ALL SELECT 'nat', round(avg(base - nat), 6), round(stddev_pop(base - nat), 6) FROM ac
-   UNION ALL SELECT 'seg', round(avg(base - seg), 6), round(stddev_pop(base - seg), 6) FROM ac""")
+   UNION ALL SELECT 'seg', round(avg(base - seg), 6), round(stddev_pop(base - seg), 6) FROM ac"""
+
+
+@query("exp_permutation_importance", _permuted(10))
 def _permutation(spark, sf_dir):
     return rounded(E.permutation_importance(customers(spark, sf_dir), "c_custkey", FEATURES, "y", LOGIT))
 
 
-@query("exp_drop_column_importance")
+@query("exp_drop_column_importance", _permuted(3))
 def _drop_column(spark, sf_dir):
     return rounded(E.drop_column_importance(customers(spark, sf_dir), "c_custkey", FEATURES, "y", LOGIT, repeats=3))
 
@@ -143,9 +148,8 @@ def _mi(spark, sf_dir):
     return rounded(E.mutual_information(customers(spark, sf_dir), FEATURES, "y"))
 
 
-INTER = f"""WITH {CUST}, p AS (SELECT *, md5('42|bal|' || c_custkey) AS hb, md5('42|nat|' || c_custkey) AS hn, md5('42|seg|' || c_custkey) AS hs FROM cust),
-   q AS (SELECT *, coalesce(lead(bal) OVER wb, first(bal) OVER wb) AS b2, coalesce(lead(nat) OVER wn, first(nat) OVER wn) AS n2, coalesce(lead(seg) OVER ws, first(seg) OVER ws) AS s2 FROM p
-     WINDOW wb AS (ORDER BY hb), wn AS (ORDER BY hn), ws AS (ORDER BY hs)),
+INTER = f"""WITH {CUST}, o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || c_custkey)) - 1 AS i, count(*) OVER () AS n FROM cust),
+   q AS (SELECT o.*, ob.bal AS b2, oc.nat AS n2, od.seg AS s2 FROM o JOIN o AS ob ON ob.i = (o.i + 1) % o.n JOIN o AS oc ON oc.i = (o.i + 2) % o.n JOIN o AS od ON od.i = (o.i + 3) % o.n),
    a AS (SELECT avg(abs({g()} - {g("b2")})) AS db, avg(abs({g()} - {g(n="n2")})) AS dn, avg(abs({g()} - {g(s="s2")})) AS ds,
      avg(abs({g()} - {g("b2", "n2")})) AS dbn, avg(abs({g()} - {g("b2", s="s2")})) AS dbs, avg(abs({g()} - {g(n="n2", s="s2")})) AS dns FROM q),
    im AS (SELECT 'bal' AS feature_i, 'nat' AS feature_j, dbn - db - dn AS strength FROM a UNION ALL SELECT 'bal', 'seg', dbs - db - ds FROM a UNION ALL SELECT 'nat', 'seg', dns - dn - ds FROM a)"""

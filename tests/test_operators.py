@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -238,14 +239,31 @@ def test_lime_recovers_a_linear_score(people):
         assert r["fit"] == pytest.approx(1.0, abs=1e-6)
 
 
-def test_unused_feature_has_no_importance(people, monkeypatch):
-    monkeypatch.setattr(E, "ROWS_PER_PART", 50)  # several hash parts
+def test_unused_feature_has_no_importance(people):
     scorer = scoring.linear_scorer({"a": 1.0}, 0.5)
     rows = {r["feature"]: r for r in E.permutation_importance(people.withColumn("y", (F.col("a") > 0).cast("int")), "id", ["a", "b"], "y", scorer, 3).collect()}
     assert rows["b"]["importance"] == 0.0
     assert rows["a"]["importance"] > 0.3
 
 
+@pytest.mark.parametrize("ids", [[], [5], [1, 2, 3], list(range(300)), [7] * 40 + list(range(100, 130)) + [None]])
+def test_successors_in_hash_order(spark, ids):
+    """Against a loop, for tables shorter than the shift, one hot key, a null key, and another cut into ranges."""
+    rows = [(k, float(i % 17) if i % 5 else None) for i, k in enumerate(ids)]
+    digest = lambda k: hashlib.md5("|".join(["3"] + ([] if k is None else [str(k)])).encode()).hexdigest()
+    order = sorted(rows, key=lambda r: (digest(r[0]), r[1] is not None, r[1] or 0.0))
+    want = sorted((str(k), str(v), str([order[(i + s) % len(order)][1] for s in range(1, 5)])) for i, (k, v) in enumerate(order))
+    df = spark.createDataFrame(rows, "k int, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [(str(r["k"]), str(r["v"]), str([x[0] for x in r["_next"]])) for r in E.with_successors(df, "k", ["v"], 4, 3).collect()]
+            assert sorted(got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_tree_nodes_follow_the_model(people):
     scorer = scoring.ColumnScorer(lambda x: F.when((x["a"] > 0.2) & (x["b"] < 0.5), 0.9).otherwise(0.1))
     model, fidelity = E.surrogate_tree(people, ["a", "b", "c"], scorer, max_depth=3)
