@@ -49,7 +49,7 @@ def with_successors(df: DataFrame, key: str, columns: Sequence[str], n: int, see
         rows.select("_slot", "_h", "_vec").withColumn("_i", F.row_number().over(inside)).where(F.col("_i") <= n)
     ).select("_slot", "_i", "_vec")
     # Two numbers per range: their count follows the setting above, not the table.
-    sizes = heads.groupBy("_slot").agg(F.max("_i").alias("n")).orderBy("_slot").collect()
+    sizes = sorted(heads.groupBy("_slot").agg(F.max("_i").alias("n")).collect())
     order = [(r["_slot"], i + 1) for r in sizes for i in range(r["n"])]
     wanted, end = [], 0
     for r in sizes:
@@ -57,7 +57,7 @@ def with_successors(df: DataFrame, key: str, columns: Sequence[str], n: int, see
         wanted += [(r["_slot"], j, *order[(end + j) % len(order)]) for j in range(n)]
     sources = local_table(spark, wanted, "_for int, _j int, _slot int, _i int")
     after = (
-        sources.join(heads, ["_slot", "_i"])
+        heads.join(F.broadcast(sources), ["_slot", "_i"])
         .groupBy(F.col("_for").alias("_slot"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_vec"))), lambda x: x["_vec"]).alias("_after"))
     )
