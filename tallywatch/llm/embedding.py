@@ -2,14 +2,16 @@
 
 A vector is scaled to whole numbers and turned by random rotations made of sign flips and Hadamard
 transforms, all in exact whole-number arithmetic; the signs after a rotation are its binary code there.
-Slices of codes are the keys of hash tables. Vectors that meet in a bucket are first judged by
-codes alone: with c = <code, rotated vector> stored for every vector, <code, rotated other> / c is an
-unbiased estimate of their inner product, off by more than z * sqrt((1 - c^2) / (c^2 (D - 1))) only
-with the probability of z standard deviations. Pairs whose upper bound falls short are dropped; the
-cosine of all others is computed from the vectors in double precision.
+Slices of codes are the keys of hash tables. Once per vector are stored: its code over a few rotations, c = <code,
+rotated vector>, and the rotated vector in steps of one byte. Vectors that meet in a bucket are judged by these
+alone: <code, rotated other> / c is an unbiased estimate of their inner product, off by more than
+z * sqrt((1 - c^2) / (c^2 (D - 1))) only with the probability of z standard deviations; what the steps of a
+byte can add is stored as well. Only members with a partner whose upper bound reaches the
+threshold get their vectors, and the cosine of such pairs is computed in double precision.
 
 Buckets are never turned into pairs of rows: members of a bucket, cut into blocks where it is
-large, are compared inside tasks, and a task gives counts per vector and links that join components.
+large, are compared inside tasks, and a task gives the members to look at again, or counts per
+vector and links that join components.
 """
 
 from __future__ import annotations
@@ -85,6 +87,53 @@ class Rotations:
         return turned, code, (turned * code).sum(1)
 
 
+    def compact(self, vectors: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits of the codes, rotated vectors as bytes, factor and step and slack per row): what is stored of every vector.
+
+        The slack bounds what rounding to steps can change in the inner product with any code.
+        """
+        turned, _, factor = self.coded(self.whole(vectors), rotations)
+        step = np.abs(turned).max(1) / 127
+        level = np.rint(turned / step[:, None])
+        slack = np.abs(turned - level * step[:, None]).sum(1) / math.sqrt(turned.shape[1])
+        return np.packbits(turned >= 0, axis=1), level.astype(np.int8), np.stack([factor, step, slack], axis=1)
+
+
+class Estimates:
+    """Upper bounds of inner products from what ``Rotations.compact`` gave for some rows."""
+
+    def __init__(self, bits: np.ndarray, level: np.ndarray, figures: np.ndarray, deviations: float):
+        d = level.shape[1]
+        self.factor, step, self.slack = figures.T
+        self.code = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(d))
+        self.turned = level.astype(np.float32) * step[:, None].astype(np.float32)
+        # 1e-5 covers the sums in single precision.
+        self.margin = deviations * np.sqrt((1 - self.factor**2) / (self.factor**2 * (d - 1))) + 1e-5
+
+    def of_pairs(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (np.einsum("ij,ij->i", self.code[p], self.turned[q]) + self.slack[q]) / self.factor[p] + self.margin[p]
+
+    def of_block(self, at: slice) -> np.ndarray:
+        return (self.code[at] @ self.turned[at].T + self.slack[None, at]) / self.factor[at, None] + self.margin[at, None]
+
+
+def _fixed(data: np.ndarray):
+    """Rows of bytes as an Arrow binary column."""
+    import pyarrow as pa
+
+    offsets = np.arange(0, data.size + 1, data.shape[1], dtype=np.int32) if data.size else np.zeros(len(data) + 1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _rows_of(column, width: int, kind=np.uint8) -> np.ndarray:
+    """An Arrow binary column of equally long values as rows."""
+    parts = []
+    for c in column.chunks:
+        at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]])
+    return np.concatenate(parts).view(kind).reshape(-1, width)
+
+
 def plan(count: int, cosine: float, miss: float) -> tuple[int, int]:
     """Bits of a key and number of tables for ``count`` vectors.
 
@@ -153,60 +202,89 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
                     ["node", "table", "key"],
                 )
 
+    def code(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node = batch.column(0)
+            x = batch.column(1).flatten().to_numpy().reshape(-1, dimension)
+            for a in range(0, len(x), 2048):
+                bits_of, level, figures = turns.compact(x[a : a + 2048], parts)
+                yield pa.RecordBatch.from_arrays(
+                    [node.slice(a, len(level)), _fixed(bits_of), _fixed(level.view(np.uint8)), *[pa.array(f) for f in figures.T]],
+                    ["node", "code", "level", "factor", "step", "slack"],
+                )
+
+    coded = stored(classes.select("node", "v").mapInArrow(code, "node long, code binary, level binary, factor double, step double, slack double"), "signs")
     banded = stored(classes.select("node", "v").mapInArrow(key, "node long, table int, key long"), "codes")
     full = banded.groupBy("table", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = banded.join(full, ["table", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    place = ["table", "key", "i", "j"]
     dealt = dealt.withColumn("meets", F.explode(meets)).select("table", "key", "meets.i", "meets.j", "own", "node")
-    members = dealt.join(classes, "node").select("table", "key", "i", "j", "own", "node", "weight", "v")
-    members = members.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j")
+
+    def together(members: DataFrame) -> DataFrame:
+        return members.repartition(*place).sortWithinPartitions(*place)
+
+    def by_codes(rows, group):
+        """Pairs of rows of one group whose bound reaches the threshold."""
+        i, j, own = (rows.column(c).to_numpy() for c in ("i", "j", "own"))
+        width = parts * turns.d
+        figures = np.stack([rows.column(c).to_numpy() for c in ("factor", "step", "slack")], axis=1)
+        bound = Estimates(_rows_of(rows.column("code"), width // 8), _rows_of(rows.column("level"), width, np.int8), figures, deviations)
+        starts = np.nonzero(np.diff(group, prepend=-1))[0]
+        sizes = np.diff(np.append(starts, len(group)))
+        size = np.repeat(sizes, sizes)
+        firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # Small buckets all at once, neighbour by neighbour; large ones as a matrix each.
+        for step in range(1, min(int(sizes.max()), SMALL)):
+            x = np.nonzero((group[step:] == group[:-step]) & (size[step:] <= SMALL))[0]
+            for k in range(0, len(x), 1 << 14):
+                p = x[k : k + (1 << 14)]
+                p = p[bound.of_pairs(p, p + step) >= cosine]
+                firsts.append(p)
+                seconds.append(p + step)
+        for k in np.nonzero(sizes > SMALL)[0].tolist():
+            x, y = np.nonzero(np.triu(bound.of_block(slice(starts[k], starts[k] + sizes[k])) >= cosine, 1))
+            firsts.append(x + starts[k])
+            seconds.append(y + starts[k])
+        x, y = np.concatenate(firsts), np.concatenate(seconds)
+        # Two blocks of one bucket: only pairs across them.
+        apart = (i[x] == j[x]) | (own[x] != own[y])
+        return x[apart], y[apart]
+
+    def judge(batches):
+        for rows, group in whole_groups(batches, 4):
+            some = np.unique(np.concatenate(by_codes(rows, group)))
+            if len(some):
+                yield from rows.select([*place, "own", "node"]).take(some).to_batches()
+
+    judged = together(dealt.join(coded, "node")).select(*place, "own", "node", "code", "level", "factor", "step", "slack")
+    close = stored(judged.mapInArrow(judge, "table int, key long, i int, j int, own int, node long"), "close")
+    members = together(close.join(coded, "node").join(classes.select("node", "weight", "v"), "node"))
+    members = members.select(*place, "own", "node", "weight", "v", "code", "level", "factor", "step", "slack")
 
     def compare(batches):
         import pyarrow as pa
 
         for rows, group in whole_groups(batches, 4):
-            table, i, j, own, node, weight = (rows.column(c).to_numpy() for c in ("table", "i", "j", "own", "node", "weight"))
+            table, node, weight = (rows.column(c).to_numpy() for c in ("table", "node", "weight"))
             v = np.concatenate([c.flatten().to_numpy() for c in rows.column("v").chunks]).reshape(-1, dimension)
             n = len(node)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            whole = turns.whole(v)
-            turned, code, factor = turns.coded(whole, parts)
-            margin = deviations * np.sqrt((1 - factor**2) / (factor**2 * (turned.shape[1] - 1)))
-            starts = np.nonzero(np.diff(group, prepend=-1))[0]
-            sizes = np.diff(np.append(starts, n))
-            size = np.repeat(sizes, sizes)
-            firsts, seconds = [], []
-            # Small buckets all at once, neighbour by neighbour; large ones as a matrix each.
-            for step in range(1, min(int(sizes.max()), SMALL)):
-                x = np.nonzero((group[step:] == group[:-step]) & (size[step:] <= SMALL))[0]
-                firsts.append(x)
-                seconds.append(x + step)
-            for k in np.nonzero(sizes > SMALL)[0].tolist():
-                at = slice(starts[k], starts[k] + sizes[k])
-                bound = (code[at] @ turned[at].T) / factor[at, None] + margin[at, None]
-                x, y = np.nonzero(np.triu(bound >= cosine, 1))
-                firsts.append(x + starts[k])
-                seconds.append(y + starts[k])
-            if not firsts:
-                continue
-            x, y = np.concatenate(firsts), np.concatenate(seconds)
-            # Two blocks of one bucket: only pairs across them.
-            apart = (i[x] == j[x]) | (own[x] != own[y])
-            x, y = x[apart], y[apart]
+            x, y = by_codes(rows, group)
             keep = []
             for k in range(0, len(x), 1 << 14):
                 p, q = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
-                able = np.einsum("ij,ij->i", code[p], turned[q]) / factor[p] + margin[p] >= cosine
-                p, q = p[able], q[able]
-                keep.append(k + np.nonzero(able)[0][np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine])
+                keep.append(k + np.nonzero(np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine)[0])
             keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
             x, y = x[keep], y[keep]
             if not len(x):
                 continue
             # A pair counts in the first table in which both keys agree; keys are exact, so every task finds the same.
             some = np.unique(np.concatenate([x, y]))
-            keys = turns.keys(whole[some])
+            keys = turns.keys(turns.whole(v[some]))
             px, py = np.searchsorted(some, x), np.searchsorted(some, y)
             new = np.concatenate(
                 [(keys[px[k : k + (1 << 14)]] == keys[py[k : k + (1 << 14)]]).argmax(1) == table[x[k : k + (1 << 14)]] for k in range(0, len(x), 1 << 14)]

@@ -173,3 +173,40 @@ def test_code_estimate_is_unbiased_within_its_bound():
     off = (code * turned).sum(1) / factor - true
     spread = np.sqrt((1 - factor**2) / (factor**2 * 255))
     assert abs(off.mean()) < 0.01 and (np.abs(off) < 6 * spread).all()
+
+
+def test_stored_bytes_bound_the_inner_product():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 48))
+    x[200:] = x[:200] + rng.normal(size=(200, 48)) * rng.choice([0.01, 0.3, 1.0], 200)[:, None]
+    turns = embedding.Rotations(48, 16, 20)
+    bits, level, figures = turns.compact(x, 4)
+    turned, code, factor = turns.coded(turns.whole(x), 4)
+    stored = embedding.Estimates(bits, level, figures, 6.0)
+    assert level.nbytes == 400 * 256 and bits.nbytes == 400 * 32
+    assert np.allclose(stored.code, code) and np.allclose(figures[:, 0], factor)
+    # What rounding to bytes changes stays within the stored slack, for every pair.
+    assert (np.abs(code @ (turned - stored.turned).T) <= figures[:, 2] + 1e-6).all()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    p, q = np.arange(200), np.arange(200, 400)
+    assert (stored.of_pairs(p, q) >= (u[p] * u[q]).sum(1)).all()
+    assert np.allclose(stored.of_block(slice(0, 400))[p, q], stored.of_pairs(p, q), atol=1e-6)
+
+
+def test_links_planted_around_the_threshold(spark):
+    """3,000 pairs at cosines of 0.945 to 0.965 and one group of 300 near copies: every link is found and none too many."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.945, 0.965, 3000)[:, None]
+    group = x[0] + rng.normal(size=(300, 64)) * 0.02
+    every = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * side, group])
+    rows = [(i, v.tolist(), None) for i, v in enumerate(every)]
+    got = {r.vec_id: r.n_links for r in embedding.near_vectors(vectors(spark, rows).repartition(4)).collect()}
+    u = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert want.sum() > 90_000
+    assert [got[i] for i in range(len(every))] == want.tolist()
