@@ -2,12 +2,12 @@
 
 A vector is scaled to whole numbers and turned by random rotations made of sign flips and Hadamard
 transforms, all in exact whole-number arithmetic; the signs after a rotation are its binary code there.
-Slices of codes are the keys of hash tables. Once per vector are stored: its code over a few rotations, c = <code,
-rotated vector>, and the rotated vector in steps of one byte. Vectors that meet in a bucket are judged by these
+Slices of codes are the keys of hash tables. Once per vector are stored: its signs in all rotations (keys are cut from
+these), c = <code, rotated vector> over the first few of them, and the rotated vector there in steps of one byte. Vectors that meet in a bucket are judged by these
 alone: <code, rotated other> / c is an unbiased estimate of their inner product, off by more than
 z * sqrt((1 - c^2) / (c^2 (D - 1))) only with the probability of z standard deviations; what the steps of a
 byte can add is stored as well. Only members with a partner whose upper bound reaches the
-threshold get their vectors, and the cosine of such pairs is computed in double precision.
+threshold get their vectors, and cosines among these are computed in double precision.
 
 Buckets are never turned into pairs of rows: members of a bucket, cut into blocks where it is
 large, are compared inside tasks, and a task gives the members to look at again, or counts per
@@ -66,17 +66,17 @@ class Rotations:
         out[:, : vectors.shape[1]] = np.rint(vectors / np.linalg.norm(vectors, axis=1, keepdims=True) * SCALE)
         return out
 
-    def keys(self, whole: np.ndarray) -> np.ndarray:
+    def signs(self, whole: np.ndarray) -> np.ndarray:
+        """Signs after all rotations, one rotation beside another."""
+        return np.concatenate([rotate(whole, f) >= 0 for f in self.flips], axis=1)
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
         """One 64-bit key per row and table; equal signs in the table's slice of a code give equal keys."""
-        out = np.empty((len(whole), self.tables), np.uint64)
-        for r in range(self.count):
-            code = rotate(whole, self.flips[r]) >= 0
-            for k in range(self.each):
-                t = r * self.each + k
-                if t < self.tables:
-                    part = code[:, k * self.width : (k + 1) * self.width].astype(np.uint64)
-                    key = ((part + np.uint64(1)) * self.mix[t]).sum(1, dtype=np.uint64) + np.uint64(t)
-                    out[:, t] = (key ^ (key >> np.uint64(31))) * self.mix[t, 0]
+        out = np.empty((len(signs), self.tables), np.uint64)
+        for t in range(self.tables):
+            at = t // self.each * self.d + t % self.each * self.width
+            key = ((signs[:, at : at + self.width].astype(np.uint64) + np.uint64(1)) * self.mix[t]).sum(1, dtype=np.uint64) + np.uint64(t)
+            out[:, t] = (key ^ (key >> np.uint64(31))) * self.mix[t, 0]
         return out.view(np.int64)
 
     def coded(self, whole: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,15 +88,16 @@ class Rotations:
 
 
     def compact(self, vectors: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bits of the codes, rotated vectors as bytes, factor and step and slack per row): what is stored of every vector.
+        """(bits of the signs in all rotations, rotated vectors as bytes, factor and step and slack per row): what is stored of every vector.
 
         The slack bounds what rounding to steps can change in the inner product with any code.
         """
-        turned, _, factor = self.coded(self.whole(vectors), rotations)
+        whole = self.whole(vectors)
+        turned, _, factor = self.coded(whole, rotations)
         step = np.abs(turned).max(1) / 127
         level = np.rint(turned / step[:, None])
         slack = np.abs(turned - level * step[:, None]).sum(1) / math.sqrt(turned.shape[1])
-        return np.packbits(turned >= 0, axis=1), level.astype(np.int8), np.stack([factor, step, slack], axis=1)
+        return np.packbits(self.signs(whole), axis=1), level.astype(np.int8), np.stack([factor, step, slack], axis=1)
 
 
 class Estimates:
@@ -105,7 +106,7 @@ class Estimates:
     def __init__(self, bits: np.ndarray, level: np.ndarray, figures: np.ndarray, deviations: float):
         d = level.shape[1]
         self.factor, step, self.slack = figures.T
-        self.code = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(d))
+        self.code = (np.unpackbits(bits[:, : d // 8], axis=1).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(d))
         self.turned = level.astype(np.float32) * step[:, None].astype(np.float32)
         # 1e-5 covers the sums in single precision.
         self.margin = deviations * np.sqrt((1 - self.factor**2) / (self.factor**2 * (d - 1))) + 1e-5
@@ -189,34 +190,36 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
     turns = Rotations(dimension, bits, tables)
     parts = min(rotations, turns.count)
 
-    def key(batches):
+    def code(batches):
         import pyarrow as pa
 
         for batch in batches:
-            node = batch.column(0).to_numpy()
+            node = batch.column(0)
             x = batch.column(1).flatten().to_numpy().reshape(-1, dimension)
             for a in range(0, len(x), 2048):
-                keys = turns.keys(turns.whole(x[a : a + 2048]))
+                signs, level, figures = turns.compact(x[a : a + 2048], parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(node[a : a + 2048], turns.tables), pa.int64()), pa.array(np.tile(np.arange(turns.tables, dtype=np.int32), len(keys))), pa.array(keys.ravel())],
-                    ["node", "table", "key"],
+                    [node.slice(a, len(level)), _fixed(signs), _fixed(level.view(np.uint8)), *[pa.array(f) for f in figures.T]],
+                    ["node", "signs", "level", "factor", "step", "slack"],
                 )
 
-    def code(batches):
+    def key(batches):
         import pyarrow as pa
 
         for batch in batches:
-            node = batch.column(0)
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dimension)
-            for a in range(0, len(x), 2048):
-                bits_of, level, figures = turns.compact(x[a : a + 2048], parts)
+            for a in range(0, batch.num_rows, 2048):
+                some = pa.Table.from_batches([batch.slice(a, 2048)])
+                keys = turns.keys(signs_of(some))
                 yield pa.RecordBatch.from_arrays(
-                    [node.slice(a, len(level)), _fixed(bits_of), _fixed(level.view(np.uint8)), *[pa.array(f) for f in figures.T]],
-                    ["node", "code", "level", "factor", "step", "slack"],
+                    [pa.array(np.repeat(some.column(0).to_numpy(), turns.tables), pa.int64()), pa.array(np.tile(np.arange(turns.tables, dtype=np.int32), len(keys))), pa.array(keys.ravel())],
+                    ["node", "table", "key"],
                 )
 
-    coded = stored(classes.select("node", "v").mapInArrow(code, "node long, code binary, level binary, factor double, step double, slack double"), "signs")
-    banded = stored(classes.select("node", "v").mapInArrow(key, "node long, table int, key long"), "codes")
+    def signs_of(rows):
+        return np.unpackbits(_rows_of(rows.column("signs"), turns.count * turns.d // 8), axis=1).view(bool)
+
+    coded = stored(classes.select("node", "v").mapInArrow(code, "node long, signs binary, level binary, factor double, step double, slack double"), "signs")
+    banded = stored(coded.select("node", "signs").mapInArrow(key, "node long, table int, key long"), "codes")
     full = banded.groupBy("table", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = banded.join(full, ["table", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "key"), "blocks").cast("int"))
@@ -227,12 +230,9 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
     def together(members: DataFrame) -> DataFrame:
         return members.repartition(*place).sortWithinPartitions(*place)
 
-    def by_codes(rows, group):
-        """Pairs of rows of one group whose bound reaches the threshold."""
+    def pairs(rows, group, of_pairs, of_block):
+        """Pairs of rows of one group whose figure reaches the threshold."""
         i, j, own = (rows.column(c).to_numpy() for c in ("i", "j", "own"))
-        width = parts * turns.d
-        figures = np.stack([rows.column(c).to_numpy() for c in ("factor", "step", "slack")], axis=1)
-        bound = Estimates(_rows_of(rows.column("code"), width // 8), _rows_of(rows.column("level"), width, np.int8), figures, deviations)
         starts = np.nonzero(np.diff(group, prepend=-1))[0]
         sizes = np.diff(np.append(starts, len(group)))
         size = np.repeat(sizes, sizes)
@@ -242,11 +242,11 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
             x = np.nonzero((group[step:] == group[:-step]) & (size[step:] <= SMALL))[0]
             for k in range(0, len(x), 1 << 14):
                 p = x[k : k + (1 << 14)]
-                p = p[bound.of_pairs(p, p + step) >= cosine]
+                p = p[of_pairs(p, p + step) >= cosine]
                 firsts.append(p)
                 seconds.append(p + step)
         for k in np.nonzero(sizes > SMALL)[0].tolist():
-            x, y = np.nonzero(np.triu(bound.of_block(slice(starts[k], starts[k] + sizes[k])) >= cosine, 1))
+            x, y = np.nonzero(np.triu(of_block(slice(starts[k], starts[k] + sizes[k])) >= cosine, 1))
             firsts.append(x + starts[k])
             seconds.append(y + starts[k])
         x, y = np.concatenate(firsts), np.concatenate(seconds)
@@ -255,15 +255,19 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
         return x[apart], y[apart]
 
     def judge(batches):
+        width = parts * turns.d
         for rows, group in whole_groups(batches, 4):
-            some = np.unique(np.concatenate(by_codes(rows, group)))
+            figures = np.stack([rows.column(c).to_numpy() for c in ("factor", "step", "slack")], axis=1)
+            bound = Estimates(_rows_of(rows.column("code"), width // 8), _rows_of(rows.column("level"), width, np.int8), figures, deviations)
+            some = np.unique(np.concatenate(pairs(rows, group, bound.of_pairs, bound.of_block)))
             if len(some):
                 yield from rows.select([*place, "own", "node"]).take(some).to_batches()
 
-    judged = together(dealt.join(coded, "node")).select(*place, "own", "node", "code", "level", "factor", "step", "slack")
+    front = F.substring("signs", 1, parts * turns.d // 8).alias("code")
+    judged = together(dealt.join(coded, "node").select(*place, "own", "node", front, "level", "factor", "step", "slack"))
     close = stored(judged.mapInArrow(judge, "table int, key long, i int, j int, own int, node long"), "close")
-    members = together(close.join(coded, "node").join(classes.select("node", "weight", "v"), "node"))
-    members = members.select(*place, "own", "node", "weight", "v", "code", "level", "factor", "step", "slack")
+    members = close.join(coded.select("node", "signs"), "node").join(classes.select("node", "weight", "v"), "node")
+    members = together(members.select(*place, "own", "node", "weight", "v", "signs"))
 
     def compare(batches):
         import pyarrow as pa
@@ -273,18 +277,22 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
             v = np.concatenate([c.flatten().to_numpy() for c in rows.column("v").chunks]).reshape(-1, dimension)
             n = len(node)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            x, y = by_codes(rows, group)
-            keep = []
+
+            def exact(p, q):
+                return np.einsum("ij,ij->i", unit[p], unit[q])
+
+            # The matrix may sum in another order: it only picks, the last word is of one formula.
+            x, y = pairs(rows, group, exact, lambda at: unit[at] @ unit[at].T + 1e-9)
+            keep = [np.zeros(0, np.int64)]
             for k in range(0, len(x), 1 << 14):
-                p, q = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
-                keep.append(k + np.nonzero(np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine)[0])
-            keep = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+                keep.append(k + np.nonzero(exact(x[k : k + (1 << 14)], y[k : k + (1 << 14)]) >= cosine)[0])
+            keep = np.concatenate(keep)
             x, y = x[keep], y[keep]
             if not len(x):
                 continue
             # A pair counts in the first table in which both keys agree; keys are exact, so every task finds the same.
             some = np.unique(np.concatenate([x, y]))
-            keys = turns.keys(turns.whole(v[some]))
+            keys = turns.keys(signs_of(rows.select(["signs"]).take(some)))
             px, py = np.searchsorted(some, x), np.searchsorted(some, y)
             new = np.concatenate(
                 [(keys[px[k : k + (1 << 14)]] == keys[py[k : k + (1 << 14)]]).argmax(1) == table[x[k : k + (1 << 14)]] for k in range(0, len(x), 1 << 14)]
@@ -293,20 +301,17 @@ def _links(classes: DataFrame, dimension: int, count: int, cosine: float, miss:
             if not len(x):
                 continue
             links = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
-            # Links that join what is not joined yet are enough for the components.
-            root = list(range(n))
-
-            def find(c):
-                while root[c] != c:
-                    root[c] = c = root[root[c]]
-                return c
-
-            joins = []
-            for p, q in zip(x.tolist(), y.tolist()):
-                r, s = find(p), find(q)
-                if r != s:
-                    root[r] = s
-                    joins.append((node[p], node[q]))
+            # Links to the first member that can be reached are enough for the components.
+            root = np.arange(n)
+            while True:
+                low, last = np.minimum(root[x], root[y]), root.copy()
+                for end in (x, y, last[x], last[y]):
+                    np.minimum.at(root, end, low)
+                root = root[root]
+                if (root == last).all():
+                    break
+            tied = np.nonzero(root != np.arange(n))[0]
+            joins = list(zip(node[tied].tolist(), node[root[tied]].tolist()))
             at = np.nonzero(links)[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([node[at], [p for p, _ in joins]]), pa.int64()), pa.array(np.concatenate([np.full(len(at), -1), [q for _, q in joins]]).astype(np.int64), mask=np.arange(len(at) + len(joins)) < len(at)),

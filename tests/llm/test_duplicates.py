@@ -183,7 +183,8 @@ def test_stored_bytes_bound_the_inner_product():
     bits, level, figures = turns.compact(x, 4)
     turned, code, factor = turns.coded(turns.whole(x), 4)
     stored = embedding.Estimates(bits, level, figures, 6.0)
-    assert level.nbytes == 400 * 256 and bits.nbytes == 400 * 32
+    assert level.nbytes == 400 * 256 and bits.shape == (400, turns.count * 8)
+    assert (turns.keys(np.unpackbits(bits, axis=1).view(bool)) == turns.keys(turns.signs(turns.whole(x)))).all()
     assert np.allclose(stored.code, code) and np.allclose(figures[:, 0], factor)
     # What rounding to bytes changes stays within the stored slack, for every pair.
     assert (np.abs(code @ (turned - stored.turned).T) <= figures[:, 2] + 1e-6).all()
