@@ -393,12 +393,13 @@ def test_kernel_discrepancy_takes_all_rows(spark):
         assert abs(drift.mmd(long_df, gamma).first()["mmd"] - want) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["counterfactuals"])
+@pytest.mark.parametrize("name", ["counterfactuals", "lime"])
 def test_expanded_rows_are_dealt_out(spark, name):
     """One input split is no one task: the scorer says in which partition a row was scored."""
     rows = spark.createDataFrame([(i, float(i % 7 + 1), float(i % 5)) for i in range(64)], "id int, a double, b double").coalesce(1)
     where = scoring.ColumnScorer(lambda x: F.spark_partition_id() + x["a"] * 0)
     found = {
         "counterfactuals": lambda: E.counterfactuals(rows, "id", ["a", "b"], where, candidates=4).select("prediction"),
+        "lime": lambda: E.lime_tabular(rows, "id", ["a", "b"], where, num_samples=20).select(F.round("intercept")),
     }[name]().distinct().collect()
     assert len(found) > 1
