@@ -393,7 +393,7 @@ def test_kernel_discrepancy_takes_all_rows(spark):
         assert abs(drift.mmd(long_df, gamma).first()["mmd"] - want) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["counterfactuals", "lime"])
+@pytest.mark.parametrize("name", ["counterfactuals", "lime", "ice", "shap", "pdp"])
 def test_expanded_rows_are_dealt_out(spark, name):
     """One input split is no one task: the scorer says in which partition a row was scored."""
     rows = spark.createDataFrame([(i, float(i % 7 + 1), float(i % 5)) for i in range(64)], "id int, a double, b double").coalesce(1)
@@ -401,5 +401,8 @@ def test_expanded_rows_are_dealt_out(spark, name):
     found = {
         "counterfactuals": lambda: E.counterfactuals(rows, "id", ["a", "b"], where, candidates=4).select("prediction"),
         "lime": lambda: E.lime_tabular(rows, "id", ["a", "b"], where, num_samples=20).select(F.round("intercept")),
+        "ice": lambda: E.ice_curves(rows, "id", ["a", "b"], where, points=3).select("prediction"),
+        "shap": lambda: E.shap_kernel(rows, "id", ["a", "b"], where, [(1.0, 1.0)]).select(F.round("prediction")),
+        "pdp": lambda: E.partial_dependence(rows, ["a", "b"], where, 2).select(F.explode(F.array(F.lit(0.0), "mean_prediction"))),
     }[name]().distinct().collect()
     assert len(found) > 1
