@@ -134,7 +134,7 @@ def train_validation_test_split(
 def stratified_split(df: DataFrame, key: Sequence[str], stratum: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Tag rows with ``split`` so that every stratum, null being one, gives the same share to the test set."""
     cuts = S.hash_cuts(df, str(seed), key, [1.0 - test_size], [stratum]).select(stratum, "cut")
-    joined = S.null_safe_join(df, cuts, [stratum], "left")
+    joined = S.null_safe_join(df, S.broadcast_if_small(cuts), [stratum], "left")
     return joined.withColumn(
         "split", F.when(S.hash_text(str(seed), key) <= F.col("cut"), "train").otherwise("test")
     ).select(*df.columns, "split")

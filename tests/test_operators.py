@@ -406,3 +406,10 @@ def test_expanded_rows_are_dealt_out(spark, name):
         "pdp": lambda: E.partial_dependence(rows, ["a", "b"], where, 2).select(F.explode(F.array(F.lit(0.0), "mean_prediction"))),
     }[name]().distinct().collect()
     assert len(found) > 1
+
+
+def test_stratified_rows_stay_where_they_are(spark):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "int(id % 2) AS y", "double(id % 13) AS a")
+    split = preprocess.stratified_split(rows, ["id"], "y", 0.2)
+    assert split.select(F.spark_partition_id()).distinct().count() == 8
+    assert sorted(r["count"] for r in split.groupBy("y", "split").count().collect()) == [400, 400, 1600, 1600]
