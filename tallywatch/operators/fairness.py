@@ -484,9 +484,11 @@ def baseline_model(df: DataFrame, features: Sequence[str], key: Sequence[str], k
     if kind not in makers:
         raise ValueError(f"unknown model: {kind}")
     rows = stratified_split(df, key, "y", 0.2, seed)
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(rows)
-    model = makers[kind]().fit(vectors.where("split = 'train'"))
-    scored = model.transform(vectors.where("split = 'test'")).select(
+    vectors = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    # A fit reads its rows several times and keeps its own copy of each part in memory.
+    train = materialise(rows.where("split = 'train'").select(*features, "y"))
+    model = makers[kind]().fit(vectors.transform(S.spread_out(train)))
+    scored = model.transform(vectors.transform(rows.where("split = 'test'"))).select(
         *[c for c in df.columns if c not in ("yhat", "p")],
         F.col("prediction").cast("int").alias("yhat"),
         vector_to_array("probability")[1].alias("p"),

@@ -413,3 +413,16 @@ def test_stratified_rows_stay_where_they_are(spark):
     split = preprocess.stratified_split(rows, ["id"], "y", 0.2)
     assert split.select(F.spark_partition_id()).distinct().count() == 8
     assert sorted(r["count"] for r in split.groupBy("y", "split").count().collect()) == [400, 400, 1600, 1600]
+
+
+@pytest.mark.parametrize("kind", ["logistic_regression", "random_forest"])
+def test_baselines_are_fitted_on_rows_dealt_out(spark, monkeypatch, kind):
+    """The rows of one input split or one label are no one task."""
+    from pyspark.ml.base import Estimator
+
+    seen, fit = [], Estimator.fit
+    monkeypatch.setattr(Estimator, "fit", lambda self, rows: (seen.append(rows), fit(self, rows))[1])
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "int(id % 3 = 0) AS y", "double(id % 13) AS a", "'g' AS g")
+    _, scored = X.baseline_model(rows, ["a"], ["id"], kind)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 2 and sum(sizes) + scored.count() == 400 and max(sizes) < 100
