@@ -910,9 +910,11 @@ def adversarial_accuracy(sided: DataFrame, columns: Sequence[str]) -> DataFrame:
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    means = sided.agg(*[F.coalesce(F.avg(S.clean(c)), F.lit(0.0)).alias(c) for c in columns]).first()
-    rows = sided.select(
-        F.when(F.col("side") == "cur", 1.0).otherwise(0.0).alias("label"),
+    # Five passes read the rows: the source, which may be a join, is read once.
+    kept = materialise(sided.select(F.when(F.col("side") == "cur", 1.0).otherwise(0.0).alias("label"), *columns))
+    means = kept.agg(*[F.coalesce(F.avg(S.clean(c)), F.lit(0.0)).alias(c) for c in columns]).first()
+    rows = kept.select(
+        "label",
         F.pmod(F.xxhash64(*columns), F.lit(10)).alias("_part"),
         *[F.coalesce(S.clean(c), F.lit(means[c])).alias(c) for c in columns],
         *[F.when(S.clean(c).isNull(), 1.0).otherwise(0.0).alias(f"_missing_{c}") for c in columns],

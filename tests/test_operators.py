@@ -426,3 +426,23 @@ def test_baselines_are_fitted_on_rows_dealt_out(spark, monkeypatch, kind):
     _, scored = X.baseline_model(rows, ["a"], ["id"], kind)
     sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 2 and sum(sizes) + scored.count() == 400 and max(sizes) < 100
+
+
+def _counted(spark, n):
+    """(rows of both sides, how often one was worked out)."""
+    count = spark.sparkContext.accumulator(0)
+
+    def touch(i):
+        count.add(1)
+        return float(i % 97)
+
+    x = F.udf(touch, "double")("id")
+    return spark.range(0, n, 1, 2).select(F.when(F.col("id") % 2 == 0, "ref").otherwise("cur").alias("side"), x.alias("x")), count
+
+
+def test_adversarial_accuracy_reads_its_source_once(spark):
+    from tallywatch.operators import drift
+
+    sided, count = _counted(spark, 600)
+    assert 0 <= drift.adversarial_accuracy(sided, ["x"]).first()["auc"] <= 1
+    assert count.value == 600
