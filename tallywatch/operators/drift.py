@@ -329,7 +329,12 @@ def _cell_kernel(distance, one, two, gamma):  # pragma: no cover - runs in the w
 
 
 def mmd(long_df: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """Kernel discrepancy of all rows of both sides: mean k(r, r') + mean k(c, c') - 2 mean k(r, c), k = exp(-gamma d^2).
+    """Kernel discrepancy of all rows of both sides: see ``mmd_of_counts``."""
+    return mmd_of_counts(S.as_counts(long_df), gamma)
+
+
+def mmd_of_counts(counts: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """Kernel discrepancy from value counts: mean k(r, r') + mean k(c, c') - 2 mean k(r, c), k = exp(-gamma d^2).
 
     Values fall into cells of half a kernel width. One aggregate leaves a few moments per feature, side
     and cell; a cell then meets only the cells within reach of the kernel, at most 26 of them. Work grows with the rows
@@ -338,19 +343,26 @@ def mmd(long_df: DataFrame, gamma: float = 1.0) -> DataFrame:
     width = 0.5 / gamma**0.5
     cell = F.floor(F.col("value") / width)
     u = (F.col("value") - (F.col("_cell") + 0.5) * width) * gamma**0.5
-    rows = long_df.select("feature", "side", "value", cell.alias("_cell")).withColumn("_u", u)
-    moments = materialise(
-        rows.groupBy("feature", "side", "_cell").agg(
-            F.array(F.count(F.lit(1)).cast("double"), *[F.sum(F.pow("_u", F.lit(float(k)))) for k in range(1, MMD_TERMS)]).alias("_m")
-        )
-    )
+    rows = counts.select("feature", "value", "c_ref", "c_cur", cell.alias("_cell")).withColumn("_u", u)
+
+    def moments_of(side: str) -> Column:
+        n = F.col(f"c_{side}")
+        total = lambda k: F.sum(F.when(n > 0, n * F.pow("_u", F.lit(float(k)))))
+        return F.struct(F.lit(side).alias("side"), F.array(F.sum(n).cast("double"), *[total(k) for k in range(1, MMD_TERMS)]).alias("_m"))
+
+    both = rows.groupBy("feature", "_cell").agg(F.array(moments_of("ref"), moments_of("cur")).alias("_both"))
+    moments = materialise(both.select("feature", "_cell", F.inline("_both")).where(F.get("_m", 0) > 0))
     sizes = moments.groupBy("feature").agg(*[F.sum(F.when(F.col("side") == s, F.get("_m", 0))).alias(f"_{s}") for s in ("ref", "cur")])
     reach = int(MMD_REACH / 0.5) + 1
     near = moments.withColumn("_near", F.explode(F.sequence(F.col("_cell") - reach, F.col("_cell") + reach)))
     other = moments.select("feature", F.col("side").alias("_side"), F.col("_cell").alias("_near"), F.col("_m").alias("_o"))
     distance = (F.col("_cell") - F.col("_near")) * width * gamma**0.5
-    met = near.join(other, ["feature", "_near"]).select(
-        "feature", "side", "_side", _cell_kernel(distance, F.col("_m"), F.col("_o"), F.lit(1.0)).alias("_k")
+    # Within a side a pair of cells counts for both its orders; between the sides ref meets cur only.
+    ahead = (F.col("side") == F.col("_side")) & (F.col("_cell") <= F.col("_near"))
+    across = (F.col("side") == "ref") & (F.col("_side") == "cur")
+    times = F.when(across | (F.col("_cell") == F.col("_near")), 1.0).otherwise(2.0)
+    met = near.join(other, ["feature", "_near"]).where(ahead | across).select(
+        "feature", "side", "_side", (times * _cell_kernel(distance, F.col("_m"), F.col("_o"), F.lit(1.0))).alias("_k")
     )
     sums = met.groupBy("feature").agg(
         *[F.sum(F.when((F.col("side") == s) & (F.col("_side") == t), F.col("_k"))).alias(f"_{s}_{t}") for s, t in (("ref", "ref"), ("cur", "cur"), ("ref", "cur"))]
@@ -472,8 +484,7 @@ def adaptive_windowing(
 class Inputs:
     """Lazily built shared summaries of one report.
 
-    ``counts`` are the value counts of the columns; everything but the kernel method is derived
-    from them.
+    ``counts`` are the value counts of the columns; everything but the windows is derived from them.
     """
 
     def __init__(self, sided: DataFrame, columns: Sequence[str], categorical: bool, counts: DataFrame, recency: Sequence[str] = ()):
@@ -523,7 +534,7 @@ class Inputs:
 
     @property
     def kernel(self) -> DataFrame:
-        return mmd_categorical(self.counts) if self.categorical else mmd(self.long())
+        return mmd_categorical(self.counts) if self.categorical else mmd_of_counts(self.counts)
 
     @property
     def windows(self) -> DataFrame:

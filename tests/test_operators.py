@@ -446,3 +446,24 @@ def test_adversarial_accuracy_reads_its_source_once(spark):
     sided, count = _counted(spark, 600)
     assert 0 <= drift.adversarial_accuracy(sided, ["x"]).first()["auc"] <= 1
     assert count.value == 600
+
+
+def test_kernel_of_a_report_comes_from_the_value_counts(spark):
+    from tallywatch.operators import drift
+
+    sided, count = _counted(spark, 600)
+    drift.detect_drift(sided, ["x"], methods=["maximum_mean_discrepancy", "wasserstein"]).collect()
+    assert count.value == 600
+
+
+def test_kernel_of_counts_is_that_of_rows(spark):
+    """Values on one side only, and values that repeat."""
+    from tallywatch.operators import drift
+
+    rows = [("ref", "x", float(v)) for v in (0, 0, 0, 1, 2.5, 7)] + [("cur", "x", float(v)) for v in (0, 1, 1, 9, 9)]
+    a, b = (np.array([v for s, _, v in rows if s == side]) for side in ("ref", "cur"))
+    kernel = lambda a, b: np.exp(-(a[:, None] - b[None, :]) ** 2).mean()
+    long_df = spark.createDataFrame(rows, "side string, feature string, value double")
+    counts = long_df.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur"))
+    got = drift.mmd_of_counts(counts).first()["mmd"]
+    assert abs(got - (kernel(a, a) + kernel(b, b) - 2 * kernel(a, b))) < 1e-9
