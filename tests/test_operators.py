@@ -467,3 +467,23 @@ def test_kernel_of_counts_is_that_of_rows(spark):
     counts = long_df.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("c_ref"), F.count_if(F.col("side") == "cur").alias("c_cur"))
     got = drift.mmd_of_counts(counts).first()["mmd"]
     assert abs(got - (kernel(a, a) + kernel(b, b) - 2 * kernel(a, b))) < 1e-9
+
+
+@pytest.mark.parametrize("ids", [[], [5], list(range(300)), [7] * 40 + list(range(100, 130)) + [None]])
+def test_every_repeat_is_a_shuffle_of_its_own(spark, ids):
+    """Against a loop: not one order shifted, and the same however the orders are cut."""
+    rows = [(k, float(i % 17) if i % 5 else None) for i, k in enumerate(ids)]
+    want = []
+    for r in range(3):
+        digest = lambda k, r=r: hashlib.md5("|".join(["3", str(r)] + ([] if k is None else [str(k)])).encode()).hexdigest()
+        order = sorted(rows, key=lambda x: (digest(x[0]), x[1] is not None, x[1] or 0.0))
+        want += [(r, str(k), str(v), str(order[(i + 1) % len(order)][1])) for i, (k, v) in enumerate(order)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [(r["_repeat"], str(r["k"]), str(r["v"]), str(r["_vec"][0])) for r in E.with_shuffles(df, "k", ["v"], 3, 3).collect()]
+            assert sorted(got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
