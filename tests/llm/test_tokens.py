@@ -183,3 +183,28 @@ def test_special_strings_get_their_ids(spark, name):
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got} == {d: (len(x), zlib.crc32(x.tobytes())) for d, x in want.items()}
     packed = packing.pack_documents(docs, P.path(name)).collect()
     assert {r.doc_id: bytes(r.ids) for r in packed} == {d: x.tobytes() for d, x in want.items()}
+
+
+def test_a_distinct_piece_is_looked_up_once():
+    from tallywatch.llm.words import PieceEncoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return dict.get(self, *key)
+
+        def __contains__(self, key):
+            self.asked += 1
+            return dict.__contains__(self, key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return dict.__getitem__(self, key)
+
+    encoder = PieceEncoder(lambda pieces, lead: (np.fromiter((len(p) for p in pieces), np.uint32), np.ones(len(pieces), np.int64)), end_id=99)
+    encoder.later = Counted()
+    for texts, ids in ((["a bb ccc bb", "a\t bb"], [1, 2, 3, 2, 99, 5, 99]), (["q bb dddd eeeee"], [1, 2, 4, 5, 99])):
+        assert encoder(texts)[0].tolist() == ids
+    assert encoder.later.asked == 2 + 3
