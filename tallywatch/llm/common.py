@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.session import stored
 
-__all__ = ["ORACLE", "QUERIES", "crc32_sql", "kept", "query", "read", "runs", "slices", "some_rows", "spans_of", "stored", "text_or_empty", "whole_groups"]
+__all__ = ["ORACLE", "QUERIES", "crc32_sql", "kept", "query", "read", "runs", "slices", "some_rows", "spans_of", "stored", "text_or_empty", "trimmed", "whole_groups"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,9 +55,11 @@ def crc32_sql(text: str) -> tuple[str, str]:
     )
 
 
-def _give_back() -> None:
-    """Return freed memory to the system, where the C library can."""
-    gc.collect()
+def trimmed() -> None:
+    """Return freed memory to the system, where Arrow's pool and the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -77,9 +79,11 @@ def kept(key: tuple, make: Callable):
     held = sys.modules.setdefault("tallywatch_kept", types.ModuleType("tallywatch_kept")).__dict__
     if held.get("key") != key:
         held["key"], held["value"] = None, None
-        _give_back()
+        gc.collect()
+        trimmed()
         held["value"] = make()
         held["key"] = key
+        trimmed()
     return held["value"]
 
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import runs, slices, some_rows, stored, text_or_empty
+from tallywatch.llm.common import runs, slices, some_rows, stored, text_or_empty, trimmed
 from tallywatch.llm.graph import components
 
 #: Minima that bands may use, and minima compared at once.
@@ -168,6 +168,7 @@ def _features(docs: DataFrame, words: int, shape: Layout) -> DataFrame:
                      pa.ListArray.from_arrays(np.arange(0, keys.size + 1, shape.bands, dtype=np.int32), pa.array(keys.ravel()))],
                     ["doc_id", "n_shingles", "digest", "keys"],
                 )
+            trimmed()
 
     return docs.mapInArrow(work, FEATURES)
 
@@ -188,6 +189,7 @@ def _sets(docs: DataFrame, words: int, shape: Layout) -> DataFrame:
                      pa.array([s.tobytes() for s in sets], pa.binary())],
                     ["doc_id", "digest", "n", "signature", "shingles"],
                 )
+            trimmed()
 
     return docs.mapInArrow(work, SETS)
 

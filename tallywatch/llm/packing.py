@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import slices, some_rows, text_or_empty
+from tallywatch.llm.common import slices, some_rows, text_or_empty, trimmed
 from tallywatch.llm.words import library_encoder
 
 #: Groups of more pieces than this have their small ones joined before they are differenced.
@@ -106,7 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     def pack(batches):
         import pyarrow as pa
 
-        encode = library_encoder(vocabulary, end_id, 450_000, specials=True)
+        encode = library_encoder(vocabulary, end_id, 300_000, specials=True)
         sequence = TaskContext.get().partitionId() << 40
         rest, held = [], 0
 
@@ -153,8 +153,13 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
                     due, rest, held = rest[:cut], rest[cut:], held - size
                 if full or due:
                     yield flush(full, due)
+                # What a slice has freed would else stay with the worker, beside that of other stages.
+                tokens = full = due = None
+                trimmed()
         if rest:
             yield flush([], rest)
+            rest = []
+        trimmed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     packed = rows.mapInArrow(pack, PIECES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywatch.llm import boosting
-from tallywatch.llm.common import kept, slices, some_rows, text_or_empty
+from tallywatch.llm.common import kept, slices, some_rows, text_or_empty, trimmed
 from tallywatch.llm.labelled import SAMPLE, remainder, training_texts
 from tallywatch.llm.textstats import WordTable, letters_of, line_stats, per_text, repetition
 
@@ -119,5 +119,6 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> D
             texts = [t or "" for t in batch.column(place).to_pylist()]
             good = np.concatenate([model.score(texts[a:b]) for a, b in slices(texts, 1 << 20)]) >= threshold if texts else np.zeros(0, bool)
             yield batch.filter(pa.array(good))
+            trimmed()
 
     return docs.mapInArrow(choose, docs.schema)

@@ -3,6 +3,10 @@
 The tokenizers in use split a text into pre-tokens that never cross from a character that is no
 white space into a space. Cut there, the pieces of a text can be encoded one by one and their ids
 put together; a piece seen before costs one look-up. Pieces keep their leading space.
+
+A piece of letters, digits and marks is further cut into its runs, at places where every tokenizer
+in use begins a pre-token: behind a letter or digit before a mark, and the other way round, and
+around a line break. Texts have far fewer distinct runs than pieces.
 """
 
 from __future__ import annotations
@@ -18,6 +22,50 @@ from tallywatch.llm.common import kept, spans_of
 
 #: Characters that no library takes for white space; a cut before a space is made only behind one of them.
 SOLID = r"!-~¡-ᙿᚁ-᠍᠏-῿⁰-⿿、-﻾＀-\U0010ffff"
+#: Kinds of bytes in UTF-8. Runs of a plain piece are of one kind: 1 letters (of ASCII and U+00C0 to U+00FF) and digits, 2 marks, 3 a line
+#: break. Bytes of kind 0 are in no plain piece; an apostrophe begins a pre-token with letters, and 97 and B7 behind C3 make signs.
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = 2
+KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = 1
+KIND[[0x27, 0x97, 0xB7]] = 0
+KIND[0x0A] = 3
+
+
+def runs_of(pieces):
+    """(runs of all strings of an Arrow array in order, how many each string has); one that is not plain is one run.
+
+    A plain string holds bytes above 0 in KIND, and line breaks only one at a time between others.
+    """
+    import pyarrow as pa
+
+    upto = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset)
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+    starts, ends = upto[:-1] - upto[0], upto[1:] - upto[0]
+    kind = KIND[data]
+    # A run begins at a byte of another kind than the one before.
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1 : len(data)] = kind[1:] != kind[:-1]
+    odd = kind == 0
+    odd[:-1] |= (kind[:-1] == 3) & (kind[1:] == 3)
+    full = ends > starts
+    plain = full.copy()
+    plain[full] = (kind[starts[full]] != 3) & (kind[ends[full] - 1] != 3)
+    plain[np.searchsorted(starts, np.flatnonzero(odd), "right") - 1] = False
+    begins[:-1] &= np.repeat(plain, ends - starts)
+    begins[starts] = False
+    inner = np.flatnonzero(begins)
+    sizes = 1 + np.diff(np.searchsorted(inner, np.append(starts, len(data))))
+    cuts = np.empty(len(pieces) + len(inner) + 1, np.int64)
+    first = np.zeros(len(cuts), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    first[-1] = True
+    cuts[first] = np.append(starts, len(data))
+    cuts[~first] = inner
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))), sizes
+
+
+def _strings(array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 class PieceEncoder:
@@ -26,12 +74,14 @@ class PieceEncoder:
     When the table of known pieces holds ``limit`` pieces or ``limit`` * 16 characters, those used once are
     forgotten, or all if too many remain.
     With ``end_id``, every text ends in that id. A text in which ``whole`` matches is one piece.
+    With ``parts``, plain pieces are looked up run by run. A use counts once a batch and distinct piece.
     """
 
     def __init__(
-        self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 600_000, whole: re.Pattern | None = None
+        self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], end_id: int | None = None, limit: int = 600_000, whole: re.Pattern | None = None,
+        parts: bool = False,
     ):
-        self.encode, self.end_id, self.limit, self.whole = encode, end_id, limit, whole
+        self.encode, self.end_id, self.limit, self.whole, self.parts = encode, end_id, limit, whole, parts
         self.cut = re.compile(f"(?<=[{SOLID}]) ")
         self.odd = re.compile(f" (?<=[^{SOLID}] )")  # from space to space, which is faster than from character to character
         self._forget()
@@ -78,8 +128,8 @@ class PieceEncoder:
         self.known += len(pieces)
         self.chars += sum(map(len, pieces))
 
-    def _pieces(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct pieces, where each text's pieces begin and end, the place of every piece among the distinct ones)."""
+    def _pieces(self, texts: list[str]):
+        """(distinct pieces as an Arrow array, where each text's pieces begin and end, the place of every piece among the distinct ones)."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -100,20 +150,29 @@ class PieceEncoder:
             values = pa.concat_arrays(parts)
             offsets = np.concatenate([[0], np.cumsum(own)])
         coded = values.dictionary_encode()
-        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), offsets, coded.indices.to_numpy()
+        return coded.dictionary, offsets, coded.indices.to_numpy()
 
-    def _codes(self, pieces: list[str], used: np.ndarray, known: dict[str, int], lead: str) -> np.ndarray:
-        at = np.nonzero(used)[0]
-        names = [pieces[i] for i in at.tolist()]
+    def _codes(self, names: list[str], known: dict[str, int], lead: str) -> np.ndarray:
         codes = np.fromiter(map(known.get, names, repeat(-1)), np.int32, len(names))
-        new = np.nonzero(codes < 0)[0]
+        new = np.flatnonzero(codes < 0)
         if len(new):
             # New pieces are numbered in order.
             codes[new] = self.known + np.arange(len(new))
             self._learn([names[i] for i in new.tolist()], known, lead)
-        out = np.zeros(len(pieces), np.int32)
-        out[at] = codes
-        return out
+        return codes
+
+    def _runs(self, pieces) -> tuple[np.ndarray, np.ndarray]:
+        """(codes of the runs of all pieces, how many each has); the first run of a piece has the leading space."""
+        if not self.parts:
+            return self._codes(_strings(pieces), self.later, " "), np.ones(len(pieces), np.int64)
+        runs, sizes = runs_of(pieces)
+        first = np.zeros(len(runs), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        codes = np.zeros(len(runs), np.int32)
+        for at, known, lead in ((first, self.later, " "), (~first, self.first, "")):
+            coded = runs.filter(at).dictionary_encode()
+            codes[at] = self._codes(_strings(coded.dictionary), known, lead)[coded.indices.to_numpy()]
+        return codes, sizes
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
@@ -127,20 +186,30 @@ class PieceEncoder:
         leads[offsets[:-1]] = True
         heads[flat[leads]] = True
         rest[flat[~leads]] = True
-        as_head, as_rest = self._codes(pieces, heads, self.first, ""), self._codes(pieces, rest, self.later, " ")
-        # Per text: its head, its other pieces, its end.
-        codes = np.zeros(len(flat) + len(texts), np.int32)
-        ends = np.cumsum(counts + 2)
-        heads_at = ends - counts - 2
-        inner = np.ones(len(codes), bool)
-        inner[heads_at] = inner[ends - 1] = False
-        codes[heads_at] = as_head[flat[leads]]
-        codes[inner] = as_rest[flat[~leads]]
+        begun = self._codes(_strings(pieces.filter(heads)), self.first, "")
+        codes, sizes = self._runs(pieces.filter(rest))
+        codes, sizes = np.concatenate([begun, codes]), np.concatenate([np.ones(len(begun), np.int64), sizes])
+        as_head, as_rest = np.cumsum(heads) - 1, np.cumsum(rest) + (len(begun) - 1)
         uses = np.bincount(codes, minlength=self.known)
         uses[: len(self.uses)] += self.uses
         self.uses = uses
+        # The ids of every distinct piece, the end of a text behind them.
         lengths = self.lengths[codes]
-        ids = self.flat[spans_of(self.starts[codes], lengths)]
+        known = np.append(self.flat[spans_of(self.starts[codes], lengths)], self.flat[: self.lengths[0]])
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        begins = np.cumsum(sizes) - sizes
+        starts = np.append(upto[begins], upto[-1])
+        lengths = np.append(upto[begins + sizes] - upto[begins], self.lengths[0])
+        # Per text: its head, its other pieces, its end.
+        units = np.full(len(flat) + len(texts), len(sizes), np.int32)
+        ends = np.cumsum(counts + 2)
+        heads_at = ends - counts - 2
+        inner = np.ones(len(units), bool)
+        inner[heads_at] = inner[ends - 1] = False
+        units[heads_at] = as_head[flat[leads]]
+        units[inner] = as_rest[flat[~leads]]
+        lengths = lengths[units]
+        ids = known[spans_of(starts[units], lengths)]
         return ids, np.add.reduceat(lengths, heads_at) if len(texts) else counts
 
 
@@ -172,20 +241,22 @@ def _library_encoder(json_text: str, end_id: int | None, limit: int, specials: b
     solid = re.compile(f"[{SOLID}]$")
     odd = re.compile(f" (?<=[^{SOLID}] )")
 
-    def apart(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def apart(pieces: list[str]):
+        # The library's answers take a hundred bytes an id, so there are only a few at a time.
+        for i in range(0, len(pieces), 32):
+            for e in tokenizer.encode_batch_fast(pieces[i : i + 32], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
 
     def encode(pieces: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
         if not lead:
-            rows = apart(pieces)
-            return np.fromiter((i for r in rows for i in r), np.uint32), np.fromiter(map(len, rows), np.int64, len(rows))
+            rows = list(apart(pieces))
+            return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
         parts: list[np.ndarray] = []
         sizes = np.zeros(len(pieces), np.int64)
         step = 256
         runs = [pieces[i : i + step] for i in range(0, len(pieces), step)]
         joined = [lead + lead.join(run) for run in runs]
-        for k, (run, text, row) in enumerate(zip(runs, joined, apart(joined))):
-            ids = np.array(row, np.uint32)
+        for k, (run, text, ids) in enumerate(zip(runs, joined, apart(joined))):
             kept_text = ["".join(p.split()) for p in run] if suffix else run
             bytes_in = np.fromiter(map(len, kept_text if text.isascii() else map(str.encode, kept_text)), np.int64, len(run)) + (0 if suffix else len(lead))
             ends, marks = np.cumsum(size_of[ids]), np.cumsum(bytes_in)
@@ -194,9 +265,9 @@ def _library_encoder(json_text: str, end_id: int | None, limit: int, specials: b
                 sizes[k * step : k * step + len(run)] = np.diff(at, prepend=-1)
                 parts.append(ids)
             else:
-                rows = apart([lead + p for p in run])
+                rows = list(apart([lead + p for p in run]))
                 sizes[k * step : k * step + len(run)] = [len(r) for r in rows]
-                parts.append(np.fromiter((i for r in rows for i in r), np.uint32))
+                parts += rows
         return np.concatenate(parts), sizes
 
-    return PieceEncoder(encode, end_id, limit, whole)
+    return PieceEncoder(encode, end_id, limit, whole, parts=True)

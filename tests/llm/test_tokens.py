@@ -208,3 +208,31 @@ def test_a_distinct_piece_is_looked_up_once():
     for texts, ids in ((["a bb ccc bb", "a\t bb"], [1, 2, 3, 2, 99, 5, 99]), (["q bb dddd eeeee"], [1, 2, 4, 5, 99])):
         assert encoder(texts)[0].tolist() == ids
     assert encoder.later.asked == 2 + 3
+
+
+def test_the_library_gets_a_few_strings_at_a_time(monkeypatch):
+    import tokenizers
+
+    asked = []
+
+    class Watched:
+        def __init__(self, real):
+            self.__dict__["real"] = real
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.real, name, value)
+
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return self.real.encode_batch_fast(texts, **more)
+
+    real = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_str": staticmethod(lambda text: Watched(real.from_str(text)))}))
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = words._library_encoder(file.read(), 2, 600_000, True)
+    texts = [f"head{i} " + " ".join(f"piece{i}x{k}" for k in range(50)) for i in range(1000)]
+    assert len(encoder(texts)[1]) == 1000
+    assert sum(asked) >= 1000 and max(asked) <= 32
