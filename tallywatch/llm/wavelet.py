@@ -49,9 +49,10 @@ class WaveletMatrix:
             planes[k, : len(packed)] = packed
             each = np.bitwise_count(planes[k].reshape(blocks, -1)).sum(1, dtype=np.int64)
             ones[k] = np.cumsum(each) - each
-            low = rest[~bit]
+            # By places, which unlike masks cost the same whatever the bits.
+            low = rest.take(np.flatnonzero(~bit))
             zeros[k] = len(low)
-            rest = np.concatenate([low, rest[bit]])
+            rest = np.concatenate([low, rest.take(np.flatnonzero(bit))])
         return cls(n, zeros, planes, ones)
 
     def tobytes(self) -> bytes:
@@ -146,8 +147,8 @@ class WaveletMatrix:
         for k in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             above = np.empty_like(out)
-            above[~bit] = out[: self.zeros[k]]
-            above[bit] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~bit)] = out[: self.zeros[k]]
+            above[np.flatnonzero(bit)] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
             out = above
         return out
 

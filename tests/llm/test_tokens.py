@@ -236,3 +236,22 @@ def test_the_library_gets_a_few_strings_at_a_time(monkeypatch):
     texts = [f"head{i} " + " ".join(f"piece{i}x{k}" for k in range(50)) for i in range(1000)]
     assert len(encoder(texts)[1]) == 1000
     assert sum(asked) >= 1000 and max(asked) <= 32
+
+
+def test_a_wavelet_matrix_of_random_ids_costs_like_one_of_equal_ids():
+    import time
+
+    def least(work):
+        took = []
+        for _ in range(5):
+            begun = time.process_time()
+            work()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    n = 1 << 18
+    mixed, even = np.random.default_rng(3).integers(0, 1 << 16, n).astype(np.uint32), np.full(n, (1 << 16) - 1, np.uint32)
+    one, two = wavelet.WaveletMatrix.build(mixed), wavelet.WaveletMatrix.build(even)
+    assert (one.decode() == mixed).all() and (two.decode() == even).all()
+    assert least(lambda: wavelet.WaveletMatrix.build(mixed)) < 4 * least(lambda: wavelet.WaveletMatrix.build(even))
+    assert least(one.decode) < 4 * least(two.decode)
