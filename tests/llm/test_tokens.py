@@ -255,3 +255,36 @@ def test_a_wavelet_matrix_of_random_ids_costs_like_one_of_equal_ids():
     assert (one.decode() == mixed).all() and (two.decode() == even).all()
     assert least(lambda: wavelet.WaveletMatrix.build(mixed)) < 4 * least(lambda: wavelet.WaveletMatrix.build(even))
     assert least(one.decode) < 4 * least(two.decode)
+
+
+MARKED = st.lists(st.sampled_from(["a", "Ab9", "é", "Ö", "×", "÷", "'s", "'", ".", "!!", "(", "_", "\n", "\n\n", "\t", " ", "  ", "½", "̸", "<|endoftext|>", "日"]), max_size=16).map("".join)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_runs_encode_as_whole_texts(name):
+    whole = library(name)
+    with open(P.path(name), encoding="utf-8") as file:
+        encoder = words.library_encoder(file.read(), 2, 60)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(MARKED, min_size=1, max_size=6))
+    def check(texts):
+        ids, counts = encoder(texts)
+        at = np.cumsum(counts) - counts
+        assert [ids[a : a + n].tolist() for a, n in zip(at, counts)] == [whole.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+    check()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_word_is_encoded_once_whatever_marks_follow(name):
+    whole = library(name)
+    with open(P.path(name), encoding="utf-8") as file:
+        encoder = words._library_encoder(file.read(), 2, 600_000, False)
+    real, asked = encoder.encode, []
+    encoder.encode = lambda pieces, lead: asked.extend(pieces) or real(pieces, lead)
+    names = [f"q{chr(97 + i)}{chr(97 + k)}w" for i in range(20) for k in range(20)]
+    text = "begin " + " ".join(f"{n}{mark}" for n in names for mark in ("", ".", ",", "!!", ")", ".\nThen", "$$$"))
+    ids, counts = encoder([text])
+    assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
+    assert len(asked) <= len(names) + 10
